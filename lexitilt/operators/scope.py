@@ -111,8 +111,8 @@ def scope_reasons(scoped: DataFrame) -> DataFrame:
 
 
 def top_industries(scoped: DataFrame, n: int = 10) -> DataFrame:
-    return (core(scoped)
-            .groupBy(F.coalesce("industry_name", F.lit("Missing")).alias("industry_name"))
+    name = F.coalesce(F.nullif("industry_name", F.lit("")), F.lit("Missing"))
+    return (core(scoped).groupBy(name.alias("industry_name"))
             .agg(F.count("*").alias("rows"))
             .orderBy(F.desc("rows"), "industry_name").limit(n))
 
