@@ -19,7 +19,8 @@ def matches(text: Column, pattern: str, ignore_case: bool = False) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), fv.STRIP_PATTERN, "")
+    """Surrounding Unicode whitespace off; looks at the ends only."""
+    return F.btrim(F.coalesce(text, F.lit("")), F.lit(fv.WS_CHARACTERS))
 
 
 def normal_key(text: Column) -> Column:

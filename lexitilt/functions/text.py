@@ -41,8 +41,9 @@ def build_model_text(title: Column, description: Column, skills: Column | None =
 
 
 def strip_numbers(normalized: Column) -> Column:
-    return F.trim(F.regexp_replace(
-        F.regexp_replace(normalized, r"\b[0-9]+\b", " "), " +", " "))
+    """Words of digits only go, each with the one space before it."""
+    return F.ltrim(F.regexp_replace(
+        F.concat(F.lit(" "), normalized), " [0-9]+(?= |$)", ""))
 
 
 def normalized_description(text: Column, *, without_numbers: bool = False) -> Column:
@@ -144,8 +145,9 @@ def complete_row_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 # Tokenisers: text column to array of tokens
 
 def whitespace_tokens(text: Column) -> Column:
-    split = F.split(F.coalesce(text, F.lit("")), f"[{fv.WS}]+")
-    return F.filter(split, lambda t: t != "")
+    bare = strip(text)
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(
+        F.split(bare, f"[{fv.WS}]+"))
 
 
 def letter_tokens(text: Column) -> Column:

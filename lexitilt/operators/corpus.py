@@ -35,32 +35,36 @@ def min_count_synthetic(documents: Column, vocabulary: Column) -> Column:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(group, word, n), with two marker rows per group that count its documents:
-    word NULL those with tokens, word '' those without.
+    """(group, word, n, is_word), with two marker rows per group that count its
+    documents: word NULL those with tokens, word '' those without.
 
     The markers ride in the same pass, and counting before the shuffle leaves one
-    row per word and task, however common the word.
+    row per word and task, however common the word. ``is_word`` is an aggregate, so
+    filters on it stay above the shuffle and several readers of the counts share it.
     """
     marker = F.when(F.size("tokens") == 0, "")
+    is_word = F.col("word").isNotNull() & (F.col("word") != "")
     return (docs.select("group", F.explode(F.concat(F.array(marker), F.col("tokens")))
                         .alias("word"))
-            .groupBy("group", "word").agg(F.count("*").alias("n")))
+            .groupBy("group", "word")
+            .agg(F.count("*").alias("n"), F.bool_or(is_word).alias("is_word")))
 
 
-def is_word() -> Column:
-    """Not one of the two markers; NULL, so not true, for the first."""
-    return F.col("word") != ""
+def words_only(counts: DataFrame) -> DataFrame:
+    return counts.filter(F.col("is_word")).drop("is_word")
 
 
 def stats_from_counts(counts: DataFrame) -> DataFrame:
+    marker = ~F.col("is_word")
+
     def total(test: Column) -> Column:
         return F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
 
     return (counts.groupBy("group").agg(
-        (total(F.col("word").isNull()) + total(F.col("word") == "")).alias("documents"),
-        total(F.col("word").isNull()).alias("docs"),
-        total(is_word()).alias("tokens"),
-        F.count_if(is_word()).alias("vocab_size"))
+        total(marker).alias("documents"),
+        total(marker & F.col("word").isNull()).alias("docs"),
+        total(F.col("is_word")).alias("tokens"),
+        F.count_if("is_word").alias("vocab_size"))
         .withColumn("avg_doc_len", F.coalesce(F.try_divide(
             F.col("tokens").cast("double"), F.col("docs")), F.lit(0.0))))
 
@@ -82,7 +86,7 @@ def vocabulary(docs: DataFrame, *, synthetic: bool = False) -> DataFrame:
     floor = "min_count_synthetic" if synthetic else "min_count"
     floors = with_min_counts(stats_from_counts(counts)).select(
         "group", F.col(floor).alias("_floor"))
-    return (counts.filter(is_word())
+    return (words_only(counts)
             .join(floors, "group")
             .filter(F.col("n") >= F.col("_floor")).drop("_floor"))
 
@@ -90,7 +94,7 @@ def vocabulary(docs: DataFrame, *, synthetic: bool = False) -> DataFrame:
 def top_words(docs: DataFrame, k: int = 15) -> DataFrame:
     """The k most frequent words of each group; ties by word."""
     order = W.partitionBy("group").orderBy(F.desc("n"), "word")
-    return (word_counts(docs).filter(is_word())
+    return (words_only(word_counts(docs))
             .withColumn("rank", F.row_number().over(order))
             .filter(F.col("rank") <= k))
 
@@ -107,7 +111,7 @@ def training_metadata(docs: DataFrame, seeds: Sequence[int] = tuple(fv.SEEDS)) -
     counts = word_counts(docs)
     floors = with_min_counts(stats_from_counts(counts)).select(
         "group", "documents", "docs", "tokens", "min_count")
-    sizes = (counts.filter(is_word()).join(floors, "group")
+    sizes = (words_only(counts).join(floors, "group")
              .groupBy("group", "documents", "docs", "tokens", "min_count")
              .agg(F.count_if(F.col("n") >= F.col("min_count")).alias("vocab_size")))
     return sizes.select(

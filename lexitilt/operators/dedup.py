@@ -82,9 +82,12 @@ def capped_copies(df: DataFrame, text_col: str = "embedding_text",
                   group_col: str = "seniority", row_id: str = "job_id",
                   copies: int = 20) -> DataFrame:
     """At most ``copies`` rows per identical text inside each group; blank texts go."""
-    present = df.filter(F.coalesce(F.col(text_col), F.lit("")) != "")
-    return keep_first(present, [F.col(group_col), F.sha2(F.col(text_col), 256)],
-                      row_id, copies)
+    # The test for blanks follows the window: ahead of it, it would be pushed to the
+    # scan and work the text out twice. Blank texts are one group, cut like any other.
+    blank = F.coalesce(F.col(text_col), F.lit("")) == ""
+    kept = keep_first(df.withColumn("_blank", blank),
+                      [F.col(group_col), F.sha2(F.col(text_col), 256)], row_id, copies)
+    return kept.filter(~F.col("_blank")).drop("_blank")
 
 
 def duplicate_summary(flags: DataFrame) -> DataFrame:
