@@ -12,20 +12,24 @@ from pyspark.sql import functions as F
 
 from lexitilt.functions import text as tx
 from lexitilt.operators.shaping import as_metrics
+from lexitilt.sources.staging import materialize
 
 EXACT = "title_description_fingerprint"
 TEMPLATE = "description_template_fingerprint"
 
 
-def duplicate_flags(df: DataFrame, row_id: str = "job_id") -> DataFrame:
+def duplicate_flags(df: DataFrame, row_id: str = "job_id", *, staged: bool = False) -> DataFrame:
     """Per row: exact and template duplicate, group id, keep.
 
     No group is ever gathered: the first id and the size of each group come from
     a pre-aggregated count, and they go back to the rows by the unique row id, so
     the join is even however many copies a text has. The fingerprints are
-    computed once: both sides read the same shuffle.
+    computed once: they are written to the shared folder as a narrow table, unless
+    ``df`` is a saved table itself (``staged``), and both sides read that.
     """
-    keys = df.select(row_id, EXACT, TEMPLATE).repartition(F.col(row_id))
+    keys = df.select(row_id, EXACT, TEMPLATE)
+    if not staged:
+        keys = materialize(keys, "fingerprints")
     kinds = F.explode(F.array(
         F.struct(F.lit("exact").alias("kind"), F.col(EXACT).alias("fp")),
         F.struct(F.lit("template").alias("kind"), F.col(TEMPLATE).alias("fp"))))
@@ -51,8 +55,9 @@ def duplicate_flags(df: DataFrame, row_id: str = "job_id") -> DataFrame:
     )
 
 
-def add_duplicate_flags(df: DataFrame, row_id: str = "job_id") -> DataFrame:
-    return df.join(duplicate_flags(df, row_id), row_id)
+def add_duplicate_flags(df: DataFrame, row_id: str = "job_id", *,
+                        staged: bool = False) -> DataFrame:
+    return df.join(duplicate_flags(df, row_id, staged=staged), row_id)
 
 
 def prepare_text_corpus(df: DataFrame, row_id: str = "job_id", *,

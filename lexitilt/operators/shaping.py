@@ -10,10 +10,16 @@ from pyspark.sql import functions as F
 from lexitilt.functions import fixed_values as fv
 
 
+def _literal(value: str | int | float) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value!r}D" if isinstance(value, float) else str(value)
+
+
 def small_table(spark: SparkSession, names: Sequence[str], rows: Sequence[tuple]) -> DataFrame:
-    """A table of a few literal rows, sized as such by the planner."""
-    structs = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows]
-    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
+    """A table of a few literal rows, whose size the planner knows."""
+    values = ", ".join("(" + ", ".join(map(_literal, row)) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(f'`{n}`' for n in names)})")
 
 
 def as_metrics(one_row: DataFrame) -> DataFrame:

@@ -103,7 +103,8 @@ def ppmi_vectors(docs: DataFrame, words: Sequence[str] | None = None, *, window:
     vocabulary = (singles.join(groups, "group").filter(F.col("n") >= F.col("floor"))
                   .select("group", "word", "n", F.col("near").cast("double").alias("near"),
                           "total"))
-    of_word = vocabulary.select("group", "word", "near", "total")
+    listed = vocabulary if words is None else vocabulary.filter(F.col("word").isin(list(words)))
+    of_word = listed.select("group", "word", "near", "total")
     of_ctx = vocabulary.select("group", F.col("word").alias("ctx"),
                                F.col("near").alias("ctx_near"))
     ratio = (F.col("n") * F.col("total")) / (F.col("near") * F.col("ctx_near") * F.lit(shift))
@@ -116,7 +117,6 @@ def ppmi_vectors(docs: DataFrame, words: Sequence[str] | None = None, *, window:
         .filter(F.col("weight") > 0)
         .select("group", "word", "ctx", "weight")
     )
-    listed = vocabulary if words is None else vocabulary.filter(F.col("word").isin(list(words)))
     return WordVectors(listed.select("group", "word", "n"), cells)
 
 
@@ -245,8 +245,9 @@ def subword_counts(words: DataFrame, min_n: int = 3, max_n: int = 6) -> DataFram
 
 
 def compose_subwords(table: DataFrame, targets: Sequence[str] | None = None, *,
+                     vector_size: int = TrainingConfig.vector_size,
                      min_n: int = 3, max_n: int = 6) -> DataFrame:
-    """Smooth dense vectors by their subwords.
+    """Smooth a saved table of dense vectors by their subwords.
 
     A gram's vector is the mean of the vectors of the words that hold it, weighted
     by frequency; a word's new vector is the mean of its own and its grams'.
@@ -254,8 +255,6 @@ def compose_subwords(table: DataFrame, targets: Sequence[str] | None = None, *,
     Coverage does not change: words outside the vocabulary get no vector.
     """
     keys = ["group", "seed"]
-    size = F.size("vector")
-    vector_size = table.select(size.alias("s")).limit(1).collect()[0].s
     grams = table.select(*keys, "word", "n", "vector",
                          F.explode(subwords(F.col("word"), min_n, max_n)).alias("gram"))
     wanted = table if targets is None else table.filter(F.col("word").isin(list(targets)))

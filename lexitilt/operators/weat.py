@@ -39,93 +39,135 @@ def spec_table(spark: SparkSession, specs: Specs = fv.WEAT_SPECS) -> DataFrame:
     return small_table(spark, ["test_name", "role", "ord", "word"], rows)
 
 
-def present_words(vectors: WordVectors, spec: DataFrame) -> DataFrame:
-    """Listed words that are in a model's vocabulary."""
-    return vectors.words.select(*vectors.keys, "word").join(F.broadcast(spec), "word")
+def listed_coordinates(vectors: WordVectors, specs: Specs = fv.WEAT_SPECS) -> DataFrame:
+    """(keys, test_name, role, ord, word, ctx, weight) of the listed words in the
+    vocabulary: a marker row with ctx NULL and weight 0 each, and their cells."""
+    spec = F.broadcast(spec_table(vectors.words.sparkSession, specs))  # the given lists
+    columns = [*vectors.keys, "word", "ctx", "weight"]
+    kind = vectors.cells.schema["ctx"].dataType
+    markers = vectors.words.select(
+        *vectors.keys, "word", F.lit(None).cast(kind).alias("ctx"), F.lit(0.0).alias("weight"))
+    return vectors.cells.select(*columns).unionByName(markers).join(spec, "word")
 
 
-def coverage(vectors: WordVectors, spec: DataFrame) -> DataFrame:
-    """Words present per model, test and role; models without any word count zero."""
+def _norms(coordinates: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per listed word in a model's vocabulary: its vector's length."""
+    return (coordinates.groupBy(*keys, "test_name", "role", "ord", "word")
+            .agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm")))
+
+
+def _with_all_models(df: DataFrame, vectors: WordVectors, specs: Specs) -> DataFrame:
+    """Every model and test, also those without any listed word."""
     keys = list(vectors.keys)
-    tests = [r.test_name for r in spec.select("test_name").distinct().collect()]  # spec rows
     models = (vectors.words.select(*keys).distinct()
-              .withColumn("test_name", F.explode(F.array(*[F.lit(t) for t in sorted(tests)]))))
-    counts = (present_words(vectors, spec).groupBy(*keys, "test_name")
-              .agg(*[F.count_if(F.col("role") == role).alias(name)
-                     for role, name in ROLES.items()]))
-    return (models.join(counts, [*keys, "test_name"], "left")
+              .withColumn("test_name", F.explode(F.array(*[F.lit(t) for t in sorted(specs)]))))
+    return (models.join(df, [*keys, "test_name"], "left")
             .na.fill(0, list(ROLES.values())))
 
 
-def associations(vectors: WordVectors, spec: DataFrame) -> DataFrame:
-    """Per model, test and target word: sums of cosines to both attribute sets.
+def _role_counts() -> list[Column]:
+    return [F.count_if(F.col("role") == role).alias(name) for role, name in ROLES.items()]
 
-    Columns to_a and to_b are sums; divided by the coverage they are means. A zero
-    vector has cosine 0 with everything.
-    """
-    keys = list(vectors.keys)
-    cells = vectors.cells.join(F.broadcast(spec), "word")
-    norms = (cells.groupBy(*keys, "test_name", "role", "word")
-             .agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm")))
-    unit = (cells.join(norms, [*keys, "test_name", "role", "word"])
+
+def coverage(vectors: WordVectors, specs: Specs = fv.WEAT_SPECS) -> DataFrame:
+    """Words present per model, test and role."""
+    spec = F.broadcast(spec_table(vectors.words.sparkSession, specs))
+    present = vectors.words.select(*vectors.keys, "word").join(spec, "word")
+    counts = present.groupBy(*vectors.keys, "test_name").agg(*_role_counts())
+    return _with_all_models(counts, vectors, specs)
+
+
+def _listed_products(vectors: WordVectors, specs: Specs) -> DataFrame:
+    """Every listed word in a vocabulary; for targets the sums of their cosines to
+    both attribute sets (NULL where there is nothing to sum)."""
+    keys = [*vectors.keys, "test_name"]
+    coordinates = listed_coordinates(vectors, specs)
+    norms = _norms(coordinates, vectors.keys)
+    # norms has at most one row per listed word and model, whatever the text's size.
+    unit = (coordinates.filter(F.col("weight") != 0)
+            .join(F.broadcast(norms), [*keys, "role", "ord", "word"])
             .withColumn("unit", F.col("weight") / F.col("norm")))
-    target = F.col("role").isin("targets_a", "targets_b")
 
     def attribute_sum(role: str) -> Column:
         return F.coalesce(F.sum(F.when(F.col("role") == role, F.col("unit"))), F.lit(0.0))
 
     # One row per coordinate; its list holds at most the listed target words.
     by_coordinate = (
-        unit.groupBy(*keys, "test_name", "ctx")
+        unit.groupBy(*keys, "ctx")
         .agg(attribute_sum("attributes_a").alias("a"), attribute_sum("attributes_b").alias("b"),
-             F.collect_list(F.when(target, F.struct("role", "ord", "word", "unit")))
+             F.collect_list(F.when(is_target(), F.struct("role", "ord", "word", "unit")))
              .alias("targets")))
     products = (
         by_coordinate.filter((F.col("a") != 0) | (F.col("b") != 0))
-        .select(*keys, "test_name", "a", "b", F.explode("targets").alias("t"))
-        .groupBy(*keys, "test_name", "t.role", "t.ord", "t.word")
+        .select(*keys, "a", "b", F.explode("targets").alias("t"))
+        .groupBy(*keys, "t.role", "t.ord", "t.word")
         .agg(F.sum(F.col("t.unit") * F.col("a")).alias("to_a"),
              F.sum(F.col("t.unit") * F.col("b")).alias("to_b")))
-    return (present_words(vectors, spec).filter(target)
-            .join(products, [*keys, "test_name", "role", "ord", "word"], "left")
+    return norms.drop("norm").join(products, [*keys, "role", "ord", "word"], "left")
+
+
+def is_target() -> Column:
+    return F.col("role").isin("targets_a", "targets_b")
+
+
+def associations(vectors: WordVectors, specs: Specs = fv.WEAT_SPECS) -> DataFrame:
+    """Per model, test and target word: sums of cosines to both attribute sets.
+
+    Columns to_a and to_b are sums; divided by the coverage they are means. A zero
+    vector has cosine 0 with everything.
+    """
+    return (_listed_products(vectors, specs).filter(is_target())
             .na.fill(0.0, ["to_a", "to_b"]))
 
 
-def scored_models(vectors: WordVectors, spec: DataFrame, min_coverage: int = 1) -> DataFrame:
+def scored_models(vectors: WordVectors, specs: Specs = fv.WEAT_SPECS,
+                  min_coverage: int = 1) -> DataFrame:
     """One row per model and test: coverage, effect size, test statistic, and the
-    targets' associations, first set first (a list no longer than the spec's)."""
+    targets' associations, first set first (a list no longer than the spec's).
+
+    Statistics of a model are worked out in its row; they are NULL where a role has
+    fewer than ``min_coverage`` words.
+    """
     keys = [*vectors.keys, "test_name"]
-    covered = coverage(vectors, spec)
-    s = F.col("to_a") / F.col("coverage_attrs_a") - F.col("to_b") / F.col("coverage_attrs_b")
     enough = reduce(lambda a, b: a & b, [F.col(c) >= min_coverage for c in ROLES.values()])
-    first = F.col("role") == "targets_a"
+    rows = (
+        _listed_products(vectors, specs).na.fill(0.0, ["to_a", "to_b"])
+        .groupBy(*keys)
+        .agg(*_role_counts(), F.array_sort(F.collect_list(F.when(
+            is_target(), F.struct("role", "ord", "word", "to_a", "to_b")))).alias("_raw")))
+    targets = F.transform("_raw", lambda t: F.struct(
+        t["role"].alias("role"), t["ord"].alias("ord"), t["word"].alias("word"),
+        (t["to_a"] / F.col("coverage_attrs_a") - t["to_b"] / F.col("coverage_attrs_b"))
+        .alias("s")))
 
-    def mean(test: Column) -> Column:
-        return F.avg(F.when(test, F.col("s")))
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
-    spread = F.nullif(F.stddev_samp("s"), F.lit(0.0))
-    totals = (
-        associations(vectors, spec)
-        .join(covered.filter(enough), keys)
-        .withColumn("s", s)
-        .groupBy(*keys)
-        .agg(((mean(first) - mean(~first)) / spread).alias("effect_size"),
-             (F.sum(F.when(first, F.col("s"))) - F.sum(F.when(~first, F.col("s"))))
-             .alias("test_statistic"),
-             F.array_sort(F.collect_list(F.struct("role", "ord", "word", "s"))).alias("targets")))
-    return covered.join(totals, keys, "left")
+    def part(role: str) -> Column:
+        return F.transform(F.filter("targets", lambda t: t["role"] == role), lambda t: t["s"])
+
+    s = F.transform("targets", lambda t: t["s"])
+    n_a, n_b = F.col("coverage_targets_a"), F.col("coverage_targets_b")
+    squares = total(F.transform(s, lambda x: (x - F.col("_mean")) * (x - F.col("_mean"))))
+    deviation = F.nullif(F.sqrt(squares / (n_a + n_b - 1)), F.lit(0.0))
+    scored = (
+        rows.withColumn("targets", F.when(enough, targets))
+        .withColumns({"_a": total(part("targets_a")), "_b": total(part("targets_b"))})
+        .withColumn("_mean", (F.col("_a") + F.col("_b")) / (n_a + n_b))
+        .withColumns({
+            "effect_size": F.when(enough, (F.col("_a") / n_a - F.col("_b") / n_b) / deviation),
+            "test_statistic": F.col("_a") - F.col("_b")})
+        .drop("_raw", "_a", "_b", "_mean"))
+    return _with_all_models(scored, vectors, specs)
 
 
-def _exact_score(mask: Column, s: Column) -> Column:
-    """Sum over the chosen targets minus the sum over the others.
+def _exact_score(mask: Column) -> Column:
+    """Sum over the chosen targets minus the sum over the others, s0 to s15.
 
-    Written out term by term so that it is compiled code, not a loop over arrays.
+    Written out term by term over plain columns, so that it is compiled code.
     """
-    terms = []
-    for i in range(EXACT_UP_TO):
-        value = F.coalesce(F.get(s, F.lit(i)), F.lit(0.0))
-        chosen = F.shiftright(mask, i).bitwiseAND(1) == 1
-        terms.append(F.when(chosen, value).otherwise(-value))
+    terms = [F.when(F.shiftright(mask, i).bitwiseAND(1) == 1, F.col(f"s{i}"))
+             .otherwise(-F.col(f"s{i}")) for i in range(EXACT_UP_TO)]
     return reduce(lambda a, b: a + b, terms)
 
 
@@ -150,22 +192,27 @@ def permutation_test(models: DataFrame, keys: Sequence[str], *, permutations: in
     size_a = F.col("coverage_targets_a").cast("int")
     size = F.size("targets")
     exact = F.lit(False) if force_sampled else (size <= EXACT_UP_TO)
-    draws = (F.when(F.col("targets").isNull(), F.array(F.lit(None).cast("bigint")))
-             .when(exact, F.sequence(F.lit(0).cast("bigint"),
-                                     F.call_function("shiftleft", F.lit(1).cast("bigint"), size) - 1))
-             .otherwise(F.sequence(F.lit(1).cast("bigint"), F.lit(permutations).cast("bigint"))))
-    s = F.transform("targets", lambda t: t["s"])
-    draw = F.col("draw")
-    score = (F.when(F.col("exact"), _exact_score(draw, F.col("s")))
-             .otherwise(_sampled_score(draw, F.col("targets"), size_a, F.col("seed_used"))))
+    draws = F.sequence(F.lit(1).cast("bigint"), F.lit(permutations).cast("bigint"))
+    sampled = F.transform(draws, lambda d: _sampled_score(d, F.col("targets"), size_a, seed))
+    masks = F.sequence(F.lit(0).cast("bigint"),
+                       F.call_function("shiftleft", F.lit(1).cast("bigint"), size) - 1)
     carried = [c for c in models.columns if c not in (*keys, "targets")]
+    # Nothing but numbers goes through the explode, bar the sampled scores if any.
+    flat = models.select(
+        *keys, *carried, exact.alias("exact"),
+        *[F.coalesce(F.get("targets", F.lit(i))["s"], F.lit(0.0)).alias(f"s{i}")
+          for i in range(EXACT_UP_TO)],
+        F.when(~exact, sampled).alias("sampled"),
+        F.when(F.col("targets").isNull(), F.array(F.lit(None).cast("bigint")))
+        .when(exact, masks).otherwise(draws).alias("draws"))
+    draw = F.col("draw")
+    score = (F.when(F.col("exact"), _exact_score(draw))
+             .otherwise(F.get("sampled", (draw - 1).cast("int"))))
     scored = (
-        models.withColumns({"exact": exact, "s": s, "seed_used": seed,
-                            "observed": F.col("test_statistic")})
-        .withColumn("draw", F.explode(draws))
+        flat.select(*[c for c in flat.columns if c != "draws"], F.explode("draws").alias("draw"))
         .filter(draw.isNull() | ~F.col("exact") | (F.bit_count(draw) == size_a))
-        .select(*keys, *carried, "observed", draw.alias("draw"), score.alias("score")))
-    reached = F.count_if(F.col("score") >= F.col("observed") - TIE)
+        .select(*keys, *carried, "draw", score.alias("score")))
+    reached = F.count_if(F.col("score") >= F.col("test_statistic") - TIE)
     return (scored.groupBy(*keys)
             .agg(*[F.first(c).alias(c) for c in carried],
                  ((reached + 1) / (F.count("draw") + 1)).alias("_p"))
@@ -179,8 +226,7 @@ def run_weat(vectors: WordVectors, specs: Specs = fv.WEAT_SPECS, *, permutations
 
     The random draws use the model's seed where models have one.
     """
-    spark = vectors.words.sparkSession
-    models = scored_models(vectors, spec_table(spark, specs), min_coverage)
+    models = scored_models(vectors, specs, min_coverage)
     own_seed = F.col("seed") if "seed" in vectors.keys else F.lit(seed)
     return permutation_test(models, [*vectors.keys, "test_name"], permutations=permutations,
                             seed=own_seed, force_sampled=force_sampled)

@@ -72,7 +72,8 @@ def run_label(spark: SparkSession, root: str, *, source: str | None = None,
     df = spark.read.parquet(source or f"{root}/core")
     prepared = materialize(tx.add_text_columns(
         seniority.apply_seniority_labels(df), nan_parity=nan_parity), "prepared")
-    path = io.write_table(dedup.add_duplicate_flags(prepared, row_id), f"{root}/{prefix}_labeled")
+    path = io.write_table(dedup.add_duplicate_flags(prepared, row_id, staged=True),
+                          f"{root}/{prefix}_labeled")
     labeled = spark.read.parquet(path)
     return {
         "labeled": path,

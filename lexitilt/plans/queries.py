@@ -13,6 +13,7 @@ from lexitilt.operators import (
     audit, corpus, dedup, robustness, scope, seniority, vectors, weat,
 )
 from lexitilt.sources.derived import Tables
+from lexitilt.sources.staging import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -402,9 +403,9 @@ def subword_ngrams(t):
 
 @query
 def subword_vectors(t):
-    table = vectors.dense_vectors(vectors.ppmi_vectors(clean_docs(t), WORDS), fv.SEEDS[:1],
-                                  DIMENSIONS)
-    return (vectors.compose_subwords(table)
+    table = materialize(vectors.dense_vectors(
+        vectors.ppmi_vectors(clean_docs(t), WORDS), fv.SEEDS[:1], DIMENSIONS), "vectors")
+    return (vectors.compose_subwords(table, vector_size=DIMENSIONS)
             .select("group", "seed", "word", F.posexplode("vector").alias("i", "x"))
             .withColumn("x", r6("x")))
 
@@ -480,14 +481,12 @@ def weat_ppmi(t):
 
 @query
 def weat_associations(t):
-    spec = weat.spec_table(t.spark)
-    return rounded(weat.associations(text_vectors(t), spec).drop("ord"), "to_a", "to_b")
+    return rounded(weat.associations(text_vectors(t)).drop("ord"), "to_a", "to_b")
 
 
 @query
 def weat_coverage(t):
-    spec = weat.spec_table(t.spark)
-    covered = weat.coverage(vectors.ppmi_vectors(clean_docs(t), WORDS), spec)
+    covered = weat.coverage(vectors.ppmi_vectors(clean_docs(t), WORDS))
     return weat.coverage_matrix(covered).drop("group_order")
 
 

@@ -129,8 +129,8 @@ def test_compose_subwords(spark):
             parts.append(sum(rows[w][0] * rows[w][1] for w in holders) / sum(rows[w][0] for w in holders))
         return sum(parts) / len(parts)
 
-    full = {r.word: r.vector for r in vectors.compose_subwords(table, min_n=3, max_n=3).collect()}
-    some = vectors.compose_subwords(table, ["ab"], min_n=3, max_n=3).collect()
+    full = {r.word: r.vector for r in vectors.compose_subwords(table, vector_size=2, min_n=3, max_n=3).collect()}
+    some = vectors.compose_subwords(table, ["ab"], vector_size=2, min_n=3, max_n=3).collect()
     assert set(full) == {"ab", "abc", "zz"} and [r.word for r in some] == ["ab"]
     for word, vector in full.items():
         assert vector == pytest.approx(list(expected(word)))

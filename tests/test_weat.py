@@ -154,7 +154,7 @@ def test_coverage_gate_and_zero_vectors(spark):
         assert (r.coverage_targets_b, r.effect_size, r.p_value) == (0, None, None)
     zero = table.withColumn("vector", F.when(F.col("word") == "x0", F.transform("vector", lambda v: v * 0.0))
                             .otherwise(F.col("vector")))
-    s = weat.associations(vectors.from_dense(zero), weat.spec_table(spark, spec))
+    s = weat.associations(vectors.from_dense(zero), spec)
     assert {(r.to_a, r.to_b) for r in s.filter("word = 'x0'").collect()} == {(0.0, 0.0)}
 
 
