@@ -20,8 +20,8 @@ from lexitilt.operators import (
 from lexitilt.sources import tables as io
 from lexitilt.sources.staging import materialize
 
-PREFIX = "linkedin_digital_tech"
-BROAD_PREFIX = "linkedin_broad_tech_company"
+PREFIX = "digital_tech"
+BROAD_PREFIX = "broad_tech_company"
 
 
 @dataclass(frozen=True)
@@ -166,3 +166,48 @@ def run_variants(spark: SparkSession, root: str) -> dict[str, dict[str, str]]:
         "labeled_only": run_label(spark, root, source=source, prefix=f"{PREFIX}_labeled_only_run"),
         "broad": run_label(spark, root, source=f"{root}/broad", prefix=BROAD_PREFIX),
     }
+
+
+def run_synthetic(spark: SparkSession, path: str, root: str, *, guard: bool = True,
+                  copies: int = 20, permutations: int = 100, seed: int = 42,
+                  config: vectors.TrainingConfig = vectors.SYNTHETIC_TRAINING,
+                  ) -> dict[str, str]:
+    """The run over synthetic postings: clean, keep tech titles, label by title, text and
+    experience, check the shares, cap identical texts, train, test, count coded words.
+
+    The input has no id, so rows are numbered in input order when the cleaned table is
+    written; later stages read that table. With ``guard`` shares out of range stop the run.
+    """
+    raw = tx.select_synthetic(io.read_table(spark, path, list(fv.SYNTHETIC_COLUMNS)))
+    numbered = raw.withColumn("row_id", F.monotonically_increasing_id())
+    paths = {"clean": io.write_table(tx.add_clean_columns(numbered), f"{root}/clean")}
+    cleaned = spark.read.parquet(paths["clean"])
+    paths["tech"] = io.write_table(
+        seniority.add_hybrid_seniority(seniority.tech_subset(cleaned)), f"{root}/tech")
+    tech = spark.read.parquet(paths["tech"])
+    shares = seniority.distribution(tech)
+    if guard:
+        seniority.check_guardrails(shares)
+    paths["groups"] = io.write_table(
+        dedup.capped_copies(tech, row_id="row_id", copies=copies), f"{root}/groups",
+        partition_by=["seniority"])
+    docs = corpus.with_tokens(io.load_corpus(spark, paths["groups"]),
+                              tx.tech_tokens(F.col("embedding_text")), F.col("seniority"))
+    sparse = vectors.ppmi_vectors(
+        docs, weat.spec_words(fv.WEAT_SPECS_SYNTHETIC), window=config.window,
+        min_count_col=corpus.min_count_synthetic(F.col("docs"), F.col("vocab_size")))
+    paths["vectors"] = io.write_table(
+        vectors.dense_vectors(sparse, [seed], config.vector_size), f"{root}/vectors",
+        partition_by=["group", "seed"])
+    found = weat.run_weat(
+        vectors.from_dense(spark.read.parquet(paths["vectors"])), fv.WEAT_SPECS_SYNTHETIC,
+        permutations=permutations, min_coverage=3, force_sampled=True)
+    return {**paths, **_save({
+        "complete_rows": tx.complete_row_counts(cleaned, list(fv.SYNTHETIC_COLUMNS.values())),
+        "shares": shares,
+        "corpus_stats": corpus.with_min_counts(corpus.corpus_stats(docs)),
+        "leakage": corpus.leakage_check(docs),
+        "top_words": corpus.top_words(docs),
+        "weat": found.withColumn("interpretation", weat.interpret(
+            F.col("effect_size"), F.col("p_value"))),
+        "lexicon_bias": robustness.lexicon_bias_synthetic(tech)}, f"{root}/results")}

@@ -92,3 +92,24 @@ def test_corpus_needs_its_text_column(spark, tmp_path):
     assert sorted(r[0] for r in io.load_corpus(spark, path).collect()) == ["", "a"]
     with pytest.raises(ValueError, match="missing columns"):
         io.load_corpus(spark, path, "text")
+
+
+def test_synthetic_run(spark, tmp_path):
+    header = ["Job Id", "Job Title", "Job Description", "Experience", "Qualifications",
+              "Responsibilities", "Preference"]
+    text = ("he and his father, brother and son lead work, career and office business; "
+            "she and her mother, sister and daughter support home, family and children ")
+    rows = [[i, "Data Engineer" if i % 4 else "Nurse", text, f"{i % 5} to {i % 5 + 3} Years", "MBA",
+             "mentor" if i % 2 else "", "Male"] for i in range(200)]
+    with open(tmp_path / "in.csv", "w", newline="") as f:
+        csv.writer(f).writerows([header, *rows])
+    with pytest.raises(ValueError, match="out of range"):
+        jobs.run_synthetic(spark, f"{tmp_path}/in.csv", f"{tmp_path}/guarded")
+    paths = jobs.run_synthetic(spark, f"{tmp_path}/in.csv", f"{tmp_path}/out", guard=False)
+    assert spark.read.parquet(paths["clean"]).count() == 200
+    assert spark.read.parquet(paths["tech"]).count() == 150
+    per_text = spark.read.parquet(paths["groups"]).groupBy("seniority", "embedding_text").count()
+    assert {r["count"] for r in per_text.collect()} == {20}
+    found = spark.read.parquet(paths["weat"]).collect()
+    assert {r["group"] for r in found} == {r.seniority for r in per_text.collect()}
+    assert all(0 < r.p_value <= 1 and "association" in r.interpretation for r in found)
