@@ -49,7 +49,8 @@ def run_audit(spark: SparkSession, inputs: Inputs, root: str,
 def run_scope(spark: SparkSession, inputs: Inputs, root: str,
               nrows: int | None = None) -> dict[str, str]:
     """Scope every posting once; the slices and summaries read that table."""
-    postings = io.load_postings(spark, inputs.postings, fv.POSTING_COLUMNS, nrows)
+    postings = io.spread(
+        io.load_postings(spark, inputs.postings, fv.POSTING_COLUMNS, nrows), "job_id")
     lookup = scope.build_industry_lookup(io.load_job_industries(spark, inputs.job_industries),
                                          io.load_industries(spark, inputs.industries))
     all_path = io.write_table(scope.apply_scope_filter(postings, lookup), f"{root}/scope_all")
@@ -179,7 +180,7 @@ def run_synthetic(spark: SparkSession, path: str, root: str, *, guard: bool = Tr
     written; later stages read that table. With ``guard`` shares out of range stop the run.
     """
     raw = tx.select_synthetic(io.read_table(spark, path, list(fv.SYNTHETIC_COLUMNS)))
-    numbered = raw.withColumn("row_id", F.monotonically_increasing_id())
+    numbered = io.spread(raw.withColumn("row_id", F.monotonically_increasing_id()), "row_id")
     paths = {"clean": io.write_table(tx.add_clean_columns(numbered), f"{root}/clean")}
     cleaned = spark.read.parquet(paths["clean"])
     paths["tech"] = io.write_table(

@@ -72,14 +72,6 @@ SELECT * FROM (VALUES (0,'Software Development'),(1,'IT Services and IT Consulti
 # Sources are numbered from 0, these companies from 2: the first two are unknown.
 COMPANIES = "SELECT CAST(n_nationkey AS BIGINT) + 2 AS company_id FROM {nation}"
 
-# Vectors of the embeddings table as models: the id gives group and seed, the
-# label gives the word. Words come as single vectors or as the label's centroid.
-MODEL_OF_VECTOR = """
-  CASE vec_id % 4 WHEN 0 THEN 'entry' WHEN 1 THEN 'mid' WHEN 2 THEN 'senior'
-    ELSE 'leadership' END AS "group",
-  CASE (vec_id // 4) % 3 WHEN 0 THEN 7 WHEN 1 THEN 17 ELSE 29 END AS seed
-"""
-
 
 class Tables:
     """The derived tables of one folder of parquet files."""
