@@ -6,21 +6,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexitilt.llm import near_dedup, quality_rules
+from lexitilt.llm import decontamination, mixing, near_dedup, pii, quality_rules, url_filter
 from lexitilt.llm.common import table
 
+#: The key of the registered queries; a job passes its own secret.
+PSEUDONYM_KEY = "registered-queries"
+
 
 def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, folder, "documents"))
 
 
+def op2_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contaminated(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, folder, "pages"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, folder, "documents"))
 
 
+def op7_pii_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.mask(table(spark, folder, "documents"), PSEUDONYM_KEY)
+
+
+def op9_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.taken_words(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality_rules,
+        op2_benchmark_decontamination,
+        op3_url_filter,
         op6_simhash_near_dedup,
+        op7_pii_pseudonyms,
+        op9_source_mixing,
     )
 }
