@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexitilt.llm import decontamination, mixing, near_dedup, pii, quality_rules, url_filter
+from lexitilt.llm import (
+    decontamination,
+    language_id,
+    licenses,
+    mixing,
+    near_dedup,
+    pii,
+    quality_classifier,
+    quality_rules,
+    toxicity,
+    url_filter,
+)
 from lexitilt.llm.common import table
 
 #: The key of the registered queries; a job passes its own secret.
@@ -26,6 +37,14 @@ def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, folder, "pages"))
 
 
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identify(table(spark, folder, "documents"))
+
+
+def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, folder, "documents"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, folder, "documents"))
 
@@ -34,17 +53,31 @@ def op7_pii_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
     return pii.mask(table(spark, folder, "documents"), PSEUDONYM_KEY)
 
 
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return toxicity.severity(documents, toxicity.train(documents, labels))
+
+
 def op9_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken_words(table(spark, folder, "documents"))
 
 
+def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return quality_classifier.score(documents, quality_classifier.train(documents, labels))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality_rules,
         op2_benchmark_decontamination,
         op3_url_filter,
+        op4_language_id,
+        op5_license_scan,
         op6_simhash_near_dedup,
         op7_pii_pseudonyms,
+        op8_toxicity,
         op9_source_mixing,
+        op10_quality_classifier,
     )
 }
