@@ -48,21 +48,30 @@ def fold_of(key: Column, folds: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % folds
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder all executors share, its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one serves only
-    a local session that names none. Spark removes the files with the frame where
-    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
+    It is the session's ``spark.checkpoint.dir``; a temporary one serves only a local session
+    that names none.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.startswith("local["):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoints-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, its lineage cut.
+
+    Spark removes the files with the frame where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
