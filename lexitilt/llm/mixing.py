@@ -36,7 +36,9 @@ class Mix:
     max_repeats: int = 2
     block_words: int = 64
     shard_blocks: int = 16_384
-    bucket_documents: int = 20_000
+    slots_a_task: int = 50_000
+    bucket_documents: int = 500
+    bucket_group: int = 4_096
     seed: int = 20_011
 
 
@@ -123,8 +125,8 @@ def slots(spark: SparkSession, plan: list[dict], mix: Mix) -> DataFrame:
              for r, w in enumerate(wanted)
              for j, low in enumerate(range(min(w, got.get(r, 0)), w, mix.shard_blocks))]
     runs = runs.where("low < high").unionByName(spark.createDataFrame(short, empty))
-    # runs are few, and each gives up to a shard of rows: deal them out before that
-    each = runs.repartition("shard", "rank").select(
+    # runs are few, and each gives up to a shard of rows: deal them out by number before that
+    each = runs.repartition(max(1, n // mix.slots_a_task), "shard", "rank").select(
         "shard", "rank", F.explode(F.sequence(F.col("low"), F.col("high") - 1)).alias("k"))
     each = each.withColumn("n", _by_rank([max(1, r["blocks"]) for r in plan], "long"))
     each = each.withColumns({"epoch": F.floor(F.col("k") / F.col("n")),
@@ -146,8 +148,9 @@ def placed(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text: str = "text"
     """Each document with rank, size and start, its place in its source's stream; the plan.
 
     A stream runs through buckets of documents. Bucket totals, one row for each source and
-    bucket, give each bucket's start; inside a bucket documents follow each other by id.
-    A hot source is so spread over as many tasks as it has buckets.
+    bucket, give each bucket's start, in groups of buckets so that no task sees all of them;
+    inside a bucket documents follow each other by id. A hot source is so spread over as many
+    tasks as it has buckets.
     """
     narrow = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source).cast("string").alias("source"),
@@ -162,8 +165,14 @@ def placed(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text: str = "text"
     buckets = max(1, -(-sum(r["n"] for r in by_source) // mix.bucket_documents))
     cell = {"rank": _rank_of(plan), "bucket": F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets))}
     totals = sized.withColumns(cell).groupBy("rank", "bucket").agg(F.sum("size").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("rank").orderBy("bucket")) - F.col("n")
-    bases = totals.select("rank", "bucket", before.alias("base"))
+    totals = totals.withColumn("group", F.floor(F.col("bucket") / mix.bucket_group))
+    group_totals = totals.groupBy("rank", "group").agg(F.sum("n").alias("n"))
+    before = lambda keys, order: (
+        F.sum("n").over(Window.partitionBy(*keys).orderBy(order)) - F.col("n"))
+    group_bases = group_totals.select("rank", "group", before(["rank"], "group").alias("above"))
+    bases = totals.withColumn("base", before(["rank", "group"], "bucket")) \
+        .join(group_bases, ["rank", "group"]) \
+        .select("rank", "bucket", (F.col("base") + F.col("above")).alias("base"))
     inner = Window.partitionBy("rank", "bucket").orderBy("doc_id", "size")
     here = F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     # bucket starts are joined last: the window's partitioning by (rank, bucket) serves both
