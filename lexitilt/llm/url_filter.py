@@ -25,6 +25,7 @@ ORDER = 4
 START, END = "\x02", "\x03"
 #: Characters that the uniform floor spreads over.
 ALPHABET = 256
+URLS_A_TASK = 4_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -173,9 +174,11 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     text, action = fitting_rule(F.col("host"), F.col("path"), rules)
     judged = judged.withColumns({"rule": text, "action": action})
     fold = F.conv(F.substring(F.md5(F.col("url").cast("binary")), 1, 8), 16, 10).cast("long") % 5
+    # distinct urls are few bytes but give dozens of rows each later: deal them out by number
+    tasks = 1 + judged.count() // URLS_A_TASK
     urls = durable(judged.where(F.length("url") > 0).groupBy("url")
                    .agg(F.count("*").alias("n"), F.first("action").alias("action"))
-                   .withColumn("training", fold > 0))
+                   .withColumn("training", fold > 0).repartition(tasks, "url"))
     seen = {r["action"] for r in urls.where("training").select("action").distinct().collect()}
     if not {"allow", "block"} <= seen:
         return judged.select("page_id", "host", "path", "rule",
