@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -120,9 +121,9 @@ def clean_for_embeddings(text: Column) -> Column:
     return F.trim(F.regexp_replace(value, r"[^a-z0-9.+#_-]+", " "))
 
 
-def select_synthetic(df: DataFrame) -> DataFrame:
-    return df.select(*[F.col(f"`{old}`").alias(new)
-                       for old, new in fv.SYNTHETIC_COLUMNS.items()])
+def select_synthetic(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    return df.select(*keep, *[F.col(f"`{old}`").alias(new)
+                              for old, new in fv.SYNTHETIC_COLUMNS.items()])
 
 
 def add_clean_columns(df: DataFrame) -> DataFrame:

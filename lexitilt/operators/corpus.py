@@ -87,7 +87,7 @@ def vocabulary(docs: DataFrame, *, synthetic: bool = False) -> DataFrame:
     floors = with_min_counts(stats_from_counts(counts)).select(
         "group", F.col(floor).alias("_floor"))
     return (words_only(counts)
-            .join(floors, "group")
+            .join(F.broadcast(floors), "group")  # one row a group
             .filter(F.col("n") >= F.col("_floor")).drop("_floor"))
 
 
@@ -111,7 +111,7 @@ def training_metadata(docs: DataFrame, seeds: Sequence[int] = tuple(fv.SEEDS)) -
     counts = word_counts(docs)
     floors = with_min_counts(stats_from_counts(counts)).select(
         "group", "documents", "docs", "tokens", "min_count")
-    sizes = (words_only(counts).join(floors, "group")
+    sizes = (words_only(counts).join(F.broadcast(floors), "group")
              .groupBy("group", "documents", "docs", "tokens", "min_count")
              .agg(F.count_if(F.col("n") >= F.col("min_count")).alias("vocab_size")))
     return sizes.select(

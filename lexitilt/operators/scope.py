@@ -41,24 +41,37 @@ def scope_rule(key: Column, description: Column, tech_industry: Column) -> Colum
     )
 
 
-def classify_scope(df: DataFrame, tech_col: str = "is_tech_industry") -> DataFrame:
-    """Adds scope_include, scope_reason and scope_exclusion_reason."""
-    rule = F.col("_scope_rule")
-    included = rule.isin(IN_SCOPE)
+def _with_text_rule(df: DataFrame) -> DataFrame:
+    """Adds _scope_rule, the rule that title and description alone meet."""
+    return (df.withColumn("_title", normal_key(F.col("title")))
+            .withColumn("_scope_rule", scope_rule(
+                F.col("_title"), F.col("description"), F.lit(False)))
+            .drop("_title"))
+
+
+def _decided(df: DataFrame, tech_col: str) -> DataFrame:
+    """The decision from _scope_rule and the industry, which supports ambiguous titles."""
+    unsupported = F.col("_scope_rule") == "ambiguous_title_without_tech_context"
+    rule = F.when(unsupported & F.coalesce(tech_col, F.lit(False)), "ambiguous_title_supported") \
+        .otherwise(F.col("_scope_rule"))
+    included = F.col("_rule").isin(IN_SCOPE)
     return (
-        df.withColumn("_title", normal_key(F.col("title")))
-        .withColumn("_scope_rule", scope_rule(
-            F.col("_title"), F.col("description"), F.col(tech_col)))
+        df.withColumn("_rule", rule)
         .withColumns({
             "scope_include": included,
-            "scope_reason": F.when(included | (rule == "missing_title"), rule)
+            "scope_reason": F.when(included | (F.col("_rule") == "missing_title"), F.col("_rule"))
             .otherwise("excluded"),
-            "scope_exclusion_reason": F.when(included, "").otherwise(rule),
+            "scope_exclusion_reason": F.when(included, "").otherwise(F.col("_rule")),
         })
-        .drop("_title", "_scope_rule")
+        .drop("_rule", "_scope_rule")
     )
 
 
+def classify_scope(df: DataFrame, tech_col: str = "is_tech_industry") -> DataFrame:
+    """Adds scope_include, scope_reason and scope_exclusion_reason."""
+    return _decided(_with_text_rule(df), tech_col)
+
+
 def build_industry_lookup(job_industries: DataFrame, industries: DataFrame) -> DataFrame:
     """One row per job: any tech industry, and its first three industry names.
 
@@ -80,10 +93,14 @@ def build_industry_lookup(job_industries: DataFrame, industries: DataFrame) -> D
 
 
 def apply_scope_filter(postings: DataFrame, lookup: DataFrame) -> DataFrame:
-    """Industry context, scope decision and the broad tech-company flag."""
-    joined = (postings.join(lookup, "job_id", "left")
+    """Industry context, scope decision and the broad tech-company flag.
+
+    Titles and descriptions are matched before the join, so where only the decision is
+    wanted, its rule crosses the shuffle and the text does not.
+    """
+    joined = (_with_text_rule(postings).join(lookup, "job_id", "left")
               .withColumn("is_tech_industry", F.coalesce("is_tech_industry", F.lit(False))))
-    return (classify_scope(joined)
+    return (_decided(joined, "is_tech_industry")
             .withColumn("is_broad_tech_company", F.col("is_tech_industry")))
 
 

@@ -1,10 +1,9 @@
 """Word vectors per group.
 
-Three forms of one thing. ``ppmi_vectors`` counts words in each other's company
+Two forms of one thing. ``ppmi_vectors`` counts words in each other's company
 and keeps the positive pointwise mutual information: exact, seedless, linear in
 the text. ``dense_vectors`` projects those rows to a fixed number of dimensions
-with seeded random signs, one set of vectors per seed. ``train_word2vec`` fits
-Spark ML's skip-gram model per group and seed.
+with seeded random signs, one set of vectors per seed.
 """
 
 from __future__ import annotations
@@ -27,12 +26,11 @@ from lexitilt.sources.staging import materialize
 class TrainingConfig:
     vector_size: int = 150
     window: int = 5
-    epochs: int = 12
     min_n: int = 3
     max_n: int = 6
 
 
-SYNTHETIC_TRAINING = TrainingConfig(vector_size=100, epochs=15, max_n=5)
+SYNTHETIC_TRAINING = TrainingConfig(vector_size=100, max_n=5)
 
 
 @dataclass(frozen=True)
@@ -100,7 +98,7 @@ def ppmi_vectors(docs: DataFrame, words: Sequence[str] | None = None, *, window:
                    F.count("*").alias("vocab_size"))
               .select("group", F.col("total").cast("double").alias("total"),
                       floor.alias("floor")))
-    vocabulary = (singles.join(groups, "group").filter(F.col("n") >= F.col("floor"))
+    vocabulary = (singles.join(F.broadcast(groups), "group").filter(F.col("n") >= F.col("floor"))
                   .select("group", "word", "n", F.col("near").cast("double").alias("near"),
                           "total"))
     listed = vocabulary if words is None else vocabulary.filter(F.col("word").isin(list(words)))
@@ -168,60 +166,6 @@ def from_dense(table: DataFrame, keys: Sequence[str] = ("group", "seed")) -> Wor
                        tuple(keys))
 
 
-def train_word2vec(docs: DataFrame, seeds: Sequence[int] = tuple(fv.SEEDS),
-                   config: TrainingConfig = TrainingConfig(),
-                   groups: Sequence[str] = tuple(fv.GROUP_ORDER), *,
-                   partitions: int | None = None,
-                   max_model_bytes: int = 2 << 30) -> DataFrame:
-    """(group, seed, word, vector) from Spark ML Word2Vec, one fit per group and seed.
-
-    Training is spread over ``partitions`` tasks (one per core by default). Spark
-    keeps the vocabulary's vectors on the driver, so the vocabulary is counted
-    first and a model beyond ``max_model_bytes`` is refused: use
-    ``dense_vectors`` there, which has no such limit.
-    """
-    from pyspark.ml.feature import Word2Vec
-
-    spark = docs.sparkSession
-    corpus = materialize(docs.select("group", "tokens").filter(F.size("tokens") > 0), "corpus")
-    sizes = {r["group"]: r for r in _model_sizes(corpus).collect()}  # one row per group
-    frames = []
-    for group in groups:
-        if group not in sizes:
-            continue
-        size = sizes[group]
-        if size.vocab_size * config.vector_size * 8 > max_model_bytes:
-            raise ValueError(f"{group}: {size.vocab_size} words x {config.vector_size} dimensions "
-                             f"pass {max_model_bytes} bytes; use dense_vectors")
-        sentences = corpus.filter(F.col("group") == group)
-        for seed in seeds:
-            model = Word2Vec(
-                inputCol="tokens", outputCol="vector", seed=seed,
-                vectorSize=config.vector_size, windowSize=config.window,
-                maxIter=config.epochs, minCount=size.min_count,
-                numPartitions=partitions or spark.sparkContext.defaultParallelism,
-            ).fit(sentences)
-            frames.append(model.getVectors().select(
-                F.lit(group).alias("group"), F.lit(seed).alias("seed"), "word",
-                _to_array(F.col("vector")).alias("vector")))
-    if not frames:
-        raise ValueError(f"no documents in groups {list(groups)}")
-    result = frames[0]
-    for frame in frames[1:]:
-        result = result.unionByName(frame)
-    return result
-
-
-def _to_array(vector: Column) -> Column:
-    from pyspark.ml.functions import vector_to_array
-    return vector_to_array(vector)
-
-
-def _model_sizes(corpus: DataFrame) -> DataFrame:
-    from lexitilt.operators.corpus import training_metadata
-    return training_metadata(corpus, seeds=[0]).select("group", "vocab_size", "min_count")
-
-
 # Subwords
 
 def subwords(word: Column, min_n: int = 3, max_n: int = 6) -> Column:

@@ -83,9 +83,8 @@ def _listed_products(vectors: WordVectors, specs: Specs) -> DataFrame:
     keys = [*vectors.keys, "test_name"]
     coordinates = listed_coordinates(vectors, specs)
     norms = _norms(coordinates, vectors.keys)
-    # norms has at most one row per listed word and model, whatever the text's size.
     unit = (coordinates.filter(F.col("weight") != 0)
-            .join(F.broadcast(norms), [*keys, "role", "ord", "word"])
+            .join(norms, [*keys, "role", "ord", "word"])
             .withColumn("unit", F.col("weight") / F.col("norm")))
 
     def attribute_sum(role: str) -> Column:

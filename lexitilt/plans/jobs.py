@@ -22,6 +22,8 @@ from lexitilt.sources.staging import materialize
 
 PREFIX = "digital_tech"
 BROAD_PREFIX = "broad_tech_company"
+#: A posting's place in the input; unique, and sorted as the input is.
+ORDER = "input_order"
 
 
 @dataclass(frozen=True)
@@ -49,8 +51,8 @@ def run_audit(spark: SparkSession, inputs: Inputs, root: str,
 def run_scope(spark: SparkSession, inputs: Inputs, root: str,
               nrows: int | None = None) -> dict[str, str]:
     """Scope every posting once; the slices and summaries read that table."""
-    postings = io.spread(
-        io.load_postings(spark, inputs.postings, fv.POSTING_COLUMNS, nrows), "job_id")
+    postings = io.read_table(spark, inputs.postings, fv.POSTING_COLUMNS, nrows,
+                             order_col=ORDER)
     lookup = scope.build_industry_lookup(io.load_job_industries(spark, inputs.job_industries),
                                          io.load_industries(spark, inputs.industries))
     all_path = io.write_table(scope.apply_scope_filter(postings, lookup), f"{root}/scope_all")
@@ -64,11 +66,12 @@ def run_scope(spark: SparkSession, inputs: Inputs, root: str,
 
 
 def run_label(spark: SparkSession, root: str, *, source: str | None = None,
-              prefix: str = PREFIX, row_id: str = "job_id",
+              prefix: str = PREFIX, row_id: str = ORDER,
               nan_parity: bool = False) -> dict[str, str]:
     """Label, normalise and flag duplicates within ``source`` (the core by default).
 
-    Text columns are staged once; the flags read its narrow columns and join back.
+    The first copy in the order of the input, ``row_id``, is the one that counts. Text
+    columns are staged once; the flags read its narrow columns and join back.
     """
     df = spark.read.parquet(source or f"{root}/core")
     prepared = materialize(tx.add_text_columns(
@@ -100,25 +103,21 @@ def group_corpus(spark: SparkSession, root: str, prefix: str = PREFIX,
 
 
 def run_train(spark: SparkSession, root: str, *, prefix: str = PREFIX,
-              seeds: Sequence[int] = tuple(fv.SEEDS), engine: str = "dense",
+              seeds: Sequence[int] = tuple(fv.SEEDS),
               config: vectors.TrainingConfig = vectors.TrainingConfig(),
               groups: Sequence[str] = tuple(fv.GROUP_ORDER),
               specs=fv.WEAT_SPECS) -> dict[str, str]:
-    """Vectors per group and seed, and their metadata.
-
-    ``engine`` is "dense" (projected PPMI rows of the tests' words) or "word2vec".
-    """
+    """Vectors of the whole vocabulary per group and seed, their metadata, and the listed
+    words' vectors smoothed by their subwords."""
     docs = group_corpus(spark, root, prefix, groups)
-    if engine == "word2vec":
-        table = vectors.train_word2vec(docs, seeds, config, groups)
-    elif engine == "dense":
-        sparse = vectors.ppmi_vectors(docs, weat.spec_words(specs), window=config.window)
-        table = vectors.dense_vectors(sparse, seeds, config.vector_size)
-    else:
-        raise ValueError(f"unknown engine {engine!r}")
+    table = vectors.dense_vectors(vectors.ppmi_vectors(docs, window=config.window), seeds,
+                                  config.vector_size)
+    path = io.write_table(table, f"{root}/vectors/{prefix}", partition_by=["group", "seed"])
     return {
-        "vectors": io.write_table(table, f"{root}/vectors/{prefix}",
-                                  partition_by=["group", "seed"]),
+        "vectors": path,
+        "subwords": io.write_table(vectors.compose_subwords(
+            spark.read.parquet(path), weat.spec_words(specs), vector_size=config.vector_size,
+            min_n=config.min_n, max_n=config.max_n), f"{root}/subwords/{prefix}"),
         "metadata": io.write_table(corpus.training_metadata(docs, seeds),
                                    f"{root}/training_metadata/{prefix}"),
     }
@@ -129,7 +128,8 @@ def run_weat(spark: SparkSession, root: str, *, prefix: str = PREFIX,
              specs=fv.WEAT_SPECS) -> dict[str, str]:
     """Tests on saved vectors; only the named seeds' folders are read."""
     table = (spark.read.parquet(f"{root}/vectors/{prefix}")
-             .filter(F.col("seed").isin(list(seeds))))
+             .filter(F.col("seed").isin(list(seeds))
+                     & F.col("word").isin(weat.spec_words(specs))))
     path = io.write_table(weat.run_weat(vectors.from_dense(table), specs,
                                         permutations=permutations),
                           f"{root}/weat/{prefix}/seed_results")
@@ -158,7 +158,7 @@ def run_prep_all(spark: SparkSession, inputs: Inputs, root: str,
 
 def run_variants(spark: SparkSession, root: str) -> dict[str, dict[str, str]]:
     """Labelling rerun on the labeled-only and the broad corpus, flagged within each."""
-    raw = [*fv.POSTING_COLUMNS, "is_tech_industry", "industry_name", "scope_include",
+    raw = [ORDER, *fv.POSTING_COLUMNS, "is_tech_industry", "industry_name", "scope_include",
            "scope_reason", "scope_exclusion_reason", "is_broad_tech_company"]
     labeled_only = spark.read.parquet(f"{root}/{PREFIX}_labeled_only")
     source = io.write_table(labeled_only.select([c for c in raw if c in labeled_only.columns]),
@@ -179,8 +179,8 @@ def run_synthetic(spark: SparkSession, path: str, root: str, *, guard: bool = Tr
     The input has no id, so rows are numbered in input order when the cleaned table is
     written; later stages read that table. With ``guard`` shares out of range stop the run.
     """
-    raw = tx.select_synthetic(io.read_table(spark, path, list(fv.SYNTHETIC_COLUMNS)))
-    numbered = io.spread(raw.withColumn("row_id", F.monotonically_increasing_id()), "row_id")
+    raw = io.read_table(spark, path, list(fv.SYNTHETIC_COLUMNS), order_col="row_id")
+    numbered = tx.select_synthetic(raw, keep=["row_id"])
     paths = {"clean": io.write_table(tx.add_clean_columns(numbered), f"{root}/clean")}
     cleaned = spark.read.parquet(paths["clean"])
     paths["tech"] = io.write_table(

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexitilt.sources.tables import spread
 
 POSTINGS = """
 SELECT doc_id AS job_id,
@@ -83,7 +82,7 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def documents(self) -> DataFrame:
-        return spread(self.read("documents"), "doc_id")
+        return self.read("documents")
 
     def postings(self) -> DataFrame:
         return self.spark.sql(POSTINGS, documents=self.documents())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +15,7 @@ _LONGS = {"job_id", "company_id", "sponsored", "listed_time", "original_listed_t
 _DOUBLES = {"remote_allowed", "min_salary", "med_salary", "max_salary", "views", "applies",
             "normalized_salary", "zip_code", "fips"}
 
+
 def column_type(name: str) -> T.DataType:
     if name in _LONGS:
         return T.LongType()
@@ -28,8 +29,20 @@ def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df
 
 
+def input_order() -> Column:
+    """A row's place in the files it is read from, as text that sorts like the input.
+
+    Spark packs splits by size, so numbers given to rows as they are read do not follow the
+    input from file to file; within one split they do. To be taken straight from a scan.
+    """
+    digits = lambda c: F.lpad(c.cast("string"), 20, "0")
+    return F.concat_ws(":", F.col("_metadata.file_path"),
+                       digits(F.col("_metadata.file_block_start")),
+                       digits(F.monotonically_increasing_id()))
+
+
 def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None,
-             nrows: int | None = None) -> DataFrame:
+             nrows: int | None = None, order_col: str | None = None) -> DataFrame:
     """CSV with a header and quoted newlines; columns are taken by name.
 
     The header fixes the order of the columns, so it is read first (one row) and
@@ -52,19 +65,25 @@ def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = Non
         elif isinstance(kind, T.DoubleType):
             value = value.try_cast("double")
         typed.append(value.alias(name))
-    df = df.select(*typed)
+    df = df.select(*typed, *([input_order().alias(order_col)] if order_col else []))
     return df if nrows is None else df.limit(nrows)
 
 
 def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None,
-               nrows: int | None = None, fmt: str | None = None) -> DataFrame:
-    """Parquet by default, CSV by file name or on request."""
+               nrows: int | None = None, fmt: str | None = None,
+               order_col: str | None = None) -> DataFrame:
+    """Parquet by default, CSV by file name or on request.
+
+    ``order_col`` names a column to add that tells the rows' order in the input. ``nrows``
+    reads any so many rows in one task, for a first look.
+    """
     fmt = fmt or ("csv" if str(path).rstrip("/").endswith(".csv") else "parquet")
     if fmt == "csv":
-        return read_csv(spark, path, columns, nrows)
+        return read_csv(spark, path, columns, nrows, order_col)
     df = spark.read.format(fmt).load(path)
-    if columns:
-        df = require_columns(df, columns).select(*columns)
+    wanted = list(columns or df.columns)
+    require_columns(df, wanted)
+    df = df.select(*wanted, *([input_order().alias(order_col)] if order_col else []))
     return df if nrows is None else df.limit(nrows)
 
 
@@ -111,14 +130,3 @@ def export_group_corpora(labeled: DataFrame, path: str, *, kept_only: bool,
     df = df.filter(F.col(group_col).isin(fv.GROUP_ORDER))
     return write_table(df, path, fmt, partition_by=[group_col])
 
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a table with fewer splits than the cluster has cores one task per core.
-
-    Files of one row group are read by one task, whatever the cores. Tables with
-    enough splits are returned as they are, with no shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 2 * cores:
-        return df
-    return df.repartition(cores, F.col(key))

@@ -142,14 +142,3 @@ def test_cosine(spark):
                                "a ARRAY<DOUBLE>, b ARRAY<DOUBLE>, e DOUBLE")
     for r in df.select(cosine(F.col("a"), F.col("b")).alias("c"), "e").collect():
         assert r.c == pytest.approx(r.e)
-
-
-def test_word2vec_table(docs, texts):
-    config = vectors.TrainingConfig(vector_size=8, epochs=1)
-    table = vectors.train_word2vec(docs, [7], config, partitions=1).collect()
-    again = vectors.train_word2vec(docs, [7], config, partitions=1).collect()
-    assert {(r["group"], r.word) for r in table} == {(g, w) for g, t in texts for w in t}
-    assert all(len(r.vector) == 8 for r in table)
-    assert {(r["group"], r.word): r.vector for r in table} == {(r["group"], r.word): r.vector for r in again}
-    with pytest.raises(ValueError, match="dense_vectors"):
-        vectors.train_word2vec(docs, [7], config, max_model_bytes=100)

@@ -1,11 +1,11 @@
 import hashlib
 import re
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lexitilt.functions import fixed_values as fv
 from lexitilt.functions import text as tx
 
 
@@ -29,46 +29,68 @@ def test_model_text_keeps_tech_tokens(spark):
     assert parity[2].model_text == "nan nan nan"
 
 
-def python_norm(text):
-    text = text.lower()
-    for old, new in fv.TOKEN_REPLACEMENTS.items():
-        text = text.replace(old, new)
-    text = re.sub(r"https?://\S+|www\.\S+", " ", text).replace("&", " and ")
-    return " ".join(re.sub(r"[^a-z0-9\s]", " ", text).split())
-
-
-def python_embedding(text):
-    text = text.lower()
-    for pattern in (r"\b(male|female|both)\b", r"\bto years\b", r"\byears\b",
-                    r"\b(b com|m com|bba|ba|bs|ms|msc|mba|m tech|b tech|phd|doctorate)\b",
-                    r"http\S+", r"[^a-z0-9\.\+#_\-\s]"):
-        text = re.sub(pattern, " ", text)
-    return " ".join(text.split())
-
-
-words = st.sampled_from(["c++", "C#", ".NET", "asp.net", "https://a.b/c", "www.x", "male", "to years",
-                         "years", "b com", "ms", "éms", "mañana", "12", "3rd", "&", " ", "\n", "\x1c",
-                         "node.js", "x_y", "-", "phd", "Both", "ß", "a.b", "http:x y"])
+# Inputs and what each function makes of them, written out.
+NORMALISED = [
+    ("C++ / C# Engineer", "cplusplus csharp engineer"),
+    ("Build Node.js APIs in .NET", "build nodejs apis in dotnet"),
+    ("R&D & more", "r and d and more"),
+    ("see https://a.b/c?x=1 now www.x.com/a b", "see now b"),
+    ("Mañana 12 3rd", "ma ana 12 3rd"), ("x_y - z", "x y z"), ("A\nB\tC", "a b c"), ("", ""),
+]
+FOR_EMBEDDINGS = [
+    ("Male and Female staff, 5 to 10 years", "and staff 5 to 10"),
+    ("PhD or MBA, node.js c++ c#", "or node.js c++ c#"), ("http://x.y/z end", "end"),
+    ("a_b-c", "a_b-c"), ("éms", "ms"), ("é ms", ""), ("Both shifts", "shifts"), ("", ""),
+]
+LETTERS_ONLY = [("Build Node.js 2 APIs! http://a.b/c", "build node js apis"), ("", "")]
+WITHOUT_NUMBERS = [("Req 12 for 3rd & C#", "req for 3rd and csharp"), ("12 34", "")]
+TOKENS = [
+    (tx.whitespace_tokens, " a  b\nc ", ["a", "b", "c"]), (tx.whitespace_tokens, "", []),
+    (tx.letter_tokens, "Ab_c 1d", ["ab_c", "d"]),
+    (lambda c: tx.tech_tokens(tx.clean_for_embeddings(c)), "Node.js c++ a 9x x-y", ["node.js", "x-y"]),
+]
+
+
+@pytest.mark.parametrize("function, pairs", [
+    (tx.normalize_text, NORMALISED), (tx.clean_for_embeddings, FOR_EMBEDDINGS),
+    (tx.clean_text, LETTERS_ONLY),
+    (lambda c: tx.normalized_description(c, without_numbers=True), WITHOUT_NUMBERS)])
+def test_texts_become_what_is_written(spark, function, pairs):
+    assert column(spark, [x for x, _ in pairs], function) == [y for _, y in pairs]
+
+
+@pytest.mark.parametrize("function, value, tokens", TOKENS)
+def test_tokens_are_what_is_written(spark, function, value, tokens):
+    assert column(spark, [value], function) == [tokens]
+
+
+words = st.sampled_from(["c++", "C#", ".NET", "asp.net", "https://a.b/c", "www.x", "male", "years",
+                         "ms", "éms", "mañana", "12", "3rd", "&", "\n", "\x1c", "node.js", "x_y", "-",
+                         "phd", "Both", "ß", "a.b", "http:x y"])
 texts = st.lists(st.one_of(words, st.text("abz .,#+-_0\t", max_size=4)), max_size=12).map(" ".join)
 
 
 @settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(texts, min_size=60, max_size=120))
-def test_text_functions_match_plain_python(spark, values):
-    assert column(spark, values, tx.normalize_text) == [python_norm(v) for v in values]
-    assert column(spark, values, tx.clean_for_embeddings) == [python_embedding(v) for v in values]
-    assert column(spark, values, tx.clean_text) == [
-        " ".join(re.sub(r"[^a-zA-Z\s]", " ", re.sub(r"http\S+", " ", v.lower())).split()) for v in values]
-    assert column(spark, values, lambda c: tx.normalized_description(c, without_numbers=True)) == [
-        " ".join(re.sub(r"\b\d+\b", " ", python_norm(v)).split()) for v in values]
-    assert column(spark, values, tx.whitespace_tokens) == [v.split() for v in values]
-    assert column(spark, values, lambda c: tx.single_spaced_count(tx.normalize_text(c))) == [
-        len(python_norm(v).split()) for v in values]
-    assert column(spark, values, lambda c: tx.raw_text(c)) == [v.strip() for v in values]
-    assert column(spark, values, tx.letter_tokens) == [
-        re.findall(r"[a-z_]+", v.lower()) for v in values]
-    assert column(spark, values, lambda c: tx.tech_tokens(tx.clean_for_embeddings(c))) == [
-        re.findall(r"\b[a-z][a-z0-9\.+#_-]{1,}\b", python_embedding(v)) for v in values]
+def test_normal_form_is_stable_and_plain(spark, values):
+    once = column(spark, values, tx.normalize_text)
+    assert column(spark, once, tx.normalize_text) == once
+    assert all(re.fullmatch(r"([a-z0-9]+( [a-z0-9]+)*)?", x) for x in once)
+    assert column(spark, once, lambda c: tx.single_spaced_count(c)) == [
+        x.count(" ") + 1 if x else 0 for x in once]
+    numberless = column(spark, values, lambda c: tx.normalized_description(c, without_numbers=True))
+    assert not any(w.isdigit() for x in numberless for w in x.split(" "))
+    assert all(re.fullmatch(r"([a-z]+( [a-z]+)*)?", x)
+               for x in column(spark, values, tx.clean_text))
+
+
+@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.sampled_from(["male", "Female", "both", "years", "phd", "MBA", "team",
+                                          "node.js", "c++"]), max_size=9).map(" ".join),
+                min_size=40, max_size=60))
+def test_no_leak_word_is_left(spark, values):
+    left = [w for x in column(spark, values, tx.clean_for_embeddings) for w in x.split()]
+    assert set(left) <= {"team", "node.js", "c++"}
 
 
 def test_whole_text_is_used(spark):
