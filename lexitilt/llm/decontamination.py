@@ -11,9 +11,11 @@ edits between two texts become a few differing places of the embeddings. A hash
 few sampled places; a window and an item that agree in one of many hashes are candidates, and
 each is verified with the exact edit distance to any passage around the window.
 
-Before embedding, a window is passed over when it holds fewer words of the benchmark, or
-fewer of its rarer words, than any passage within the allowed edits must hold. That condition
-is exact and loses no match.
+Before embedding, a window is passed over when it holds fewer of the benchmark's word pairs
+(words next to each other) than any passage within the allowed edits must hold: an edit takes
+at most two pairs of an item away. Pairs that repeat the pair before them are also left out
+of a second count, of which an edit takes at most three, so that a word written over and over
+does not pass for a passage. Both conditions are exact and lose no match.
 
 The benchmark is the query set. It is dealt into blocks of bounded text; each block's index is
 broadcast and all documents are searched in one pass a block, without a shuffle.
@@ -34,6 +36,7 @@ from pyspark.sql import functions as F
 
 _WORDS = re.compile(r"[^\W_]+")
 _CHUNK_WORDS = 400_000
+_CHUNK_WINDOWS = 10_000
 #: Stands behind the last word; words outside the benchmark are 0, its words are odd.
 _END = np.uint64(2)
 
@@ -51,11 +54,16 @@ class Search:
     embeddings: int = 16
     hashes: int = 24
     places: int = 2
-    rarities: tuple[float, ...] = (0.1, 0.02, 0.005)
     block_chars: int = 4_000_000
     seed: int = 7
 
 
+def _steps(size: int) -> int:
+    """How long the walks over ``size`` words are: the cursor moves on at every other step,
+    and places later than this would mostly be past the end."""
+    return 2 * size - size // 4
+
+
 def words_of(text: str | None) -> list[str]:
     return _WORDS.findall(text.lower()) if text else []
 
@@ -71,14 +79,14 @@ class Index:
         spread = Counter(w for _, words in told for w in set(words))
         self.number = {w: k + 1 for k, w in enumerate(sorted(spread))}
         self.symbol = np.zeros(len(spread) + 1, np.uint64)
-        # row 0 marks the benchmark's words, each further row its rarer words only
-        self.marks = np.zeros((1 + len(search.rarities), len(spread) + 1), np.int32)
         for w, k in self.number.items():
             self.symbol[k] = xxhash.xxh64_intdigest(w, search.seed) | 1
-            self.marks[:, k] = [1, *(spread[w] <= max(1, r * len(told)) for r in search.rarities)]
         self.items = [np.array([self.number[w] for w in words]) for _, words in told]
         self.edits = [int((1 - search.similarity) * len(x) + 1e-9) for x in self.items]
         self.slack = max(self.edits, default=0)
+        self.base = len(spread) + 1
+        self.pairs = np.unique(np.concatenate(
+            [self._codes(x) for x in self.items] or [np.zeros(0, np.int64)]))
         by_length = defaultdict(list)
         for k, x in enumerate(self.items):
             by_length[len(x)].append(k)
@@ -87,10 +95,22 @@ class Index:
             grid = np.stack([self.items[k] for k in members]).reshape(-1)
             starts = np.arange(len(members)) * m
             self.lengths[m] = {
-                "members": np.array(members),
-                "least": [min(int(row[self.items[k]].sum()) for k in members)
-                          - self.edits[members[0]] for row in self.marks],
-                "hashes": self.embed(self.symbol[grid], starts, m)}
+                "members": np.array(members), "least": m - 1 - 2 * self.edits[members[0]],
+                "least_new": m - 1 - 3 * self.edits[members[0]]
+                - max(int((self._codes(self.items[k])[1:] == self._codes(self.items[k])[:-1]).sum())
+                      for k in members),}
+        longest = max(by_length, default=0)
+        self.odd = np.random.default_rng(search.seed).integers(
+            0, 1 << 63, (search.embeddings, _steps(longest)), dtype=np.uint64) \
+            * np.uint64(2) + np.uint64(1)
+        self.places = {m: np.random.default_rng((search.seed, m)).integers(
+            0, _steps(m), (search.embeddings, search.hashes, search.places)) for m in by_length}
+        sizes = np.array([len(x) for x in self.items], np.int64)
+        grid = np.concatenate(self.items or [np.zeros(0, np.int64)])
+        hashes = self.embed(self.symbol[grid], np.cumsum(sizes) - sizes, sizes)
+        order = np.argsort(hashes, axis=None, kind="stable")
+        self.known_hashes = hashes.reshape(-1)[order]
+        self.known_items = order // max(1, hashes.shape[1])
         self.masks = []
         for x in self.items:
             masks: dict[int, int] = defaultdict(int)
@@ -99,56 +119,78 @@ class Index:
             self.masks.append(dict(masks))
         self.distinct = [set(x.tolist()) for x in self.items]
 
-    def embed(self, symbols: np.ndarray, starts: np.ndarray, m: int) -> np.ndarray:
-        """The hashes of the windows of ``m`` symbols at ``starts``: one row a window."""
+    def _codes(self, ids: np.ndarray) -> np.ndarray:
+        """A number for each pair of neighbours; zero where one is not of the benchmark."""
+        first, second = ids[:-1], ids[1:]
+        return np.where((first > 0) & (second > 0), first * self.base + second, 0)
+
+    def embed(self, symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The hashes of the windows of ``sizes`` symbols at ``starts``: one row a window.
+
+        A hash also names its column and the window's size, so that only hashes of one kind
+        and items of the same size can be equal.
+        """
         s = self.search
-        rng = np.random.default_rng((s.seed, m))
         out = np.zeros((len(starts), s.embeddings * s.hashes), np.uint64)
+        column = np.arange(s.hashes, dtype=np.uint64)
+        if not len(starts):
+            return out
+        walk = np.zeros((len(starts), _steps(int(sizes.max()))), np.uint64)
         for e in range(s.embeddings):
-            # the cursor moves on at every other step; later places would mostly be past the end
-            steps = 2 * m - m // 4
-            odd = rng.integers(0, 1 << 63, steps, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-            sampled = defaultdict(list)
-            for h in range(s.hashes):
-                for p in rng.choice(steps, min(s.places, steps), replace=False):
-                    sampled[int(p)].append(e * s.hashes + h)
             at = np.zeros(len(starts), np.int64)
-            for j in range(max(sampled) + 1):
-                here = np.where(at < m, symbols[np.minimum(starts + at, len(symbols) - 1)], _END)
-                for column in sampled.get(j, ()):
-                    out[:, column] = (out[:, column] * np.uint64(0x9E3779B97F4A7C15)) ^ here
-                at += ((here * odd[j]) >> np.uint64(63)).astype(np.int64)
+            for j in range(walk.shape[1]):
+                here = np.where(at < sizes, symbols[np.minimum(starts + at, len(symbols) - 1)], _END)
+                walk[:, j] = here
+                at += ((here * self.odd[e, j]) >> np.uint64(63)).astype(np.int64)
+            for m in np.unique(sizes).tolist():
+                rows = np.nonzero(sizes == m)[0]
+                mixed = np.broadcast_to(column + np.uint64(m * 10_007 + e * s.hashes),
+                                        (len(rows), s.hashes))
+                for p in range(s.places):
+                    mixed = (mixed * np.uint64(0x9E3779B97F4A7C15)) \
+                        ^ walk[rows[:, None], self.places[m][e, :, p][None, :]]
+                out[rows, e * s.hashes:(e + 1) * s.hashes] = mixed * np.uint64(0xC2B2AE3D27D4EB4F)
         return out
 
-    def candidates(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def candidates(self, ids: np.ndarray) -> Iterator[tuple[int, int]]:
         """(window start, item) of the windows of ``ids`` that meet an item in a hash.
 
         In ``ids`` 0 is any other word and -1 ends a document.
         """
-        known = np.maximum(ids, 0)
-        stop = np.where(ids < 0, -(1 << 20), 0)
-        sums = [np.concatenate(([0], np.cumsum(row[known] + stop, dtype=np.int64)))
-                for row in self.marks]
-        symbols = self.symbol[known]
+        codes = self._codes(ids)
+        at = np.nonzero(codes)[0]
+        place = np.minimum(np.searchsorted(self.pairs, codes[at]), len(self.pairs) - 1)
+        at = at[self.pairs[place] == codes[at]]
+        marks = np.where(ids < 0, -(1 << 20), 0)
+        marks[at] = 1
+        total = np.concatenate(([0], np.cumsum(marks)))
+        marks[at[codes[at] == codes[at - 1]]] = 0
+        total_new = np.concatenate(([0], np.cumsum(marks)))
+        symbols = self.symbol[np.maximum(ids, 0)]
+        found, sizes = [], []
         for m, group in self.lengths.items():
             if len(ids) < m:
                 continue
-            starts = np.nonzero(sums[0][m:] - sums[0][:-m] >= group["least"][0])[0]
-            for total, least in zip(sums[1:], group["least"][1:]):
-                if least > 0:
-                    starts = starts[total[starts + m] - total[starts] >= least]
-            if not len(starts):
-                continue
-            seen, pairs = self.embed(symbols, starts, m), set()
-            for column in range(seen.shape[1]):
-                order = np.argsort(group["hashes"][:, column], kind="stable")
-                known_hashes = group["hashes"][order, column]
-                low = np.searchsorted(known_hashes, seen[:, column], "left")
-                high = np.searchsorted(known_hashes, seen[:, column], "right")
-                for w in np.nonzero(high > low)[0].tolist():
-                    pairs.update((w, int(order[k])) for k in range(low[w], high[w]))
-            for w, k in sorted(pairs):
-                yield int(starts[w]), int(group["members"][k])
+            held = total[m - 1:-1] - total[:-m]  # pairs inside each window of m words
+            starts = np.nonzero(held >= group["least"])[0]
+            starts = starts[total_new[starts + m - 1] - total_new[starts] >= group["least_new"]]
+            found.append(starts)
+            sizes.append(np.full(len(starts), m))
+        if not found:
+            return
+        starts, sizes = np.concatenate(found), np.concatenate(sizes)
+        for k in range(0, len(starts), _CHUNK_WINDOWS):
+            some, size = starts[k:k + _CHUNK_WINDOWS], sizes[k:k + _CHUNK_WINDOWS]
+            seen = self.embed(symbols, some, size)
+            low = np.searchsorted(self.known_hashes, seen)
+            met = self.known_hashes[np.minimum(low, len(self.known_hashes) - 1)] == seen
+            pairs = set()
+            for w, c in zip(*np.nonzero(met)):
+                x, value = low[w, c], seen[w, c]
+                while x < len(self.known_hashes) and self.known_hashes[x] == value:
+                    pairs.add((int(some[w]), int(self.known_items[x])))
+                    x += 1
+            yield from sorted(pairs)
 
     def distance(self, item: int, window: list[int]) -> tuple[int, int]:
         """The least edit distance of the item to any passage of ``window``, and its end.
