@@ -36,9 +36,9 @@ class Settings:
     prefix: int = 5
     sample_rows: int = 8000
     max_features: int = 2000
-    min_documents: int = 5
-    penalty: float = 0.0005
-    steps: int = 400
+    min_documents: int = 3
+    penalty: float = 0.0002
+    steps: int = 1200
     words_of_grade: tuple[int, ...] = (3, 7)
     seed: int = 3
 
