@@ -99,6 +99,15 @@ def top_words(docs: DataFrame, k: int = 15) -> DataFrame:
             .filter(F.col("rank") <= k))
 
 
+def group_profile(docs: DataFrame, group: str, k: int = 30) -> DataFrame:
+    """The k most frequent words of one group, each with the group's distinct words."""
+    counts = words_only(word_counts(docs.filter(F.col("group") == group)))
+    distinct = counts.agg(F.count("*").alias("distinct_words"))
+    top = counts.orderBy(F.desc("n"), "word").limit(k)
+    ranked = top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("n"), "word")))
+    return ranked.crossJoin(F.broadcast(distinct))  # one row
+
+
 def leakage_check(docs: DataFrame, words: Sequence[str] = tuple(fv.LEAKAGE_WORDS)) -> DataFrame:
     """Whether each listed word is among a group's tokens."""
     wide = docs.groupBy("group").agg(*[

@@ -16,18 +16,6 @@ def labeled_only(df: DataFrame) -> DataFrame:
     return df.filter(F.col("seniority_source") == "linkedin_primary")
 
 
-def labeled_plus_backfilled(df: DataFrame) -> DataFrame:
-    return df
-
-
-def non_deduped(df: DataFrame) -> DataFrame:
-    return df
-
-
-def deduped(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("keep_for_model"))
-
-
 def listed_count(tokens: Column, words: Sequence[str]) -> Column:
     """How many tokens, repeats included, are in a word list."""
     return F.size(F.filter(tokens, lambda t: t.isin(list(words)))).cast("bigint")

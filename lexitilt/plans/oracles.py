@@ -645,6 +645,12 @@ SELECT * FROM (SELECT "group", word, n,
     row_number() OVER (PARTITION BY "group" ORDER BY n DESC, word) AS rank
   FROM (SELECT seniority AS "group", unnest({words_of('embedding_text')}) AS word,
       count(*) AS n FROM tech GROUP BY 1, 2)) WHERE rank <= 15""")
+oracle("group_profile", f"""
+SELECT "group", word, n, row_number() OVER (ORDER BY n DESC, word) AS rank, distinct_words
+FROM (SELECT *, count(*) OVER () AS distinct_words
+  FROM (SELECT seniority AS "group", unnest({words_of('embedding_text')}) AS word,
+      count(*) AS n FROM tech WHERE seniority = 'mid' GROUP BY 1, 2))
+ORDER BY n DESC, word LIMIT 30""")
 oracle("leakage_check", f"""
 SELECT seniority AS "group", word,
   bool_or(list_contains({words_of('embedding_text')}, word)) AS present
@@ -729,7 +735,7 @@ _BY_SEED = "SELECT test_name, seed, " + ", ".join(
 oracle("weat_trajectories", "SELECT test_name, seed, " + ", ".join(
     f"{r6(g)} AS {g}" for g in fv.GROUP_ORDER) + f" FROM ({_BY_SEED})", LABEL_WEAT)
 _MEANS = ", ".join(f"avg({g}) FILTER (whole) AS {g}_mean" for g in fv.GROUP_ORDER)
-oracle("weat_monotonicity", "SELECT test_name, seed_runs, " + ", ".join(
+_MONOTONICITY = ("SELECT test_name, seed_runs, " + ", ".join(
     f"{r6(f'{g}_mean')} AS {g}_mean" for g in fv.GROUP_ORDER) + f"""
   , {r6('seed_order_rate')} AS seed_order_rate, mean_order_holds,
   CASE WHEN seed_runs = 0 THEN 'insufficient_seed_coverage'
@@ -741,7 +747,9 @@ FROM (SELECT *, coalesce(entry_mean < mid_mean AND mid_mean < senior_mean
       avg(CASE WHEN entry < mid AND mid < senior AND senior < leadership THEN 1.0 ELSE 0 END)
         FILTER (whole) AS seed_order_rate
     FROM (SELECT *, entry + mid + senior + leadership IS NOT NULL AS whole FROM ({_BY_SEED}))
-    GROUP BY 1))""", LABEL_WEAT)
+    GROUP BY 1))""")
+oracle("weat_monotonicity", _MONOTONICITY, LABEL_WEAT)
+oracle("weat_text_monotonicity", _MONOTONICITY, DENSE_WEAT)
 oracle("weat_interpretation", f"""
 SELECT *, CASE WHEN effect_size IS NULL OR p_value IS NULL
     THEN 'Insufficient vocabulary coverage.'

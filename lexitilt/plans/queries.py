@@ -352,6 +352,13 @@ def top_words(t):
     return corpus.top_words(docs).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@query
+def group_profile(t):
+    docs = corpus.with_tokens(synthetic_tech(t), tx.whitespace_tokens(F.col("embedding_text")),
+                              F.col("seniority"))
+    return corpus.group_profile(docs, "mid").withColumn("rank", F.col("rank").cast("bigint"))
+
+
 @query
 def leakage_check(t):
     capped = dedup.capped_copies(
@@ -504,6 +511,13 @@ def weat_monotonicity(t):
     return rounded(weat.monotonicity(centroid_results(t)), *means, "seed_order_rate")
 
 
+@query
+def weat_text_monotonicity(t):
+    """Whether effects rise with seniority in the text's own vectors, over all seeds."""
+    means = [f"{g}_mean" for g in fv.GROUP_ORDER]
+    return rounded(weat.monotonicity(seeded_results(t)), *means, "seed_order_rate")
+
+
 @query
 def weat_trajectories(t):
     return rounded(weat.effects_by_seed(centroid_results(t)), *fv.GROUP_ORDER)

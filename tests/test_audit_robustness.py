@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from lexitilt.operators import audit, robustness
 
-# masculine, feminine, tokens, and their rates and difference
+# Published counts (masculine, feminine, tokens), their rates and difference.
 RATES = [
     (5661, 4330, 1317684, 4.296174196544847, 3.286068587005686, 1.0101056095391607),
     (1821, 1684, 623900, 2.9187369770796603, 2.699150504888604, 0.2195864721910561),
@@ -42,8 +42,8 @@ def test_variants_equal_separate_runs(spark):
         F.concat_ws(" ", F.lit("driven"), F.when(F.col("id") % 2 == 0, "kind"), F.lit("x")).alias("model_text"))
     counted = robustness.coded_counts(df.withColumnRenamed("seniority_final", "group"), F.split("model_text", " "))
     got = {tuple(r) for r in robustness.lexicon_variants(counted).collect()}
-    parts = {"nondedup": df, "labeled_plus_backfilled": robustness.deduped(df),
-             "labeled_only": robustness.deduped(robustness.labeled_only(df))}
+    parts = {"nondedup": df, "labeled_plus_backfilled": df.filter("keep_for_model"),
+             "labeled_only": robustness.labeled_only(df).filter("keep_for_model")}
     union = robustness.tagged_union({k: robustness.lexicon_bias(v) for k, v in parts.items()})
     assert got == {tuple(r) for r in union.select("variant", *[c for c in union.columns if c != "variant"]).collect()}
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from lexitilt.functions import fixed_values as fv
 from lexitilt.operators import vectors, weat
 
-# group, seed, coverage of both targets and both attributes, effect size, p-value
+# Fixed values, published results: group, seed, coverage of both targets and both attributes,
+# effect size, p-value; below them the means, deviations and mean p-values by group.
 SEED_RESULTS = [
     ("entry", 7, 4, 5, 10, 8, 0.5676345667409747, 0.2125984251968504),
     ("entry", 17, 4, 5, 10, 8, 0.3750108001315317, 0.3228346456692913),
