@@ -144,7 +144,7 @@ def _rank_of(plan: list[dict]) -> Column:
 
 
 def placed(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text: str = "text",
-           source: str = "source", with_words: bool = False) -> tuple[DataFrame, list[dict]]:
+           source: str = "source", with_text: bool = False) -> tuple[DataFrame, list[dict]]:
     """Each document with rank, size and start, its place in its source's stream; the plan.
 
     A stream runs through buckets of documents. Bucket totals, one row for each source and
@@ -154,10 +154,10 @@ def placed(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text: str = "text"
     """
     narrow = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source).cast("string").alias("source"),
-        word_array(F.col(text)).alias("words")).withColumn("size", F.size("words").cast("long"))
-    sized = narrow.drop("words")
-    if not with_words:
-        sized = durable(sized)
+        F.size(word_array(F.col(text))).cast("long").alias("size"),
+        *([F.col(text).alias("text")] if with_text else []))
+    sized = durable(narrow.select("doc_id", "source", "size"))
+    if not with_text:
         narrow = sized
     by_source = sized.groupBy("source").agg(F.sum("size").alias("words"),
                                             F.count("*").alias("n")).collect()
@@ -189,7 +189,28 @@ def _pieces(at: DataFrame, mix: Mix) -> DataFrame:
         "block", F.explode(F.sequence(F.floor(F.col("start") / b), last)))
     low = F.greatest(F.col("start"), F.col("block") * b)
     high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b)
-    return cut.withColumns({"skip": low - F.col("start"), "n": high - low})
+    return cut.withColumn("n", high - low)
+
+
+def _text_pieces(at: DataFrame, mix: Mix) -> DataFrame:
+    """The same parts with their words: rank, block, piece (place, doc_id, text, n).
+
+    A row's parts are cut before they become rows, so no row but its own holds a whole text.
+    """
+    b, start, end = mix.block_words, F.col("start"), F.col("start") + F.col("size")
+
+    def part(words: Column, block: Column) -> Column:
+        low, high = F.greatest(start, block * b), F.least(end, (block + 1) * b)
+        text = F.slice(words, (low - start + 1).cast("int"), (high - low).cast("int"))
+        return F.struct(block.alias("block"), F.struct(
+            low.alias("place"), F.col("doc_id").alias("doc_id"),
+            F.array_join(text, " ").alias("text"), (high - low).alias("n")).alias("piece"))
+
+    blocks = F.sequence(F.floor(start / b), F.floor((end - 1) / b))
+    parts = bound(word_array(F.col("text")), lambda ws: F.transform(
+        blocks, lambda block: part(ws, block)))
+    return at.where("size > 0").select("rank", F.explode(parts).alias("part")) \
+        .select("rank", "part.block", "part.piece")
 
 
 def taken_words(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text: str = "text",
@@ -223,11 +244,8 @@ def mixture(docs: DataFrame, mix: Mix = Mix(block_words=256), id_col: str = "doc
     by blanks and ``doc_ids`` the documents they come from, in order. Nulls, repeated rows
     and empty tables as in ``taken_words``.
     """
-    at, plan = placed(docs, mix, id_col, text, source, with_words=True)
-    part = F.slice(F.col("words"), (F.col("skip") + 1).cast("int"), F.col("n").cast("int"))
-    pieces = _pieces(at, mix).select("rank", "block", F.struct(
-        "start", "doc_id", F.array_join(part, " ").alias("text"), "n").alias("piece"))
-    blocks = pieces.groupBy("rank", "block").agg(
+    at, plan = placed(docs, mix, id_col, text, source, with_text=True)
+    blocks = _text_pieces(at, mix).groupBy("rank", "block").agg(
         F.sort_array(F.collect_list("piece")).alias("pieces"))
     names = [r["source"] for r in plan]
     return blocks.join(slots(docs.sparkSession, plan, mix), ["rank", "block"]).select(
