@@ -30,6 +30,7 @@ from lexitilt.llm.common import bounded_sample, fold_of
 TOKEN = r"\w+|[^\w\s]+"
 _TOKEN = re.compile(TOKEN)
 _CHUNK = 100_000
+_CACHE = 300_000
 
 
 @dataclass(frozen=True)
@@ -76,14 +77,19 @@ class Tokens:
         ids: list[int] = []
         starts: list[int] = []
         rows: list[int] = []
-        get, shape = self.known.get, self.shape
+        numbers = dict(self.known)  # and the numbers of other tokens as they come
         for k, text in enumerate(texts):
             tokens = _TOKEN.findall(text) if text else []
             if not tokens:
                 continue
             starts.append(len(ids))
             rows.append(k)
-            ids += [x if (x := get(t)) is not None else shape(t) for t in tokens]
+            for t in tokens:
+                if (x := numbers.get(t)) is None:
+                    x = numbers[t] = self.shape(t)
+                ids.append(x)
+            if len(numbers) > _CACHE:
+                numbers = dict(self.known)
             if len(ids) > _CHUNK:
                 yield np.array(ids), np.array(starts), rows
                 ids, starts, rows = [], [], []
