@@ -11,9 +11,9 @@ edits between two texts become a few differing places of the embeddings. A hash
 few sampled places; a window and an item that agree in one of many hashes are candidates, and
 each is verified with the exact edit distance to any passage around the window.
 
-Before embedding, a window is passed over when it holds fewer of the benchmark's word pairs
-(words next to each other) than any passage within the allowed edits must hold: an edit takes
-at most two pairs of an item away. Pairs that repeat the pair before them are also left out
+Before embedding, a window is passed over when it holds fewer word pairs (words next to each
+other) of the items of its size than any passage within the allowed edits must hold: an edit
+takes at most two pairs of an item away. Pairs that repeat the pair before them are also left out
 of a second count, of which an edit takes at most three, so that a word written over and over
 does not pass for a passage. Both conditions are exact and lose no match.
 
@@ -103,6 +103,9 @@ class Index:
         self.odd = np.random.default_rng(search.seed).integers(
             0, 1 << 63, (search.embeddings, _steps(longest)), dtype=np.uint64) \
             * np.uint64(2) + np.uint64(1)
+        for group in self.lengths.values():
+            group["pairs"] = np.isin(self.pairs, np.concatenate(
+                [self._codes(self.items[k]) for k in group["members"]]))
         self.places = {m: np.random.default_rng((search.seed, m)).integers(
             0, _steps(m), (search.embeddings, search.hashes, search.places)) for m in by_length}
         sizes = np.array([len(x) for x in self.items], np.int64)
@@ -160,20 +163,28 @@ class Index:
         codes = self._codes(ids)
         at = np.nonzero(codes)[0]
         place = np.minimum(np.searchsorted(self.pairs, codes[at]), len(self.pairs) - 1)
-        at = at[self.pairs[place] == codes[at]]
-        marks = np.where(ids < 0, -(1 << 20), 0)
-        marks[at] = 1
-        total = np.concatenate(([0], np.cumsum(marks)))
-        marks[at[codes[at] == codes[at - 1]]] = 0
-        total_new = np.concatenate(([0], np.cumsum(marks)))
+        met = self.pairs[place] == codes[at]
+        at, place = at[met], place[met]
+        new = codes[at] != codes[at - 1]
+        ends = np.nonzero(ids < 0)[0]
         symbols = self.symbol[np.maximum(ids, 0)]
         found, sizes = [], []
         for m, group in self.lengths.items():
-            if len(ids) < m:
+            own = group["pairs"][place]
+            p, p_new, least = at[own], at[own & new], group["least"]
+            if len(p) < least:
                 continue
-            held = total[m - 1:-1] - total[:-m]  # pairs inside each window of m words
-            starts = np.nonzero(held >= group["least"])[0]
-            starts = starts[total_new[starts + m - 1] - total_new[starts] >= group["least_new"]]
+            # where ``least`` pairs lie within one window, the starts of all windows around them
+            high = p[:len(p) - least + 1]
+            low = p[least - 1:] - (m - 2)
+            fits = low <= high
+            spans = (high - low + 1)[fits]
+            starts = np.unique(np.repeat(low[fits] - np.cumsum(spans) + spans, spans)
+                               + np.arange(spans.sum()))
+            starts = starts[starts >= 0]
+            starts = starts[ends[np.searchsorted(ends, starts)] > starts + m - 2]
+            held = np.searchsorted(p_new, starts + m - 1) - np.searchsorted(p_new, starts)
+            starts = starts[held >= group["least_new"]]
             found.append(starts)
             sizes.append(np.full(len(starts), m))
         if not found:
