@@ -144,20 +144,41 @@ def _date(m: Column, key: str, undo: bool) -> Column:
 
 
 def _phone(m: Column, key: str, undo: bool) -> Column:
-    """Ten digits after the country code; area and exchange keep a first digit of 2 or more."""
+    """Ten digits after the country code, each of which a phone number may be written with.
+
+    Where area and exchange start with 2 or more, so do those of the pseudonym. All other
+    numbers are permuted among themselves: their two first digits are one of 36 pairs.
+    """
     d = _digits(m)
     code = F.substring(d, 1, F.length(d) - 10)
     digits = F.transform(_chars(F.substring(d, -10, 10)), lambda c: c.cast("int"))
     low = F.array(*[F.lit(2 if i in (0, 3) else 0) for i in range(10)])
     radices = F.array(*[F.lit(8 if i in (0, 3) else 10) for i in range(10)])
+    at = lambda v, i: F.get(v, F.lit(i))
 
-    def new(v: Column) -> Column:
+    def inside(v: Column) -> Column:
         out = feistel(F.zip_with(v, low, lambda x, y: x - y), radices, key, "phone", undo=undo)
-        made = F.zip_with(out, low, lambda x, y: (x + y).cast("string"))
-        return bound(F.concat(_chars(code), made), lambda f: _refilled(m, r"\d", f))
-
-    valid = lambda v: (F.get(v, F.lit(0)) >= 2) & (F.get(v, F.lit(3)) >= 2)
-    return bound(digits, lambda v: F.when(valid(v), new(v)))
+        return F.zip_with(out, low, lambda x, y: x + y)
+
+    def outside(v: Column) -> Column:
+        area, exchange = at(v, 0), at(v, 3)
+        pair = F.when(area < 2, 10 * area + exchange).otherwise(16 + 2 * area + exchange)
+        values = F.array(pair, *[at(v, i) for i in range(10) if i not in (0, 3)])
+        out = feistel(values, F.array(F.lit(36), *[F.lit(10)] * 8), key, "phone outside",
+                      undo=undo)
+
+        def apart(w: Column) -> Column:
+            p, low_area = at(w, 0), at(w, 0) < 20
+            first = F.when(low_area, F.floor(p / 10)).otherwise(F.floor((p - 16) / 2)).cast("int")
+            fourth = F.when(low_area, p % 10).otherwise(p % 2)
+            return F.array(first, at(w, 1), at(w, 2), fourth, *[at(w, i) for i in range(3, 9)])
+
+        return bound(out, apart)
+
+    planned = lambda v: (at(v, 0) >= 2) & (at(v, 3) >= 2)
+    made = bound(digits, lambda v: F.when(planned(v), inside(v)).otherwise(outside(v)))
+    return bound(F.concat(_chars(code), made.cast("array<string>")),
+                 lambda f: _refilled(m, r"\d", f))
 
 
 def _national_id(m: Column, key: str, undo: bool) -> Column:

@@ -78,3 +78,18 @@ def test_counts_and_empty_table(spark):
     got = {(r.n_values, r.n_ip, r.n_email, r.n_card) for r in pii.mask(df, KEY).collect()}
     assert got == {(3, 2, 1, 0), (0, 0, 0, 0)}
     assert pii.mask(spark.createDataFrame([], SCHEMA), KEY).collect() == []
+
+
+def test_phone_numbers_outside_the_plan_are_replaced(spark):
+    phones = [f"+1 ({k:03d}) {e}55-77{k % 100:02d}" for k in range(200) for e in (0, 5)] \
+        + [f"{k}08-{e}55-7800" for k in range(2, 10) for e in (0, 1)]
+    df = spark.createDataFrame(list(enumerate(phones)), SCHEMA)
+    made = pii.pseudonymised(df, KEY)
+    out = [r.text for r in made.orderBy("doc_id").collect()]
+    assert len(set(out)) == len(phones) and sum(x == y for x, y in zip(out, phones)) < 5
+    assert all(re.sub(r"\d", "0", x).replace("+0", "+1") == re.sub(r"\d", "0", y).replace("+0", "+1")
+               for x, y in zip(out, phones))
+    first = [re.sub(r"\D", "", x)[-10:] for x in out]
+    assert all(x[0] < "2" or x[3] < "2" for x in first)
+    back = pii.pseudonymised(made.select("doc_id", "text"), KEY, undo=True)
+    assert [r.text for r in back.orderBy("doc_id").collect()] == phones
