@@ -32,7 +32,7 @@ class Rules:
     max_repeat_percent: int = 20
     common_words: int = 24
     min_reference_documents: int = 20
-    max_languages: int = 64
+    max_languages: int = 64  # of the SQL counterpart alone; here every language counts
     min_chars: int = 300
     min_words_seen: int = 40
     max_class_distance: float = 0.26
@@ -126,8 +126,8 @@ def references(docs: DataFrame, rules: Rules, lang: str = "lang",
                text: str = "text") -> list[dict]:
     """One reference a language: mean class shares, common words and their shares.
 
-    Learnt from every document that has a language. The ``max_languages`` languages with
-    most documents get one; a few dozen numbers a language come to the driver.
+    Learnt from every document that has a language, for each language with enough of them; a
+    few dozen numbers a language come to the driver.
     """
     told = docs.where(F.col(lang).isNotNull() & (F.length(text) >= rules.min_chars))
     bare = F.length(F.replace(blank_separated(F.col(text)), F.lit(" "), F.lit("")))
@@ -135,21 +135,25 @@ def references(docs: DataFrame, rules: Rules, lang: str = "lang",
     by_class = (class_shares(told, text, bare).groupBy(lang)
                 .agg(F.count("*").alias("n_docs"), *means)
                 .where(F.col("n_docs") >= rules.min_reference_documents)
-                .orderBy(F.desc("n_docs"), lang).limit(rules.max_languages).collect())
+                .orderBy(F.desc("n_docs"), lang).collect())
     if not by_class:
         return []
     counted = durable(
-        told.where(F.col(lang).isin([r[lang] for r in by_class]))
-        .select(lang, F.explode(word_array(F.lower(text))).alias("word"))
+        told.select(lang, F.explode(word_array(F.lower(text))).alias("word"))
         .groupBy(lang, "word").agg(F.count("*").alias("n")))
+    known = {r[lang] for r in by_class}
     total = {r[lang]: r["n"] for r in counted.groupBy(lang).agg(F.sum("n").alias("n")).collect()}
     order = Window.partitionBy(lang).orderBy(F.desc("n"), F.asc("word"))
     top = (counted.withColumn("place", F.row_number().over(order))
            .where(F.col("place") <= rules.common_words).orderBy(lang, "place").collect())
+    words: dict[str, list] = {}
+    for x in top:
+        if x[lang] in known:
+            words.setdefault(x[lang], []).append(x)
     return [{
         "lang": r[lang], "classes": [r[f"c{k}"] for k in range(N_CLASSES)],
-        "words": [x["word"] for x in top if x[lang] == r[lang]],
-        "shares": [x["n"] / total[r[lang]] for x in top if x[lang] == r[lang]],
+        "words": [x["word"] for x in words.get(r[lang], [])],
+        "shares": [x["n"] / total[r[lang]] for x in words.get(r[lang], [])],
     } for r in by_class]
 
 
@@ -186,8 +190,13 @@ def with_divergence(df: DataFrame, refs: list[dict], rules: Rules, lang: str = "
         F.array(*[F.lit(x) for x in r["words"]]).cast("array<string>").alias("words"),
         F.array(*[F.lit(float(x)) for x in [*r["shares"], 1 - sum(r["shares"])]]).alias("shares"),
     ) for r in refs])
-    own = F.filter(known, lambda r: r["lang"] == F.col(lang))
-    df = df.withColumn("held", F.when(F.size(own) > 0, own).otherwise(known))
+    # one row a language, and one row of all for the rows that have none of their own
+    every = df.sparkSession.range(1).select(known.alias("every"))
+    own = every.select(F.explode("every").alias("own")) \
+        .select(F.col("own.lang").alias("own_lang"), "own")
+    df = df.join(F.broadcast(own), F.col(lang) == F.col("own_lang"), "left") \
+        .crossJoin(F.broadcast(every)) \
+        .withColumn("held", F.when(F.col("own").isNotNull(), F.array("own")).otherwise(F.col("every")))
     n = F.col("n_words")
 
     def times(word: Column) -> Column:
@@ -206,7 +215,7 @@ def with_divergence(df: DataFrame, refs: list[dict], rules: Rules, lang: str = "
             lambda r: js_distance(F.col("classes"), r["classes"]))),
         "word_distance": F.when(n >= rules.min_words_seen, nearest(
             lambda r: js_distance(word_shares(r), r["shares"]))),
-    }).drop("classes", "n_chars_seen", "spaced", "held")
+    }).drop("classes", "n_chars_seen", "spaced", "held", "own", "own_lang", "every")
 
 
 def apply_rules(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id",

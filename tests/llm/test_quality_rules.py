@@ -63,3 +63,12 @@ def test_repeated_rows_unknown_languages_and_empty_table(spark):
     assert len(got) == 32 and len({(r.class_distance, r.word_distance) for r in got}) == 1
     assert all(r.kept for r in got)
     assert qr.apply_rules(df.limit(0)).collect() == []
+
+
+def test_every_language_has_a_reference_of_its_own(spark):
+    rows = [(100 * a + k, " ".join(f"l{a}w{(j * j + k) % 30}" for j in range(120)), f"x{a:02d}")
+            for a in range(70) for k in range(20 + (a < 64))]
+    got = qr.with_divergence(
+        qr.with_base_metrics(df := spark.createDataFrame(rows, SCHEMA)),
+        qr.references(df, qr.Rules()), qr.Rules()).select("doc_id", "word_distance").collect()
+    assert len(got) == len(rows) and all(r.word_distance < 0.9 for r in got)
