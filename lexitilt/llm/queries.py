@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lexitilt.llm import (
+    conversations,
     decontamination,
     language_id,
     licenses,
+    merkle,
     mixing,
     near_dedup,
     pii,
@@ -67,6 +69,14 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.score(documents, quality_classifier.train(documents, labels))
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.verified_manifest(table(spark, folder, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(table(spark, folder, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality_rules,
@@ -79,5 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_source_mixing,
         op10_quality_classifier,
+        op11_merkle_manifest,
+        op13_conversation_repair,
     )
 }
