@@ -13,12 +13,6 @@ A list of two is a pair. A longer list is worked through in one place and leaves
 link a member (a spanning forest). A list over ``MAX_LIST`` is not gathered at all: each of
 its members is sent to all values within two bits of it, and two fingerprints within four
 bits always share such a value. That is exact, and its rows grow with the list, not its square.
-
-Four bits reach few of the pairs that share most of their shingles. ``keep_one_each`` takes the
-shingle similarity itself: sets of shingles that share a band of min-hashes are candidates
-(two at a similarity of 0.8 share none of the ``BANDS`` with probability 3e-6), and the exact
-Jaccard similarity of the sets decides. Lists of candidates are worked through by pivots, with
-no limit on their length; what one component already holds is not compared again.
 """
 
 from __future__ import annotations
@@ -29,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexitilt.llm.common import durable
@@ -39,11 +33,6 @@ SEED = 42
 MAX_BITS = 4
 MAX_LIST = 2048
 _BATCH_SHINGLES = 400_000
-#: Of the stage by similarity: shingle width, least similarity, bands of min-hashes, pivots a round.
-SET_WORDS = 5
-SIMILARITY = 0.8
-BANDS, BAND_HASHES = 24, 4
-PIVOTS = 32
 
 
 def shingle_hashes(text: str | None, width: int = SHINGLE_WORDS) -> list[int]:
@@ -107,19 +96,20 @@ def fingerprint_texts(texts: list[str | None], width: int = SHINGLE_WORDS) -> np
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed 64-bit value; one row a document."""
+    """doc_id, fp, the fingerprint as a signed 64-bit value, and mark, a hash of the whole text;
+    one row a document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = fingerprint_texts(batch["text"].tolist()).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": found})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": found, "mark": batch["mark"]})
 
     narrow = docs.select(F.col(id_col).cast("string").alias("doc_id"),
-                         F.col(text).alias("text"))
+                         F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("mark"))
     kind = docs.schema[id_col].dataType
     # ids go through Python as text, so that a null id stays null and no id is rounded
-    return narrow.mapInPandas(run, "doc_id string, fp long").select(
-        F.col("doc_id").cast(kind).alias("doc_id"), "fp")
+    return narrow.mapInPandas(run, "doc_id string, fp long, mark long").select(
+        F.col("doc_id").cast(kind).alias("doc_id"), "fp", "mark")
 
 
 def _signed(value: int) -> int:
@@ -225,158 +215,46 @@ def components(edges: DataFrame) -> DataFrame:
         edges = durable(small.unionByName(first.select("u", F.col("w").alias("v"))).distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
-                    max_list: int = MAX_LIST) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id; one row a document.
-
-    component_id is the smallest id reachable over links, the document's own included.
-    A null or empty text has fingerprint zero, which links like any other. A null id keeps
-    its row and takes part, but is no component's id while another id is there. Repeated
-    rows give repeated results; an empty table gives no rows; other columns are not used.
-    """
+def grouped(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
+            max_list: int = MAX_LIST) -> DataFrame:
+    """doc_id, fp, mark (see ``fingerprints``), root (a fingerprint that stands for the component)
+    and component_id; one row a document."""
     marked = durable(fingerprints(docs, id_col, text))
     least = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     rooted = components(links(least.select("fp"), max_list))
     by_fp = least.join(rooted.withColumnRenamed("node", "fp"), "fp", "left") \
         .select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     by_root = by_fp.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = by_fp.join(by_root, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def shingle_set(text: str | None, width: int = SET_WORDS) -> np.ndarray:
-    """The distinct shingle hashes of a text in order."""
-    return np.unique(np.array(shingle_hashes(text, width), np.uint64))
-
-
-def _set_id(found: np.ndarray) -> int:
-    return _signed(xxhash.xxh3_64_intdigest(found.tobytes(), SEED))
+    named = by_fp.join(by_root, "root").select("fp", "root", "component_id")
+    return marked.join(named, "fp")
 
 
-def band_keys(found: np.ndarray) -> list[int]:
-    """A key for each band: a digest of its min-hashes; none for an empty set."""
-    if not len(found):
-        return []
-    odd = np.random.default_rng(SEED).integers(
-        0, 1 << 63, BANDS * BAND_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    least = np.full(len(odd), np.iinfo(np.uint64).max)
-    for k in range(0, len(found), 4096):
-        part = found[k:k + 4096]
-        part = part ^ (part >> np.uint64(29))
-        least = np.minimum(least, (odd[:, None] * part[None, :]).min(axis=1))
-    return [_signed(xxhash.xxh3_64_intdigest(x.tobytes(), k))
-            for k, x in enumerate(least.reshape(BANDS, BAND_HASHES))]
-
-
-def _set_rows(docs: DataFrame, width: int, whole: bool) -> DataFrame:
-    """doc_id, set_id, size of each row of ``docs`` (doc_id, text), and its band keys, or
-    the shingles themselves if ``whole``."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
+                    max_list: int = MAX_LIST) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id; one row a document.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 256):  # long texts: few sets at a time
-                some = batch.iloc[at:at + 256]
-                sets = [shingle_set(t, width) for t in some["text"]]
-                held = [x.view(np.int64) for x in sets] if whole else [band_keys(x) for x in sets]
-                yield pd.DataFrame({"doc_id": some["doc_id"].tolist(),
-                                    "set_id": [_set_id(x) for x in sets],
-                                    "size": [len(x) for x in sets], "held": held})
-
-    kind = docs.schema["doc_id"].dataType
-    return docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(
-        run, "doc_id string, set_id long, size long, held array<long>").select(
-        F.col("doc_id").cast(kind).alias("doc_id"), "set_id", "size", "held")
-
-
-def _similar(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs`` a, b whose sets have at least the Jaccard ``similarity``."""
-    side = lambda n: shingles.select(
-        F.col("set_id").alias(n), F.col("held").alias(f"held_{n}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    shared = F.size(F.array_intersect("held_a", "held_b"))
-    total = F.size("held_a") + F.size("held_b") - shared
-    return both.where(shared >= F.lit(similarity) * total - 1e-9).select("a", "b")
-
-
-def similar_sets(sets: DataFrame, docs: DataFrame, width: int = SET_WORDS,
-                 similarity: float = SIMILARITY, pivots: int = PIVOTS) -> DataFrame:
-    """node and root of ``components``, over all candidates that reach ``similarity``.
-
-    ``sets``: set_id, size, first_id, held (band keys), no set_id twice; ``docs``: doc_id,
-    text. In each round some members of every list are pivots, compared with all its other
-    members outside their component, and then leave the list. A list whose members are all of
-    one component is done, so no pair goes unseen and a list of copies costs one round.
-    """
-    index = sets.select("set_id", "size", F.explode("held").alias("key"))
-    busy = index.groupBy("key").agg(F.count("*").alias("n")).where("n >= 2").select("key")
-    index = durable(index.join(busy, "key"))
-    needed = index.select("set_id").distinct().join(sets, "set_id") \
-        .select(F.col("first_id").alias("doc_id"))
-    shingles = durable(_set_rows(docs.join(needed, "doc_id", "left_semi"), width, True)
-                       .dropDuplicates(["set_id"]))
-    edges = durable(index.select(F.col("set_id").alias("a"), F.col("set_id").alias("b")).limit(0))
-    left = durable(index.withColumn("root", F.col("set_id")))
-    count = 1
-    while True:
-        # pivots of as many components as there are: the first of each, then the second
-        turn = F.struct(F.xxhash64("root"), F.col("set_id")).alias("turn")
-        first = left.groupBy("key", "root").agg(F.min(turn).alias("turn"))
-        place = F.row_number().over(Window.partitionBy("key").orderBy("turn"))
-        chosen = first.withColumn("place", place).where(F.col("place") <= count) \
-            .select("key", F.col("turn.set_id").alias("pivot"))
-        of = left.select("key", F.col("set_id").alias("pivot"), F.col("size").alias("pivot_size"),
-                         F.col("root").alias("pivot_root"))
-        chosen = durable(chosen.join(of, ["key", "pivot"]))
-        pairs = left.join(chosen, "key").where(
-            (F.col("root") != F.col("pivot_root"))
-            & (F.least("size", "pivot_size") >= F.lit(similarity)
-               * F.greatest("size", "pivot_size") - 1e-9)) \
-            .select(F.least("set_id", "pivot").alias("a"), F.greatest("set_id", "pivot").alias("b")) \
-            .distinct()
-        edges = durable(edges.unionByName(_similar(pairs, shingles, similarity)))
-        rooted = durable(components(edges))
-        rest = left.drop("root").join(
-            chosen.select("key", F.col("pivot").alias("set_id")), ["key", "set_id"], "left_anti") \
-            .join(rooted.withColumnRenamed("node", "set_id"), "set_id", "left") \
-            .withColumn("root", F.coalesce("root", "set_id"))
-        mixed = rest.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")) \
-            .where("x <> y").select("key")
-        left = durable(rest.join(mixed, "key"))
-        if left.isEmpty():
-            return rooted
-        count = pivots
-
-
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
-                      width: int = SET_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id and component_id, the smallest id that links lead to; rows with an id only.
-
-    Two documents are linked if their sets of ``width``-word shingles have a Jaccard
-    similarity of at least ``similarity``. Texts without words are copies of each other.
+    component_id is the smallest id reachable over links, the document's own included.
+    A null or empty text has fingerprint zero, which links like any other. A null id keeps
+    its row and takes part, but is no component's id while another id is there. Repeated
+    rows give repeated results; an empty table gives no rows; other columns are not used.
     """
-    narrow = docs.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
-    marked = durable(_set_rows(narrow, width, False))
-    sets = durable(marked.groupBy("set_id").agg(
-        F.min("doc_id").alias("first_id"), F.first("size").alias("size"),
-        F.first("held").alias("held")))
-    rooted = similar_sets(sets, narrow, width, similarity)
-    by_set = sets.join(rooted.withColumnRenamed("node", "set_id"), "set_id", "left") \
-        .select("set_id", "first_id", F.coalesce("root", "set_id").alias("root"))
-    by_root = by_set.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = by_set.join(by_root, "root").select("set_id", "component_id")
-    return marked.join(named, "set_id").select("doc_id", "component_id")
+    return grouped(docs, id_col, text, max_list).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
-                  width: int = SET_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id.
+                  max_list: int = MAX_LIST) -> DataFrame:
+    """``docs`` with one document of each component of ``near_duplicates``: the smallest id's.
 
-    Components are those of ``similar_documents``. Of rows that share an id, one stays. Rows
-    without an id cannot be named as a copy of another, and stay.
+    Where several texts of a group have that id, the one with the least hash stays, and of equal
+    rows one; texts of one id that are in different groups all count.
+    Rows without an id cannot be named as a copy of another, and stay. An empty table stays
+    empty, texts of any length are fingerprinted whole, and other columns are kept as they are.
     """
-    chosen = similar_documents(docs, id_col, text, width, similarity) \
-        .where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    named = docs.join(chosen, id_col, "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    named = docs.where(F.col(id_col).isNotNull())
+    first = grouped(named, id_col, text, max_list).where("doc_id = component_id") \
+        .groupBy("root", "doc_id").agg(F.min("mark").alias("mark"))
+    rows = named.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"),
+                        F.xxhash64(F.col(text)).alias("mark"))
+    kept = rows.join(first, ["doc_id", "mark"], "left_semi").dropDuplicates(["doc_id", "mark"])
+    return kept.select("row.*").unionByName(docs.where(F.col(id_col).isNull()))

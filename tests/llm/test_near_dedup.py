@@ -107,41 +107,18 @@ def test_one_of_each_group_stays(spark):
     assert {r.component_id for r in kept if r.doc_id == 1} == {"y"}
 
 
-def brute_kept(rows, least=0.8):
-    def shingles(t):
-        w = t.lower().split()
-        return {" ".join(w[k:k + 5]) for k in range(max(1, len(w) - 4))}
-    sets = [(i, shingles(t)) for i, t in rows]
-    label = {i: i for i, _ in rows}
-    changed = True
-    while changed:
-        changed = False
-        for i, a in sets:
-            for j, b in sets:
-                if label[j] < label[i] and len(a & b) >= least * len(a | b):
-                    label[i], changed = label[j], True
-    return {i for i in label if label[i] == i}
-
-
-def changed_copies(words, edits, n, seed):
-    rng = np.random.default_rng(seed)
-    base = [f"{seed}w{k}" for k in range(words)]
-    out = []
-    for c in range(n):
-        copy = list(base)
-        for p in rng.choice(words, edits, replace=False):
-            copy[p] = f"x{c}y{p}"
-        out.append(" ".join(copy))
-    return out
-
-
-@pytest.mark.parametrize("pivots", [2, 32])
-def test_copies_by_shingle_similarity_equal_brute_force(spark, monkeypatch, pivots):
-    monkeypatch.setattr(nd.similar_sets, "__defaults__",
-                        (*nd.similar_sets.__defaults__[:2], pivots))
-    texts = [t for seed, edits in ((1, 1), (2, 2), (3, 3), (4, 4), (5, 6), (6, 10))
-             for t in changed_copies(200, edits, 12, seed)]
-    rows = list(enumerate(texts))
-    want = brute_kept(rows)
+def test_texts_of_one_id_are_copies_only_if_they_are_near(spark):
+    rows = [(5, "a b c d e", "x"), (5, "p q r s t u", "y"), (5, "p q r s t u", "z"), (9, None, "n"),
+            (8, "", "m"), (8, "long " * 50_000, "l")]
+    kept = nd.keep_one_each(spark.createDataFrame(rows, SCHEMA + ", mark string")).collect()
+    assert sorted(r.doc_id for r in kept) == [5, 5, 8, 8]
+    chosen = {r.text for r in kept}
+    assert len(chosen) == 4 and chosen <= {t for _, t, _ in rows}
+    assert nd.keep_one_each(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_kept_documents_are_the_first_of_each_group(spark):
+    rows = list(enumerate(near_copies(15, 6) + near_copies(9, 7) + ["alone in the world", None, ""]))
+    marked = [(i, brute_fingerprint(t)) for i, t in rows]
     kept = nd.keep_one_each(spark.createDataFrame(rows, SCHEMA)).collect()
-    assert {r.doc_id for r in kept} == want and len(want) < len(rows) - 20
+    assert {r.doc_id for r in kept} == set(brute_components(marked))
