@@ -26,7 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Keeps one document of each group at a five-word shingle similarity of 0.8 or more."""
+    """Keeps one document of each group of linked SimHash fingerprints (four-word shingles, four bits)."""
     return near_dedup.keep_one_each(docs)
 
 
