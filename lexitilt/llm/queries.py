@@ -17,6 +17,7 @@ from lexitilt.llm import (
     pii,
     quality_classifier,
     quality_rules,
+    repeats,
     toxicity,
     url_filter,
 )
@@ -73,6 +74,10 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.verified_manifest(table(spark, folder, "documents"))
 
 
+def op12_repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.removed_repeats(table(spark, folder, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.repair(conversations.damaged(table(spark, folder, "conversations")))
 
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_source_mixing,
         op10_quality_classifier,
         op11_merkle_manifest,
+        op12_repeated_bytes,
         op13_conversation_repair,
     )
 }

@@ -19,7 +19,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 def test_one_query_an_operator():
     names = entry.queries()
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14))
     assert "pipeline" in names
 
 
