@@ -17,13 +17,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexitilt.functions import fixed_values as fv
+from lexitilt.operators import permutations as permutations_
 from lexitilt.operators.shaping import in_group_order, small_table
 from lexitilt.operators.vectors import WordVectors
+from lexitilt.sources.staging import materialize
 
 ROLES = {"targets_a": "coverage_targets_a", "targets_b": "coverage_targets_b",
          "attributes_a": "coverage_attrs_a", "attributes_b": "coverage_attrs_b"}
-EXACT_UP_TO = 16
-TIE = 1e-12
 
 Specs = Mapping[str, Mapping[str, Sequence[str]]]
 
@@ -160,75 +160,48 @@ def scored_models(vectors: WordVectors, specs: Specs = fv.WEAT_SPECS,
     return _with_all_models(scored, vectors, specs)
 
 
-def _exact_score(mask: Column) -> Column:
-    """Sum over the chosen targets minus the sum over the others, s0 to s15.
-
-    Written out term by term over plain columns, so that it is compiled code.
-    """
-    terms = [F.when(F.shiftright(mask, i).bitwiseAND(1) == 1, F.col(f"s{i}"))
-             .otherwise(-F.col(f"s{i}")) for i in range(EXACT_UP_TO)]
-    return reduce(lambda a, b: a + b, terms)
-
-
-def _sampled_score(draw: Column, targets: Column, size_a: Column, seed: Column) -> Column:
-    """The same for a random choice: the first targets in a hash order of the draw."""
-    shuffled = F.array_sort(F.transform(targets, lambda t: F.struct(
-        F.md5(F.concat_ws(":", seed.cast("string"), draw.cast("string"), t["word"])).alias("h"),
-        t["s"].alias("s"))))
-    signed = F.transform(shuffled, lambda t, i: F.when(i < size_a, t["s"]).otherwise(-t["s"]))
-    return F.aggregate(signed, F.lit(0.0), lambda total, x: total + x)
-
-
 def permutation_test(models: DataFrame, keys: Sequence[str], *, permutations: int = 1000,
-                     seed: Column | int = 42, force_sampled: bool = False) -> DataFrame:
+                     seed: Column | int = 42, force_sampled: bool = False,
+                     error: float | None = None) -> DataFrame:
     """Adds p_value: the share of splits that score at least as high as observed.
 
-    Up to sixteen targets every split of the same sizes is scored; above, or with
-    ``force_sampled``, ``permutations`` hash-seeded random ones. The observed split
-    counts as one more on both sides.
+    Up to sixteen targets every split of the same sizes counts; above, or with
+    ``force_sampled``, ``permutations`` hash-seeded random ones, or with ``error`` as many as it
+    takes to know p to that error, ``permutations`` at most (columns draws and p_error tell). The
+    observed split counts as one more on both sides.
     """
     seed = seed if isinstance(seed, Column) else F.lit(seed)
-    size_a = F.col("coverage_targets_a").cast("int")
-    size = F.size("targets")
-    exact = F.lit(False) if force_sampled else (size <= EXACT_UP_TO)
-    draws = F.sequence(F.lit(1).cast("bigint"), F.lit(permutations).cast("bigint"))
-    sampled = F.transform(draws, lambda d: _sampled_score(d, F.col("targets"), size_a, seed))
-    masks = F.sequence(F.lit(0).cast("bigint"),
-                       F.call_function("shiftleft", F.lit(1).cast("bigint"), size) - 1)
-    carried = [c for c in models.columns if c not in (*keys, "targets")]
-    # Nothing but numbers goes through the explode, bar the sampled scores if any.
-    flat = models.select(
-        *keys, *carried, exact.alias("exact"),
-        *[F.coalesce(F.get("targets", F.lit(i))["s"], F.lit(0.0)).alias(f"s{i}")
-          for i in range(EXACT_UP_TO)],
-        F.when(~exact, sampled).alias("sampled"),
-        F.when(F.col("targets").isNull(), F.array(F.lit(None).cast("bigint")))
-        .when(exact, masks).otherwise(draws).alias("draws"))
-    draw = F.col("draw")
-    score = (F.when(F.col("exact"), _exact_score(draw))
-             .otherwise(F.get("sampled", (draw - 1).cast("int"))))
-    scored = (
-        flat.select(*[c for c in flat.columns if c != "draws"], F.explode("draws").alias("draw"))
-        .filter(draw.isNull() | ~F.col("exact") | (F.bit_count(draw) == size_a))
-        .select(*keys, *carried, "draw", score.alias("score")))
-    reached = F.count_if(F.col("score") >= F.col("test_statistic") - TIE)
-    return (scored.groupBy(*keys)
-            .agg(*[F.first(c).alias(c) for c in carried],
-                 ((reached + 1) / (F.count("draw") + 1)).alias("_p"))
-            .withColumn("p_value", F.when(F.col("test_statistic").isNotNull(), F.col("_p")))
-            .drop("_p"))
+    models = materialize(models, "scored")
+    small = F.col("targets").isNull() | (F.size("targets") <= permutations_.EXACT_UP_TO)
+    sampled = models if force_sampled else models.where(~small)
+    if error is None:
+        drawn = permutations_.sampled_counts(sampled, keys, 1, permutations, seed)
+    else:
+        drawn = permutations_.sequential_counts(
+            sampled, keys, seed, error, most=permutations).withColumnRenamed("error", "p_error")
+    if not force_sampled:
+        exact = permutations_.exact_counts(models.where(small), keys)
+        drawn = drawn.unionByName(exact if error is None
+                                  else exact.withColumn("p_error", F.lit(0.0)))
+    found = drawn.select(
+        *[F.col(k).alias(f"_{k}") for k in keys],
+        permutations_.p_value(F.col("reached"), F.col("splits")).alias("p_value"),
+        *([F.col("splits").alias("draws"), "p_error"] if error is not None else []))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return models.join(found, same, "left").drop("targets", *[f"_{k}" for k in keys])
 
 
 def run_weat(vectors: WordVectors, specs: Specs = fv.WEAT_SPECS, *, permutations: int = 1000,
-             seed: int = 42, min_coverage: int = 1, force_sampled: bool = False) -> DataFrame:
+             seed: int = 42, min_coverage: int = 1, force_sampled: bool = False,
+             error: float | None = None) -> DataFrame:
     """All models and tests in one job: coverage, effect size, statistic, p-value.
 
-    The random draws use the model's seed where models have one.
+    The random draws use the model's seed where models have one; see ``permutation_test``.
     """
     models = scored_models(vectors, specs, min_coverage)
     own_seed = F.col("seed") if "seed" in vectors.keys else F.lit(seed)
     return permutation_test(models, [*vectors.keys, "test_name"], permutations=permutations,
-                            seed=own_seed, force_sampled=force_sampled)
+                            seed=own_seed, force_sampled=force_sampled, error=error)
 
 
 # Summaries over results (group, seed, test_name, effect_size, p_value, coverage_*)

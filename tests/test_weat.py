@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexitilt.functions import fixed_values as fv
-from lexitilt.operators import vectors, weat
+from lexitilt.operators import permutations, vectors, weat
 
 # Fixed values, published results: group, seed, coverage of both targets and both attributes,
 # effect size, p-value; below them the means, deviations and mean p-values by group.
@@ -167,3 +167,67 @@ def test_interpretation(spark):
         "female-career association; not statistically significant",
         "no directional association; not statistically significant",
         "Insufficient vocabulary coverage.", "Insufficient vocabulary coverage."]
+
+
+def plain_models(spark, sizes, seed=1):
+    """(name, coverage_targets_a, test_statistic, targets) with ties among the scores."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for k, (n, a) in enumerate(sizes):
+        s = rng.integers(-4, 5, n) / 8 if k % 2 else rng.normal(size=n)
+        rows.append((f"m{k}", a, float(s[:a].sum() - s[a:].sum()),
+                     [("targets_a" if i < a else "targets_b", i, f"w{i}", float(x))
+                      for i, x in enumerate(s)]))
+    return spark.createDataFrame(rows, "name STRING, coverage_targets_a BIGINT, test_statistic DOUBLE, "
+                                 "targets ARRAY<STRUCT<role: STRING, ord: INT, word: STRING, s: DOUBLE>>")
+
+
+def test_two_halves_count_what_all_splits_count(spark):
+    sizes = [(n, a) for n in (2, 5, 8, 9, 12, 16) for a in (1, n // 2, n - 1)]
+    models = plain_models(spark, sizes)
+    got = {r.name: (r.reached, r.splits) for r in permutations.exact_counts(models, ["name"]).collect()}
+    for r in models.collect():
+        s = [t.s for t in r.targets]
+        scores = [2 * sum(c) - sum(s) for c in combinations(s, r.coverage_targets_a)]
+        assert got[r.name] == (sum(x >= r.test_statistic - 1e-12 for x in scores), len(scores))
+
+
+def test_two_halves_of_sixteen(spark):
+    plan = permutations.exact_counts(plain_models(spark, [(16, 8)]), ["name"])
+    assert plan.collect()[0].splits == 12870
+
+
+@pytest.mark.parametrize("block", [7, 100, 1000])
+def test_blocks_of_draws_add_up(spark, block):
+    models = plain_models(spark, [(20, 10), (17, 3), (6, 3)])
+    whole = permutations.sampled_counts(models, ["name"], 1, 1000, F.lit(5), 1000)
+    parts = permutations.sampled_counts(models, ["name"], 1, 1000, F.lit(5), block)
+    assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_many_draws_use_many_tasks(spark):
+    models = plain_models(spark, [(20, 10)])
+    rows = permutations.sampled_counts(models, ["name"], 1, 40_000, F.lit(5))
+    assert rows.collect()[0].splits == 40_000
+    assert "REPARTITION_BY_NUM" in rows._jdf.queryExecution().toString()
+
+
+def test_draws_stop_where_p_is_known(spark):
+    models = plain_models(spark, [(18, 9), (18, 9), (20, 4), (17, 8)], seed=4)
+    got = {r.name: r for r in permutations.sequential_counts(
+        models, ["name"], F.lit(3), 0.02, first=250, most=16_000).collect()}
+    longer = {r.name: r for r in permutations.sampled_counts(
+        models, ["name"], 1, 16_000, F.lit(3)).collect()}
+    assert len(got) == 4 and len({r.splits for r in got.values()}) > 1
+    for name, r in got.items():
+        assert r.error <= 0.02 or r.splits == 16_000
+        assert r.reached / r.splits == pytest.approx(longer[name].reached / 16_000, abs=0.03)
+
+
+def test_association_test_with_an_error_bound(spark):
+    table, spec = model_table(spark, (4, 4, 3, 3), seed=8)
+    model = vectors.from_dense(table)
+    exact = {(r["group"], r.seed): r.p_value for r in weat.run_weat(model, spec).collect()}
+    rows = weat.run_weat(model, spec, permutations=20_000, force_sampled=True, error=0.02).collect()
+    for r in rows:
+        assert r.p_error <= 0.02 and r.p_value == pytest.approx(exact[r["group"], r.seed], abs=0.04)
