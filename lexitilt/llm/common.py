@@ -75,6 +75,17 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def released(df: DataFrame) -> DataFrame:
+    """``df``, after a collection of the driver's garbage.
+
+    Spark removes the shuffle files of steps that nothing can reach any more when the driver
+    collects its garbage, which it may not do for long; an operator that has just written a step
+    can so give back the disk of those that led to it.
+    """
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
 def bounded_sample(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame:
     """At most ``rows`` rows of ``df`` in the order of a seeded hash of ``key``.
 

@@ -14,12 +14,15 @@ A record a suffix would be many times the text, so suffixes go through the first
    throughout and leave the sort; one of them stays to meet runs that equal it in part.
 3. A run's suffixes with a near and with a far landmark part: each such half shares more than half
    its depth, which is the third digit.
-4. What is left is ordered suffix by suffix through the whole depth.
-
-Digits are hashes; those of passes 1 and 3 only tell apart, those that call strings equal have 128
-bits. Buckets are counted with partial sums before any exchange, and the rows of a bucket find its
-count by (digit, salt), so a passage that a third of all documents hold is spread over ``SALTS``
-tasks. Nothing is gathered but the spans of one document.
+4. The bytes of the halves left are fetched once. Every ``PART`` suffixes of a half go by the bytes
+   that all of them share; where all of a bucket's parts cover the same bytes, they are repeated.
+5. What is left is ordered suffix by suffix through the whole depth.
+
+Digits are hashes. Those that only tell apart have 64 bits; strings are called equal by 128: the
+landmark's with that of the run, and those of passes 4 and 5. Buckets are counted with partial sums
+before any exchange, and the rows of a bucket find its count by (digit, salt), so a passage that a
+third of all documents hold is spread over ``SALTS`` tasks. Nothing is gathered but the spans of
+one document. Steps that later ones read are written; see ``released``.
 """
 
 from __future__ import annotations
@@ -32,11 +35,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexitilt.llm.common import durable
+from lexitilt.llm.common import durable, released
 
 DEPTH = 200
 SALTS = 64
-_BLOCK = 1 << 20
+#: Suffixes that go together in pass 4, if the depth is large enough.
+PART = 9
+_BLOCK = 1 << 16
 _KEY = ["id_key", "text_key"]
 _RNG = np.random.default_rng(12)
 _BYTES = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -49,6 +54,11 @@ def gram_of(depth: int) -> int:
     return min(32, 1 << (max(2, depth) // 2).bit_length() - 1)
 
 
+def part_of(depth: int) -> int:
+    """The distances that go together in pass 4."""
+    return max(1, min(PART, depth // 4))
+
+
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     """The least of every ``width`` neighbours."""
     size = 1
@@ -57,27 +67,59 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:len(x) - (width - size)], x[width - size:]) if size < width else x
 
 
-def runs_of(data: bytes, depth: int) -> tuple[np.ndarray, ...]:
-    """first, last, at, gram: runs of starts with one landmark, its place and its hash."""
-    starts, gram = len(data) - depth + 1, gram_of(depth)
+def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of every ``gram`` neighbouring bytes."""
+    h, size = _BYTES[data], 1
+    for factor in _FACTORS[:gram.bit_length() - 1]:
+        h = h[:-size] * factor + h[size:]
+        h ^= h >> np.uint64(29)
+        size *= 2
+    return h
+
+
+def _mixed(parts: list[np.ndarray]) -> np.ndarray:
+    total = np.zeros(len(parts[0]), np.uint64)
+    for p in parts:
+        total = (total ^ p) * _FACTORS[0]
+        total ^= total >> np.uint64(31)
+    return total
+
+
+def runs_of(data: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
+    """first, last, at, gram, whole, right, left: runs of starts with one landmark, its place and
+    its hash, and hashes of all bytes the run covers, of those to the landmark's right and left.
+
+    ``data``: the bytes of many texts, one after the other; ``ends``: where each of them ends.
+    Read a block at a time; a run is cut where blocks meet, which changes digits and no result.
+    """
+    gram, half = gram_of(depth), (depth - gram_of(depth)) // 2
+    starts = np.concatenate([np.arange(a, b - depth + 1) for a, b in
+                             zip(np.concatenate(([0], ends[:-1])).tolist(), ends.tolist())]
+                            or [np.zeros(0, np.int64)])
     found: list[tuple[np.ndarray, ...]] = []
-    for begin in range(0, starts, _BLOCK):  # of a very long text a block at a time
-        n = min(_BLOCK, starts - begin)
-        h = _BYTES[np.frombuffer(data, np.uint8, n + depth - 1, begin)]
-        size = 1
-        for factor in _FACTORS[:gram.bit_length() - 1]:
-            h = h[:-size] * factor + h[size:]
-            h ^= h >> np.uint64(29)
-            size *= 2
+    for k in range(0, len(starts), _BLOCK):
+        own = starts[k:k + _BLOCK]
+        base, stop = int(own[0]), int(own[-1]) + depth  # some bytes before, for what lies left
+        low = max(0, base - depth)
+        h = _gram_hashes(data[low:stop], gram)
         order = (h & _HIGH) | np.arange(len(h), dtype=np.uint64)
-        at = (sliding_least(order, depth - gram + 1) & _LOW).astype(np.int64)
-        turn = np.flatnonzero(np.diff(at)) + 1
-        first = np.concatenate(([0], turn))
-        last = np.concatenate((turn, [n])) - 1
-        place = at[first]
-        found.append((first + begin, last + begin, place + begin, h[place].view(np.int64)))
+        at = (sliding_least(order, depth - gram + 1) & _LOW).astype(np.int64)[own - low]
+        turn = np.flatnonzero((np.diff(at) != 0) | (np.diff(own) != 1)) + 1
+        first, last = own[np.concatenate(([0], turn))], own[np.concatenate((turn, [len(own)])) - 1]
+        place = at[np.concatenate(([0], turn))]
+        inside = lambda x: h[np.clip(x, 0, len(h) - 1)]
+        right = _mixed([inside(np.minimum(place + t, place + depth - half - gram))
+                        for t in range(0, depth - half - gram + gram, gram)])
+        left = _mixed([inside(np.minimum(place - half - 1 + t, place))
+                       for t in range(0, half + 1 + gram, gram)])
+        begin, end = first - low, last - low + depth - gram
+        longest = int((end - begin).max())
+        whole = _mixed([(place - begin).astype(np.uint64), (end - begin).astype(np.uint64),
+                        *[inside(np.minimum(begin + t, end)) for t in range(0, longest + gram, gram)]])
+        found.append((first, last, place + low, h[place].view(np.int64), whole.view(np.int64),
+                      right.view(np.int64), left.view(np.int64)))
     if not found:
-        return (np.zeros(0, np.int64),) * 4
+        return (np.zeros(0, np.int64),) * 7
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -89,18 +131,6 @@ def merged(first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return first[fresh], stop[np.concatenate((np.flatnonzero(fresh)[1:] - 1, [len(stop) - 1]))]
 
 
-def _digits(data: bytes, depth: int, first: np.ndarray, last: np.ndarray,
-            at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each run: all it covers, its bytes to the right and to the left of the landmark."""
-    digest, half, gram = xxhash.xxh3_64_intdigest, (depth - gram_of(depth)) // 2, gram_of(depth)
-    whole, right, left = [], [], []
-    for f, e, p in zip(first.tolist(), last.tolist(), at.tolist()):
-        whole.append(digest(data[f:e + depth], p - f))
-        right.append(digest(data[p:p + depth - half]))
-        left.append(digest(data[max(0, p - half - 1):p + gram], 1))
-    return tuple(np.array(x, np.uint64).view(np.int64) for x in (whole, right, left))
-
-
 def keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """id_key and text_key, which name a row (equal rows alike), id and text."""
     return docs.select(F.xxhash64(F.col(id_col).cast("string")).alias("id_key"),
@@ -112,62 +142,67 @@ def _salt() -> Column:
     return F.pmod("id_key", F.lit(SALTS)).cast("int")
 
 
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column's values, one after the other, and where each ends."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]] \
+        if len(column) else np.zeros(0, np.uint8)
+    return data, (offsets[1:] - offsets[:1]).astype(np.int64)
+
+
+def _texts(rows: DataFrame, depth: int) -> DataFrame:
+    """The rows with texts of ``depth`` bytes or more, as bytes."""
+    return rows.where(F.octet_length("text") >= depth) \
+        .select(*_KEY, F.col("text").cast("binary").alias("text"))
+
+
 def _landmarks(rows: DataFrame, depth: int) -> DataFrame:
     """id_key and gram of every run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, grams = [], []
-            for key, text in zip(batch["id_key"].to_pylist(), batch["text"]):
-                gram = runs_of(text.as_buffer().to_pybytes(), depth)[3] if text.is_valid else ()
-                keys.append(np.full(len(gram), key, np.int64))
-                grams.append(gram)
-            if keys:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys)), pa.array(np.concatenate(grams).astype(np.int64))],
-                    ["id_key", "gram"])
+            data, ends = _bytes(batch["text"])
+            first, _, _, gram, *_ = runs_of(data, ends, depth)
+            row = np.searchsorted(ends, first, side="right")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(batch["id_key"].to_numpy()[row]), pa.array(gram)], ["id_key", "gram"])
 
-    return rows.where(F.octet_length("text") >= depth) \
-        .select("id_key", F.col("text").cast("binary").alias("text")) \
-        .mapInArrow(run, "id_key long, gram long")
+    return _texts(rows, depth).select("id_key", "text").mapInArrow(run, "id_key long, gram long")
 
 
-_RUN = ["id_key", "text_key", "first", "last", "at", "gram", "whole", "right", "left", "n"]
+_RUN = [*_KEY, "first", "last", "at", "gram", "whole", "right", "left", "n"]
 
 
 def _runs(rows: DataFrame, depth: int) -> DataFrame:
     """A row a run that no other of its text equals (n 1) and one for those that do (n 2); and
     with n 0, the spans first to last that such equal runs of one text cover."""
 
-    def of_text(data: bytes, row: Sequence[int]) -> list[np.ndarray]:
-        first, last, at, gram = runs_of(data, depth)
-        whole, right, left = _digits(data, depth, first, last, at)
-        _, kept, group, n = np.unique(whole, return_index=True, return_inverse=True,
-                                      return_counts=True)
-        columns = [first[kept], last[kept], at[kept], gram[kept], whole[kept], right[kept],
-                   left[kept], np.minimum(n, 2)]
-        again = n[group] > 1
-        if again.any():
-            a, b = merged(first[again], last[again] + depth)
-            spread = xxhash.xxh3_64_intdigest(row[0].to_bytes(8, "little", signed=True)) >> 1
-            nothing = np.zeros(len(a), np.int64)
-            more = [a, b, nothing, np.full(len(a), spread, np.int64), *[nothing] * 4]
-            columns = [np.concatenate(x) for x in zip(columns, more)]
-        size = len(columns[0])
-        return [np.full(size, row[0], np.int64), np.full(size, row[1], np.int64), *columns]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [of_text(text.as_buffer().to_pybytes(), row)
-                    for *row, text in zip(batch["id_key"].to_pylist(),
-                                          batch["text_key"].to_pylist(), batch["text"])]
-            if held:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*held)], _RUN)
-
-    return rows.where(F.octet_length("text") >= depth) \
-        .select(*_KEY, F.col("text").cast("binary").alias("text")) \
-        .mapInArrow(run, ", ".join(f"{c} long" for c in _RUN))
+            data, ends = _bytes(batch["text"])
+            first, last, at, gram, whole, right, left = runs_of(data, ends, depth)
+            row = np.searchsorted(ends, first, side="right")
+            own = whole ^ (row * np.int64(-7046029254386353131))
+            _, kept, group, n = np.unique(own, return_index=True, return_inverse=True,
+                                          return_counts=True)
+            begin = np.concatenate(([0], ends[:-1]))[row]
+            first, last, at = first - begin, last - begin, at - begin
+            columns = [row[kept], first[kept], last[kept], at[kept], gram[kept], whole[kept],
+                       right[kept], left[kept], np.minimum(n, 2)]
+            again = n[group] > 1
+            if again.any():  # texts stay apart: none is as long as the distance between them
+                apart = int(ends.max()) + depth + 1
+                a, b = merged(first[again] + row[again] * apart, last[again] + depth + row[again] * apart)
+                of = a // apart
+                no = np.zeros(len(a), np.int64)
+                spread = batch["id_key"].to_numpy()[of] ^ a  # a key, so that they are dealt evenly
+                more = [of, a - of * apart, b - of * apart, no, spread, no, no, no, no]
+                columns = [np.concatenate(x) for x in zip(columns, more)]
+            keys = [batch[c].to_numpy()[columns[0]] for c in _KEY]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x.astype(np.int64)) for x in (*keys, *columns[1:])], _RUN)
+
+    return _texts(rows, depth).mapInArrow(run, ", ".join(f"{c} long" for c in _RUN))
 
 
 def _bit(salt: Column) -> Column:
@@ -191,30 +226,91 @@ def _buckets(rows: DataFrame, digit: Sequence[str], n: Column, subject: Column |
             .where("n >= 2 and subject = 1").select(*digit, _salts()))
 
 
-def _suffixes(rows: DataFrame, ranges: DataFrame, depth: int) -> DataFrame:
-    """w1, w2, id_key, text_key, first, alone: the digest through the whole depth of each suffix
-    in ``ranges`` (_KEY, first, last, alone)."""
+def _slices(rows: DataFrame, ranges: DataFrame, depth: int) -> DataFrame:
+    """``ranges`` (_KEY, first, last, at, alone) with the bytes that their suffixes cover."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [(a, b, *r.values(), data[r["first"]:r["last"] + depth])
+                    for a, b, data, wanted in zip(*[batch[c].to_pylist()
+                                                    for c in (*_KEY, "text", "ranges")])
+                    for r in wanted]  # first, last, at, alone
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, t) for x, t in zip(zip(*held) if held else [[]] * 7, (
+                    *[pa.int64()] * 5, pa.bool_(), pa.binary()))],
+                [*_KEY, "first", "last", "at", "alone", "bytes"])
+
+    wanted = ranges.groupBy(*_KEY).agg(
+        F.collect_list(F.struct("first", "last", "at", "alone")).alias("ranges"))
+    return _texts(rows, depth).join(wanted, _KEY).mapInArrow(
+        run, "id_key long, text_key long, first long, last long, at long, alone boolean, bytes binary")
+
+
+def _long_pairs(digests: list[bytes]) -> list[np.ndarray]:
+    words = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    return [words[:, 0], words[:, 1]]
+
+
+def _parts(slices: DataFrame, depth: int) -> DataFrame:
+    """The suffixes of a slice by distance from the landmark, ``PART`` distances together: slice
+    (its first), first, last, core (a hash of the bytes that suffixes at all these distances
+    share), c1 and c2 (a digest of the bytes that those in the slice cover)."""
+
+    part = part_of(depth)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        core_of, cover_of = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest
+        for batch in batches:
+            keys, numbers, cores, covers = [], [], [], []
+            for k, (first, last, at, data) in enumerate(zip(*[
+                    batch[c].to_pylist() for c in ("first", "last", "at", "bytes")])):
+                for group in range((at - last) // part, (at - first) // part + 1):
+                    near = at - group * part  # the part's suffix nearest to the landmark
+                    a, b = max(first, near - part + 1), min(last, near)
+                    keys.append(k)
+                    numbers.append((first, a, b))
+                    cores.append(core_of(data[near - first:near - part + 1 + depth - first], group))
+                    covers.append(cover_of(data[a - first:b + depth - first], (at - a) * depth + at - b))
+            if keys:
+                row = np.array(keys)
+                yield pa.RecordBatch.from_arrays(
+                    [*[pa.array(batch[c].to_numpy()[row]) for c in _KEY],
+                     *[pa.array(x) for x in np.array(numbers, np.int64).T],
+                     pa.array(np.array(cores, np.uint64).view(np.int64)),
+                     *[pa.array(x) for x in _long_pairs(covers)],
+                     batch["alone"].take(pa.array(row))],
+                    [*_KEY, "slice", "first", "last", "core", "c1", "c2", "alone"])
+
+    return slices.mapInArrow(run, "id_key long, text_key long, slice long, first long, last long, "
+                                  "core long, c1 long, c2 long, alone boolean")
+
+
+def _suffixes(slices: DataFrame, open_: DataFrame, depth: int) -> DataFrame:
+    """w1, w2, _KEY, first, alone: the digest through the whole depth of each suffix in
+    ``open_`` (_KEY, slice, first, last)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
         for batch in batches:
-            held: list[list[np.ndarray]] = []
-            for a, b, text, wanted in zip(batch["id_key"].to_pylist(), batch["text_key"].to_pylist(),
-                                          batch["text"], batch["ranges"].to_pylist()):
-                data = text.as_buffer().to_pybytes()
+            keys, firsts, digests = [], [], []
+            for k, (first, data, wanted) in enumerate(zip(*[batch[c].to_pylist()
+                                                            for c in ("slice", "bytes", "wanted")])):
                 for r in wanted:
-                    size = r["last"] - r["first"] + 1
-                    words = np.frombuffer(b"".join([digest(data[k:k + depth]) for k in range(
-                        r["first"], r["last"] + 1)]), np.int64).reshape(size, 2)
-                    held.append([words[:, 0], words[:, 1], np.full(size, a), np.full(size, b),
-                                 np.arange(r["first"], r["last"] + 1), np.full(size, r["alone"])])
-            if held:
+                    span = range(r["first"] - first, r["last"] - first + 1)
+                    digests += [digest(data[a:a + depth]) for a in span]
+                    keys += [k] * len(span)
+                    firsts += range(r["first"], r["last"] + 1)
+            if keys:
+                at = np.array(keys)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x)) for x in zip(*held)],
+                    [*[pa.array(x) for x in _long_pairs(digests)],
+                     *[pa.array(batch[c].to_numpy()[at]) for c in _KEY],
+                     pa.array(np.array(firsts, np.int64)), batch["alone"].take(pa.array(at))],
                     ["w1", "w2", *_KEY, "first", "alone"])
 
-    wanted = ranges.groupBy(*_KEY).agg(F.collect_list(F.struct("first", "last", "alone")).alias("ranges"))
-    return rows.select(*_KEY, F.col("text").cast("binary").alias("text")).join(wanted, _KEY) \
+    key = [*_KEY, "slice"]
+    wanted = open_.groupBy(*key).agg(F.collect_list(F.struct("first", "last")).alias("wanted"))
+    return slices.select(*_KEY, F.col("first").alias("slice"), "alone", "bytes").join(wanted, key) \
         .mapInArrow(run, "w1 long, w2 long, id_key long, text_key long, first long, alone boolean")
 
 
@@ -223,40 +319,53 @@ def repeated_spans(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
     ``keyed``) covered by a string of ``depth`` bytes that occurs twice or more; spans may overlap
     and repeat."""
     half = (depth - gram_of(depth)) // 2
+    stop = (F.col("last") + depth).alias("stop")
     # 1: landmarks
     marked = _buckets(_landmarks(rows, depth), ["gram"], F.lit(1)).withColumn("hit", F.lit(True))
     runs = _runs(rows, depth).withColumn("salt", _salt())
-    runs = durable(runs.join(marked, ["gram", "salt"], "left").where("n = 0 or hit").drop("hit"))
+    runs = released(durable(runs.join(marked, ["gram", "salt"], "left").where("n = 0 or hit")
+                            .drop("hit", "salt")))
     within = runs.where("n = 0").select(*_KEY, "first", F.col("last").alias("stop"))
     runs = runs.where("n > 0")
     # 2: all that a run covers
     place = F.struct(*_KEY, "first", "last", "at", "right", "left")
-    distinct = durable(runs.groupBy("gram", "whole").agg(
-        F.sum("n").alias("n"), F.bit_or(_bit(F.col("salt"))).alias("salts"), F.min(place).alias("p")))
+    distinct = released(durable(runs.groupBy("gram", "whole").agg(
+        F.sum("n").alias("n"), F.bit_or(_bit(_salt())).alias("salts"), F.min(place).alias("p"))))
     again = distinct.where("n >= 2").select("gram", "whole", _salts())
-    settled = runs.join(again, ["gram", "whole", "salt"], "left_semi") \
-        .select(*_KEY, "first", (F.col("last") + depth).alias("stop"))
+    settled = runs.withColumn("salt", _salt()) \
+        .join(again, ["gram", "whole", "salt"], "left_semi").select(*_KEY, "first", stop)
     # 3: halves of a run, by the distance of the landmark
     near_first = F.greatest(F.col("first"), F.col("at") - half)
     far_last = F.least(F.col("last"), F.col("at") - half - 1)
     halves = distinct.select("gram", (F.col("n") == 1).alias("alone"), "p.*").select(
-        *_KEY, "gram", "alone", F.explode(F.array(
+        *_KEY, "at", "gram", "alone", F.explode(F.array(
             F.struct(F.lit(0).alias("side"), F.col("right").alias("digit"),
                      near_first.alias("first"), F.col("last")),
             F.struct(F.lit(1).alias("side"), F.col("left").alias("digit"),
                      F.col("first"), far_last.alias("last")))).alias("h")) \
-        .select(*_KEY, "alone", "gram", "h.*").where("first <= last") \
+        .select(*_KEY, "at", "alone", "gram", "h.*").where("first <= last") \
         .withColumn("salt", _salt())
     open_halves = _buckets(halves, ["gram", "side", "digit"], F.lit(1), F.col("alone"))
     ranges = halves.join(open_halves, ["gram", "side", "digit", "salt"], "left_semi") \
-        .select(*_KEY, "first", "last", "alone")
-    # 4: suffix by suffix
-    suffixes = durable(_suffixes(rows, ranges, depth))
+        .select(*_KEY, "first", "last", "at", "alone")
+    slices = released(durable(_slices(rows, ranges, depth)))
+    # 4: parts of a half
+    parts = _parts(slices, depth).withColumn("salt", _salt())
+    alike = ((F.min("c1") == F.max("c1")) & (F.min("c2") == F.max("c2"))).alias("alike")
+    buckets = parts.groupBy("core").agg(
+        F.count("*").alias("n"), F.bit_or(_bit(F.col("salt"))).alias("salts"),
+        F.max(F.col("alone").cast("int")).alias("subject"), alike) \
+        .where("n >= 2 and subject = 1").select("core", "alike", _salts())
+    met = released(durable(parts.drop("c1", "c2").join(buckets, ["core", "salt"])
+                           .drop("core", "salt")))
+    covered = met.where("alike and alone").select(*_KEY, "first", stop)
+    # 5: suffix by suffix
+    suffixes = _suffixes(slices, met.where("not alike"), depth)
     found = _buckets(suffixes, ["w1", "w2"], F.lit(1), F.col("alone"))
     single = suffixes.where("alone").withColumn("salt", _salt()) \
         .join(found, ["w1", "w2", "salt"], "left_semi") \
         .select(*_KEY, "first", (F.col("first") + depth).alias("stop"))
-    return within.unionByName(settled).unionByName(single)
+    return within.unionByName(settled).unionByName(covered).unionByName(single)
 
 
 def without_repeats(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id",

@@ -79,29 +79,48 @@ def test_odd_rows(spark):
     check(spark, rows, repeats.DEPTH)
 
 
+def of_texts(*texts, depth=200):
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    return repeats.runs_of(data, np.cumsum([len(t) for t in texts]), depth)
+
+
+def starts_of(runs):
+    return sorted((k, int(p)) for f, e, p, *_ in zip(*runs) for k in range(f, e + 1))
+
+
 def test_blocks_of_a_long_text_change_nothing(spark, monkeypatch):
     draw = random.Random(4)
     whole = "".join(draw.choice("abcdef ") for _ in range(3000))
-    data = (whole + "x" + whole[500:1900]).encode()
-    plain = repeats.runs_of(data, 200)
-    covered = lambda runs: sorted((k, int(p)) for f, e, p, _ in zip(*runs)
-                                  for k in range(f, e + 1))
+    texts = (whole + "x" + whole[500:1900]).encode(), b"short", whole[:700].encode(), b"z" * 200
+    plain = starts_of(of_texts(*texts))
     monkeypatch.setattr(repeats, "_BLOCK", 257)
-    assert covered(repeats.runs_of(data, 200)) == covered(plain)
-    assert covered(plain) and [k for k, _ in covered(plain)] == list(range(len(data) - 199))
+    assert starts_of(of_texts(*texts)) == plain
+    ends = np.cumsum([0, *map(len, texts)])
+    assert [k for k, _ in plain] == [k for a, t in zip(ends, texts) for k in range(a, a + len(t) - 199)]
+    check(spark, [(k, t.decode()) for k, t in enumerate(texts)], 200)
 
 
 def test_equal_strings_have_equal_landmarks():
     draw = random.Random(2)
     middle = "".join(draw.choice("abc") for _ in range(400)).encode()
-    a = repeats.runs_of(b"left" * 30 + middle + b"right", 200)
-    b = repeats.runs_of(middle + b"other" * 50, 200)
-    place = lambda runs, shift: {k - shift: (int(p) - k, int(g)) for f, e, p, g in zip(*runs)
+    place = lambda runs, shift: {k - shift: (int(p) - k, int(g)) for f, e, p, g, *_ in zip(*runs)
                                  for k in range(f, e + 1)}
-    first, second = place(a, 120), place(b, 0)
+    first = place(of_texts(b"left" * 30 + middle + b"right"), 120)
+    second = place(of_texts(middle + b"other" * 50), 0)
     assert all(first[k] == second[k] for k in range(201))
 
 
+def test_digits_of_equal_bytes_are_equal():
+    draw = random.Random(9)
+    middle = "".join(draw.choice("abcdefgh") for _ in range(2000)).encode()
+    a, b = of_texts(b"p" * 300 + middle + b"q" * 300), of_texts(b"other", b"r" * 250 + middle)
+    digits = lambda runs, shift: {int(f) - shift: tuple(map(int, (e - f, p - f, g, w, r, x)))
+                                  for f, e, p, g, w, r, x in zip(*runs)}
+    first, second = digits(a, 300), digits(b, 255)
+    inner = [k for k in first if 200 < k < 1400]
+    assert len(inner) > 5 and all(first[k] == second[k] for k in inner)
+
+
 def test_empty_table_and_digest_columns(spark):
     empty = repeats.removed_repeats(spark.createDataFrame([], SCHEMA))
     assert empty.collect() == []
