@@ -42,6 +42,7 @@ SALTS = 64
 #: Suffixes that go together in pass 4, if the depth is large enough.
 PART = 9
 _BLOCK = 1 << 16
+_PIECE = 1 << 20
 _KEY = ["id_key", "text_key"]
 _RNG = np.random.default_rng(12)
 _BYTES = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -142,6 +143,17 @@ def _salt() -> Column:
     return F.pmod("id_key", F.lit(SALTS)).cast("int")
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch a few texts at a time, one if it is long; working memory follows."""
+    ends = _bytes(batch["text"])[1]
+    start = 0
+    while start < len(batch):
+        done = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + _PIECE, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a column's values, one after the other, and where each ends."""
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
@@ -160,7 +172,7 @@ def _landmarks(rows: DataFrame, depth: int) -> DataFrame:
     """id_key and gram of every run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in _pieces(whole)):
             data, ends = _bytes(batch["text"])
             first, _, _, gram, *_ = runs_of(data, ends, depth)
             row = np.searchsorted(ends, first, side="right")
@@ -178,7 +190,7 @@ def _runs(rows: DataFrame, depth: int) -> DataFrame:
     with n 0, the spans first to last that such equal runs of one text cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in _pieces(whole)):
             data, ends = _bytes(batch["text"])
             first, last, at, gram, whole, right, left = runs_of(data, ends, depth)
             row = np.searchsorted(ends, first, side="right")
@@ -209,10 +221,11 @@ def _bit(salt: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), salt)
 
 
-def _salts() -> Column:
-    """A row for each salt whose bit is set in the column salts."""
-    return F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)),
-                              lambda k: F.col("salts").bitwiseAND(_bit(k)) != 0)).alias("salt")
+def _each_salt(buckets: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` and a row for each salt whose bit is set in the column salts."""
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    return buckets.select(*columns, "salts", salt) \
+        .where(F.col("salts").bitwiseAND(_bit(F.col("salt"))) != 0).drop("salts")
 
 
 def _buckets(rows: DataFrame, digit: Sequence[str], n: Column, subject: Column | None = None,
@@ -220,10 +233,10 @@ def _buckets(rows: DataFrame, digit: Sequence[str], n: Column, subject: Column |
     """digit and salt of the rows in buckets of two or more, counted by ``n``, of which one at
     least is a ``subject``. One exchange: a bucket's salts are bits of one number."""
     subject = F.lit(True) if subject is None else subject
-    return (rows.groupBy(*digit)
-            .agg(F.sum(n).alias("n"), F.bit_or(_bit(_salt())).alias("salts"),
-                 F.max(subject.cast("int")).alias("subject"))
-            .where("n >= 2 and subject = 1").select(*digit, _salts()))
+    buckets = rows.groupBy(*digit).agg(
+        F.sum(n).alias("n"), F.bit_or(_bit(_salt())).alias("salts"),
+        F.max(subject.cast("int")).alias("subject")).where("n >= 2 and subject = 1")
+    return _each_salt(buckets, *digit)
 
 
 def _slices(rows: DataFrame, ranges: DataFrame, depth: int) -> DataFrame:
@@ -331,7 +344,7 @@ def repeated_spans(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
     place = F.struct(*_KEY, "first", "last", "at", "right", "left")
     distinct = released(durable(runs.groupBy("gram", "whole").agg(
         F.sum("n").alias("n"), F.bit_or(_bit(_salt())).alias("salts"), F.min(place).alias("p"))))
-    again = distinct.where("n >= 2").select("gram", "whole", _salts())
+    again = _each_salt(distinct.where("n >= 2"), "gram", "whole")
     settled = runs.withColumn("salt", _salt()) \
         .join(again, ["gram", "whole", "salt"], "left_semi").select(*_KEY, "first", stop)
     # 3: halves of a run, by the distance of the landmark
@@ -355,8 +368,9 @@ def repeated_spans(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
     buckets = parts.groupBy("core").agg(
         F.count("*").alias("n"), F.bit_or(_bit(F.col("salt"))).alias("salts"),
         F.max(F.col("alone").cast("int")).alias("subject"), alike) \
-        .where("n >= 2 and subject = 1").select("core", "alike", _salts())
-    met = released(durable(parts.drop("c1", "c2").join(buckets, ["core", "salt"])
+        .where("n >= 2 and subject = 1")
+    met = released(durable(parts.drop("c1", "c2")
+                           .join(_each_salt(buckets, "core", "alike"), ["core", "salt"])
                            .drop("core", "salt")))
     covered = met.where("alike and alone").select(*_KEY, "first", stop)
     # 5: suffix by suffix
