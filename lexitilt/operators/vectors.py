@@ -82,13 +82,13 @@ def cooccurrence_counts(docs: DataFrame, words: Sequence[str] | None = None,
     )
 
 
-def ppmi_vectors(docs: DataFrame, words: Sequence[str] | None = None, *, window: int = 5,
-                 shift: float = 1.0, min_count_col: Column | None = None) -> WordVectors:
-    """Positive pointwise mutual information of words and their neighbours.
+def associated_pairs(docs: DataFrame, words: Sequence[str] | None = None, *, window: int = 5,
+                     min_count_col: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(vocabulary, pairs): the words and the pairs of words that reach the group's minimum count.
 
-    weight = ln(n(w,c) * N / (n(w) * n(c) * shift)) where positive, over the
-    words and contexts that reach the group's minimum count. ``words`` limits the
-    rows that are built, not the statistics.
+    vocabulary: group, word, n, near, total - all words, whatever ``words``; pairs: group, word,
+    ctx, n, near, ctx_near, total with word in ``words``. ``near`` counts the places around a
+    word, ``total`` those around all words of the group.
     """
     counts = materialize(cooccurrence_counts(docs, words, window), "pairs")
     singles = counts.filter(F.col("ctx").isNull())
@@ -101,21 +101,38 @@ def ppmi_vectors(docs: DataFrame, words: Sequence[str] | None = None, *, window:
     vocabulary = (singles.join(F.broadcast(groups), "group").filter(F.col("n") >= F.col("floor"))
                   .select("group", "word", "n", F.col("near").cast("double").alias("near"),
                           "total"))
-    listed = vocabulary if words is None else vocabulary.filter(F.col("word").isin(list(words)))
-    of_word = listed.select("group", "word", "near", "total")
+    of_word = _listed(vocabulary, words).select("group", "word", "near", "total")
     of_ctx = vocabulary.select("group", F.col("word").alias("ctx"),
                                F.col("near").alias("ctx_near"))
-    ratio = (F.col("n") * F.col("total")) / (F.col("near") * F.col("ctx_near") * F.lit(shift))
-    cells = (
-        counts.filter(F.col("ctx").isNotNull())
-        .select("group", "word", "ctx", F.col("n").cast("double").alias("n"))
-        .join(of_word, ["group", "word"])
-        .join(of_ctx, ["group", "ctx"])
-        .withColumn("weight", F.ln(ratio))
-        .filter(F.col("weight") > 0)
-        .select("group", "word", "ctx", "weight")
-    )
-    return WordVectors(listed.select("group", "word", "n"), cells)
+    pairs = (counts.filter(F.col("ctx").isNotNull())
+             .select("group", "word", "ctx", F.col("n").cast("double").alias("n"))
+             .join(of_word, ["group", "word"])
+             .join(of_ctx, ["group", "ctx"]))
+    return vocabulary, pairs
+
+
+def _listed(vocabulary: DataFrame, words: Sequence[str] | None) -> DataFrame:
+    return vocabulary if words is None else vocabulary.filter(F.col("word").isin(list(words)))
+
+
+def mutual_information(shift: float = 1.0) -> Column:
+    """Of a row of ``associated_pairs``: ln(n(w,c) * N / (n(w) * n(c) * shift))."""
+    return F.ln((F.col("n") * F.col("total")) / (F.col("near") * F.col("ctx_near") * F.lit(shift)))
+
+
+def ppmi_vectors(docs: DataFrame, words: Sequence[str] | None = None, *, window: int = 5,
+                 shift: float = 1.0, min_count_col: Column | None = None) -> WordVectors:
+    """Positive pointwise mutual information of words and their neighbours.
+
+    weight = ln(n(w,c) * N / (n(w) * n(c) * shift)) where positive, over the
+    words and contexts that reach the group's minimum count. ``words`` limits the
+    rows that are built, not the statistics.
+    """
+    vocabulary, pairs = associated_pairs(docs, words, window=window, min_count_col=min_count_col)
+    cells = (pairs.withColumn("weight", mutual_information(shift))
+             .filter(F.col("weight") > 0)
+             .select("group", "word", "ctx", "weight"))
+    return WordVectors(_listed(vocabulary, words).select("group", "word", "n"), cells)
 
 
 _SIGN_BITS = 60  # bits taken from one md5, as fifteen hexadecimal digits
