@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexitilt.functions import fixed_values as fv
+from lexitilt.sources import split_csv
 
 _LONGS = {"job_id", "company_id", "sponsored", "listed_time", "original_listed_time",
           "expiry", "closed_time"}
@@ -47,12 +48,20 @@ def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = Non
 
     The header fixes the order of the columns, so it is read first (one row) and
     the typed schema is laid over it; no pass over the data infers types. Whole
-    numbers may be written as 123.0, so ids are read as doubles and cast.
+    numbers may be written as 123.0, so ids are read as doubles and cast. A file is
+    read by as many tasks as it has splits (see ``split_csv``); a first look at
+    ``nrows`` rows reads no more of it than that, in one task.
     """
     options = dict(header=True, multiLine=True, escape='"', quote='"')
     header = spark.read.options(**options, inferSchema=False).csv(path).columns
-    df = spark.read.options(**options).schema(
-        T.StructType([T.StructField(c, T.StringType()) for c in header])).csv(path)
+    if nrows is None:
+        df = split_csv.read(spark, path, header)
+        digits = lambda c: F.lpad(F.col(f"_at.{c}").cast("string"), 20, "0")
+        order = F.concat_ws(":", F.col("_at.file"), digits("range"), digits("place"))
+    else:
+        df = spark.read.options(**options).schema(
+            T.StructType([T.StructField(c, T.StringType()) for c in header])).csv(path)
+        order = input_order()
     wanted = list(columns) if columns else header
     require_columns(df, wanted)
     typed = []
@@ -65,7 +74,7 @@ def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = Non
         elif isinstance(kind, T.DoubleType):
             value = value.try_cast("double")
         typed.append(value.alias(name))
-    df = df.select(*typed, *([input_order().alias(order_col)] if order_col else []))
+    df = df.select(*typed, *([order.alias(order_col)] if order_col else []))
     return df if nrows is None else df.limit(nrows)
 
 
