@@ -395,8 +395,8 @@ def without_repeats(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id",
     used. A very long text is read in blocks, and needs memory for itself and its spans.
     """
     rows = keyed(docs, id_col, text)
-    spans = repeated_spans(rows, depth).groupBy(*_KEY).agg(
-        F.collect_list(F.struct("first", "stop")).alias("spans"))
+    spans = released(durable(repeated_spans(rows, depth).groupBy(*_KEY).agg(
+        F.collect_list(F.struct("first", "stop")).alias("spans"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
