@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,6 +12,7 @@ from lexitilt.functions import fixed_values as fv
 from lexitilt.functions.matching import matches, strip
 from lexitilt.operators.scope import sample_key
 from lexitilt.operators.shaping import as_metrics
+from lexitilt.sources.staging import materialize
 
 # Timestamps in nanoseconds fit between these epoch milliseconds.
 _MIN_MS, _MAX_MS = -9223372036854, 9223372036854
@@ -147,22 +148,96 @@ def noisy_examples(df: DataFrame, n_per_bucket: int = 10, row_id: str = "job_id"
         F.when(matches(F.col("title"), pattern, ignore_case=True)
                & ~F.coalesce(F.col(level).isin(levels), F.lit(False)), name)
         for name, (pattern, levels) in fv.NOISY_BUCKETS.items()]
-    order = W.partitionBy("noise_bucket").orderBy(row_id)
-    return (df.select(*columns, F.explode(F.array_compact(F.array(*buckets)))
-                      .alias("noise_bucket"))
+    order = W.partitionBy("noise_bucket").orderBy("_order")
+    return (df.select(*columns, F.col(row_id).alias("_order"),
+                      F.explode(F.array_compact(F.array(*buckets))).alias("noise_bucket"))
             .withColumn("_n", F.row_number().over(order))
-            .filter(F.col("_n") <= n_per_bucket).drop("_n"))
+            .filter(F.col("_n") <= n_per_bucket).drop("_n", "_order"))
 
 
-def run_audit(postings: DataFrame, companies: DataFrame,
-              job_industries: DataFrame) -> dict[str, DataFrame]:
+# The whole audit on one reading of the input
+
+_COUNTED = ("job_id", "company_id")
+
+
+def observed(postings: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, Observation]:
+    """``postings`` and what Spark sees of it while it is written: rows, missing cells of
+    ``columns``, empty texts, and count, first and last of each date."""
+    seen = Observation("audit")
+    dates = [c for c in fv.DATE_COLUMNS if c in columns]
+    ms = {c: F.col(c).cast("bigint") for c in dates}
+    in_range = {c: F.when(m.between(_MIN_MS, _MAX_MS), m) for c, m in ms.items()}
+    metrics = [F.count(F.lit(1)).alias("rows"),
+               F.count_if(strip(F.col("description")) == "").alias("empty"),
+               *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"null {c}") for c in columns],
+               *[a for c in dates for a in (
+                   F.count(in_range[c]).alias(f"n {c}"), F.min(in_range[c]).alias(f"lo {c}"),
+                   F.max(in_range[c]).alias(f"hi {c}"))]]
+    return postings.observe(seen, *metrics), seen
+
+
+def value_counts(postings: DataFrame) -> DataFrame:
+    """(kind, value, n): how often each key, text length and level occurs, in one pass.
+
+    Values are text; a missing one is a value of its own.
+    """
+    length = F.length(F.coalesce("description", F.lit("")))
+    kinds = {**{c: F.col(c) for c in _COUNTED}, "length": length,
+             "level": F.coalesce("formatted_experience_level", F.lit("MISSING"))}
+    rows = F.explode(F.array(*[
+        F.struct(F.lit(k).alias("kind"), v.cast("string").alias("value")) for k, v in kinds.items()]))
+    return postings.select(rows.alias("r")).groupBy("r.kind", "r.value").agg(
+        F.count("*").alias("n"))
+
+
+def _coverage(counts: DataFrame, key: str, other: DataFrame, name: str) -> DataFrame:
+    own = counts.filter(F.col("kind") == key).select(F.col("value").cast("bigint").alias(key), "n")
+    known = (other.select(key).filter(F.col(key).isNotNull()).distinct()
+             .withColumn("_known", F.lit(True)))
+    return (own.join(known, key, "left")
+            .agg(F.coalesce(F.sum(F.when(F.col("_known"), F.col("n"))), F.lit(0)).alias("matched_rows"),
+                 F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"))
+            .select(F.lit(name).alias("join"), "matched_rows", "total_rows"))
+
+
+def audit_tables(postings: DataFrame, columns: Sequence[str], seen: dict, companies: DataFrame,
+                 job_industries: DataFrame, row_id: str = "job_id") -> dict[str, DataFrame]:
+    """The audit of a written table ``postings``, of which ``seen`` was observed as it was written.
+
+    What was observed is not counted again; keys, lengths and levels are counted in one pass, and
+    the samples read their columns. ``row_id`` gives the order of the input.
+    """
+    spark = postings.sparkSession
+    counts = materialize(value_counts(postings), "counts")
+    ids = counts.filter(F.col("kind") == "job_id").agg(
+        F.coalesce(F.sum("n") - F.count("*"), F.lit(0)).alias("duplicate_job_id_count"))
+    summary = as_metrics(ids.select(
+        F.lit(seen["rows"]).cast("bigint").alias("rows"),
+        F.lit(len(columns)).cast("bigint").alias("columns"), "duplicate_job_id_count",
+        F.lit(seen["empty"]).cast("bigint").alias("description_empty_count")))
+    rates = spark.createDataFrame(
+        [(c, 100.0 * seen[f"null {c}"] / seen["rows"] if seen["rows"] else None) for c in columns],
+        "column string, null_pct double").orderBy(F.desc("null_pct"), "column")
+    dates = spark.createDataFrame(
+        [(c, seen[f"n {c}"], seen[f"lo {c}"], seen[f"hi {c}"]) for c in fv.DATE_COLUMNS if c in columns],
+        "column string, non_null long, lo long, hi long").select(
+        "column", "non_null", F.timestamp_millis("lo").alias("min"), F.timestamp_millis("hi").alias("max"))
+    levels = F.array(*[F.lit(q) for q in fv.TEXT_LENGTH_QUANTILES])
+    quantiles = (counts.filter(F.col("kind") == "length")
+                 .agg(F.percentile(F.col("value").cast("int"), levels, F.col("n")).alias("v"))
+                 .select(F.posexplode("v").alias("i", "description_length"))
+                 .select(F.get(levels, F.col("i")).alias("quantile"), "description_length"))
     return {
-        "audit_summary": audit_summary(postings),
-        "null_rates": null_rates(postings),
-        "date_coverage": date_coverage(postings),
-        "text_length_summary": text_length_quantiles(postings),
-        "join_coverage": join_coverage(postings, companies, job_industries),
+        "audit_summary": summary,
+        "null_rates": rates,
+        "date_coverage": dates,
+        "text_length_summary": quantiles,
+        "join_coverage": _coverage(counts, "company_id", companies, "companies").unionByName(
+            _coverage(counts, "job_id", job_industries, "job_industries")),
         "experience_examples": sample_by_level(postings),
-        "noisy_label_examples": noisy_examples(postings),
-        "experience_level_distribution": level_distribution(postings),
+        "noisy_label_examples": noisy_examples(postings, row_id=row_id),
+        "experience_level_distribution": (
+            counts.filter(F.col("kind") == "level")
+            .select(F.col("value").alias("level"), F.col("n").alias("count"))
+            .orderBy(F.desc("count"), "level")),
     }

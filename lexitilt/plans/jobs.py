@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lexitilt.functions import fixed_values as fv
 from lexitilt.functions import text as tx
 from lexitilt.operators import (
-    audit, corpus, dedup, robustness, scope, seniority, vectors, weat,
+    audit, corpus, dedup, grams, nearest, robustness, scope, seniority, training, vectors, weat,
 )
 from lexitilt.sources import tables as io
 from lexitilt.sources.staging import materialize
@@ -42,10 +42,15 @@ def _save(tables: dict[str, DataFrame], folder: str) -> dict[str, str]:
 
 def run_audit(spark: SparkSession, inputs: Inputs, root: str,
               nrows: int | None = None) -> dict[str, str]:
-    return _save(audit.run_audit(
-        io.load_postings(spark, inputs.postings, nrows=nrows),
-        io.load_companies(spark, inputs.companies),
-        io.load_job_industries(spark, inputs.job_industries)), f"{root}/audit")
+    """The input is read once, as it is written with its order; the audit reads what was written
+    and what was observed meanwhile."""
+    raw = io.read_table(spark, inputs.postings, nrows=nrows, order_col=ORDER)
+    columns = [c for c in raw.columns if c != ORDER]
+    watched, seen = audit.observed(raw, columns)
+    path = io.write_table(watched, f"{root}/audit/postings")
+    return {"postings": path, **_save(audit.audit_tables(
+        spark.read.parquet(path), columns, seen.get, io.load_companies(spark, inputs.companies),
+        io.load_job_industries(spark, inputs.job_industries), ORDER), f"{root}/audit")}
 
 
 def run_scope(spark: SparkSession, inputs: Inputs, root: str,
@@ -123,6 +128,44 @@ def run_train(spark: SparkSession, root: str, *, prefix: str = PREFIX,
     }
 
 
+def run_factorise(spark: SparkSession, root: str, *, prefix: str = PREFIX,
+                  seeds: Sequence[int] = tuple(fv.SEEDS),
+                  config: training.Factorisation = training.Factorisation(),
+                  groups: Sequence[str] = tuple(fv.GROUP_ORDER)) -> dict[str, str]:
+    """Trained vectors of the whole vocabulary per group and seed, and the loss of each half step.
+
+    They are saved beside the projected ones, under ``{prefix}_trained``, where the other runs
+    find them by that prefix.
+    """
+    trained = training.train(group_corpus(spark, root, prefix, groups), seeds, config)
+    return {
+        "vectors": io.write_table(trained.vectors, f"{root}/vectors/{prefix}_trained",
+                                  partition_by=["group", "seed"]),
+        "losses": io.write_table(trained.losses, f"{root}/losses/{prefix}_trained"),
+    }
+
+
+def run_grams(spark: SparkSession, root: str, *, prefix: str = PREFIX,
+              config: grams.Ridge = grams.Ridge()) -> dict[str, str]:
+    """Gram vectors of every saved model, solved by ridge, the words they give, and how near
+    those come to the saved ones."""
+    table = spark.read.parquet(f"{root}/vectors/{prefix}")
+    fitted = grams.fit(table, config)
+    made = io.write_table(grams.composed(fitted, table), f"{root}/grams/{prefix}/words",
+                          partition_by=["group", "seed"])
+    return {"words": made, **_save({
+        "vectors": fitted.vectors, "residuals": fitted.residuals,
+        "errors": grams.reconstruction(spark.read.parquet(made), table)}, f"{root}/grams/{prefix}")}
+
+
+def run_neighbours(spark: SparkSession, root: str, *, prefix: str = PREFIX, k: int = 10,
+                   forest: nearest.Forest = nearest.Forest()) -> dict[str, str]:
+    """The nearest words of every word of every saved model."""
+    table = spark.read.parquet(f"{root}/vectors/{prefix}")
+    return {"neighbours": io.write_table(nearest.nearest_words(table, k, forest),
+                                         f"{root}/neighbours/{prefix}", partition_by=["group", "seed"])}
+
+
 def run_weat(spark: SparkSession, root: str, *, prefix: str = PREFIX,
              seeds: Sequence[int] = tuple(fv.SEEDS), permutations: int = 1000,
              specs=fv.WEAT_SPECS) -> dict[str, str]:
@@ -156,17 +199,37 @@ def run_prep_all(spark: SparkSession, inputs: Inputs, root: str,
     return {**run_scope(spark, inputs, root, nrows), **run_label(spark, root)}
 
 
-def run_variants(spark: SparkSession, root: str) -> dict[str, dict[str, str]]:
-    """Labelling rerun on the labeled-only and the broad corpus, flagged within each."""
+def run_variants(spark: SparkSession, root: str, *, seeds: Sequence[int] = tuple(fv.SEEDS),
+                 config: vectors.TrainingConfig = vectors.TrainingConfig(),
+                 permutations: int = 1000, specs=fv.WEAT_SPECS) -> dict[str, dict[str, str]]:
+    """Labelling rerun on the labeled-only and the broad corpus, flagged within each; the
+    labeled-only corpus then goes through training and tests like the main one, whose results
+    (of ``run_weat``) are set beside its own."""
     raw = [ORDER, *fv.POSTING_COLUMNS, "is_tech_industry", "industry_name", "scope_include",
            "scope_reason", "scope_exclusion_reason", "is_broad_tech_company"]
     labeled_only = spark.read.parquet(f"{root}/{PREFIX}_labeled_only")
     source = io.write_table(labeled_only.select([c for c in raw if c in labeled_only.columns]),
                             f"{root}/labeled_only_source")
-    return {
-        "labeled_only": run_label(spark, root, source=source, prefix=f"{PREFIX}_labeled_only_run"),
+    prefix = f"{PREFIX}_labeled_only_run"
+    paths = {
+        "labeled_only": run_label(spark, root, source=source, prefix=prefix),
         "broad": run_label(spark, root, source=f"{root}/broad", prefix=BROAD_PREFIX),
+        "training": run_train(spark, root, prefix=prefix, seeds=seeds, config=config, specs=specs),
+        "weat": run_weat(spark, root, prefix=prefix, seeds=seeds, permutations=permutations,
+                         specs=specs),
     }
+    both = {"main": PREFIX, "labeled_only": prefix}
+    summaries = io.write_table(robustness.tagged_union(
+        {name: spark.read.parquet(f"{root}/weat/{p}/summary") for name, p in both.items()}),
+        f"{root}/variants/weat_summaries")
+    paths["comparison"] = {"weat_summaries": summaries, **_save({
+        "effects": robustness.compare_effects(spark.read.parquet(summaries), list(both)),
+        "training_metadata": robustness.tagged_union(
+            {name: spark.read.parquet(f"{root}/training_metadata/{p}") for name, p in both.items()}),
+        "duplicates": robustness.tagged_union(
+            {name: spark.read.parquet(f"{root}/labeling/{p}/duplicate_summary")
+             for name, p in both.items()})}, f"{root}/variants")}
+    return paths
 
 
 def run_synthetic(spark: SparkSession, path: str, root: str, *, guard: bool = True,
@@ -174,7 +237,8 @@ def run_synthetic(spark: SparkSession, path: str, root: str, *, guard: bool = Tr
                   config: vectors.TrainingConfig = vectors.SYNTHETIC_TRAINING,
                   ) -> dict[str, str]:
     """The run over synthetic postings: clean, keep tech titles, label by title, text and
-    experience, check the shares, cap identical texts, train, test, count coded words.
+    experience, check the shares, cap identical texts, train, test, count coded words. Vectors are
+    those of the whole vocabulary, smoothed by grams of ``min_n`` to ``max_n`` characters.
 
     The input has no id, so rows are numbered in input order when the cleaned table is
     written; later stages read that table. With ``guard`` shares out of range stop the run.
@@ -195,13 +259,20 @@ def run_synthetic(spark: SparkSession, path: str, root: str, *, guard: bool = Tr
     docs = corpus.with_tokens(io.load_corpus(spark, paths["groups"]),
                               tx.tech_tokens(F.col("embedding_text")), F.col("seniority"))
     sparse = vectors.ppmi_vectors(
-        docs, weat.spec_words(fv.WEAT_SPECS_SYNTHETIC), window=config.window,
+        docs, window=config.window,
         min_count_col=corpus.min_count_synthetic(F.col("docs"), F.col("vocab_size")))
     paths["vectors"] = io.write_table(
         vectors.dense_vectors(sparse, [seed], config.vector_size), f"{root}/vectors",
         partition_by=["group", "seed"])
+    paths["subwords"] = io.write_table(
+        vectors.compose_subwords(spark.read.parquet(paths["vectors"]),
+                                 vector_size=config.vector_size, min_n=config.min_n,
+                                 max_n=config.max_n), f"{root}/subwords",
+        partition_by=["group", "seed"])
+    smooth = spark.read.parquet(paths["subwords"]).filter(
+        F.col("word").isin(weat.spec_words(fv.WEAT_SPECS_SYNTHETIC)))
     found = weat.run_weat(
-        vectors.from_dense(spark.read.parquet(paths["vectors"])), fv.WEAT_SPECS_SYNTHETIC,
+        vectors.from_dense(smooth).saved(), fv.WEAT_SPECS_SYNTHETIC,
         permutations=permutations, min_coverage=3, force_sampled=True)
     return {**paths, **_save({
         "complete_rows": tx.complete_row_counts(cleaned, list(fv.SYNTHETIC_COLUMNS.values())),

@@ -301,9 +301,13 @@ WHERE h.ratio > c.near""",
     }
 
 
+def sign_bit() -> str:
+    return ("((('0x' || substr(md5(seed || ':' || (i // 60) || ':' || ctx), 1, 15))::BIGINT "
+            ">> (i % 60)::INT) & 1)")
+
+
 def dense_ctes(seeds=fv.SEEDS, size: int = DIMENSIONS) -> dict[str, str]:
-    bit = ("((('0x' || substr(md5(seed || ':' || (i // 60) || ':' || ctx), 1, 15))::BIGINT "
-           ">> (i % 60)::INT) & 1)")
+    bit = sign_bit()
     return {
         "seeds": "SELECT * FROM (VALUES " + ", ".join(f"({s})" for s in seeds) + ") AS t(seed)",
         "coordinates": f"SELECT CAST(unnest(range(0, {size})) AS INTEGER) AS i",
@@ -431,6 +435,7 @@ FROM (SELECT vec_id, label, unnest(embedding) AS x, unnest(range(0, len(embeddin
 _CENTROIDS = ('SELECT DISTINCT "group", seed, word FROM centroids', "SELECT * FROM centroids")
 LABEL_WEAT = {**LABEL_MODELS, **weat_ctes(*_CENTROIDS, LABEL_SPEC)}
 LABEL_WEAT_SAMPLED = {**LABEL_MODELS, **weat_ctes(*_CENTROIDS, LABEL_SPEC, sampled=1000)}
+LABEL_WEAT_BLOCKS = {**LABEL_MODELS, **weat_ctes(*_CENTROIDS, LABEL_SPEC, sampled=20_000)}
 
 
 def oracle(name: str, body: str, extra: dict[str, str] | None = None) -> None:
@@ -683,8 +688,15 @@ FROM (SELECT c."group", q.word AS query, c.word, round(coalesce(dot, 0) / c.norm
       ON d."group" = c."group" AND d.query = q.word AND d.word = c.word)
 WHERE rank <= 10""", {**CORE, **pair_ctes(), "norms": """
 SELECT "group", word, sqrt(sum(weight * weight)) AS norm FROM sparse GROUP BY 1, 2"""})
-oracle("dense_vectors", f'SELECT "group", seed, word, n, i, {r6("x")} AS x FROM dense',
-       {**CORE_PAIRS, **dense_ctes()})
+CORE_DENSE = {**CORE, **pair_ctes(), **dense_ctes(), "signs": f"""
+SELECT seed, ctx, i, CASE WHEN {sign_bit()} = 1 THEN 1 ELSE -1 END AS sign
+FROM (SELECT DISTINCT ctx FROM sparse) CROSS JOIN seeds CROSS JOIN coordinates""", "projected": f"""
+SELECT "group", seed, word, i, sum(weight * sign) / sqrt({DIMENSIONS}) AS x
+FROM sparse JOIN signs USING (ctx) GROUP BY 1, 2, 3, 4"""}
+oracle("dense_vectors", f"""
+SELECT "group", seed, word, n, {r6("sqrt(sum(x * x))")} AS length,
+  {r6("sum(x * (i + 1))")} AS moment
+FROM dense GROUP BY 1, 2, 3, 4""", CORE_DENSE)
 
 
 def _grams(source: str, columns: str) -> str:
@@ -699,15 +711,17 @@ SELECT "group", gram, count(*) AS words, CAST(sum(n) AS BIGINT) AS n
 FROM ({_grams('vocab', '"group", word, n')}) GROUP BY 1, 2""", CORE)
 oracle("subword_vectors", f"""
 SELECT "group", seed, word, i, {r6('avg(x)')} AS x FROM (
-  SELECT "group", seed, word, i, x FROM dense
+  SELECT "group", seed, word, i, x FROM dense WHERE word IN {in_list(SPEC_WORDS)}
   UNION ALL
   SELECT g."group", v.seed, g.word, v.i, v.x FROM grams g JOIN gram_vectors v
     ON g."group" = v."group" AND g.gram = v.gram) GROUP BY 1, 2, 3, 4""",
-       {**CORE_PAIRS, **dense_ctes(fv.SEEDS[:1]),
-        "grams": _grams("sparse_words", '"group", word'),
+       {**CORE_DENSE,
+        "all_grams": _grams("sparse_words", '"group", word'),
+        "grams": f"SELECT * FROM all_grams WHERE word IN {in_list(SPEC_WORDS)}",
         "gram_vectors": """
 SELECT g."group", d.seed, g.gram, d.i, sum(d.n * d.x) / sum(d.n) AS x
-FROM grams g JOIN dense d ON g."group" = d."group" AND g.word = d.word GROUP BY 1, 2, 3, 4"""})
+FROM all_grams g JOIN dense d ON g."group" = d."group" AND g.word = d.word
+WHERE (g."group", g.gram) IN (SELECT "group", gram FROM grams) GROUP BY 1, 2, 3, 4"""})
 # Association tests
 
 _RESULTS = ", ".join(f"{r6(c)} AS {c}" for c in ("effect_size", "test_statistic", "p_value"))
@@ -716,6 +730,7 @@ _SEEDED = f'SELECT "group", seed, test_name, {_COVERAGE}, {_RESULTS} FROM result
 _UNSEEDED = f'SELECT "group", test_name, {_COVERAGE}, {_RESULTS} FROM results'
 oracle("weat_exact", _SEEDED, LABEL_WEAT)
 oracle("weat_sampled", _SEEDED, LABEL_WEAT_SAMPLED)
+oracle("weat_blocks", _SEEDED, LABEL_WEAT_BLOCKS)
 oracle("weat_ppmi", _UNSEEDED, CORE_WEAT)
 oracle("weat_associations", f"""
 SELECT "group", test_name, role, word, {r6('to_a')} AS to_a, {r6('to_b')} AS to_b

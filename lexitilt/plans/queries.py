@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexitilt.functions import fixed_values as fv
 from lexitilt.functions import text as tx
 from lexitilt.operators import (
-    audit, corpus, dedup, robustness, scope, seniority, vectors, weat,
+    audit, corpus, dedup, grams, nearest, robustness, scope, seniority, training, vectors, weat,
 )
 from lexitilt.sources.derived import Tables
 from lexitilt.sources.staging import materialize
@@ -54,6 +54,14 @@ def flags(t: Tables) -> DataFrame:
     return dedup.duplicate_flags(labeled_text(t))
 
 
+def flagged(narrow: DataFrame) -> DataFrame:
+    """Narrow rows with their duplicate flags. They are written once, fingerprints included, so
+    the text behind them is worked out once."""
+    rows = materialize(narrow, "narrow")
+    return rows.drop(dedup.EXACT, dedup.TEMPLATE).join(
+        dedup.duplicate_flags(rows, staged=True), "job_id")
+
+
 def clean_docs(t: Tables) -> DataFrame:
     """Deduplicated core corpus: (group, tokens)."""
     kept = dedup.keep_for_model(labeled_text(t).select(
@@ -201,7 +209,7 @@ def seniority_distribution(t):
 
 @query
 def seniority_keep_pivot(t):
-    rows = labeled(t).select("job_id", "seniority_final").join(flags(t), "job_id")
+    rows = flagged(labeled_text(t).select("job_id", "seniority_final", dedup.EXACT, dedup.TEMPLATE))
     return seniority.keep_pivot(rows).drop("group_order")
 
 
@@ -395,12 +403,19 @@ def ppmi_neighbours(t):
     return rounded(found, "similarity").withColumn("rank", F.col("rank").cast("bigint"))
 
 
+def dense_table(t: Tables) -> DataFrame:
+    """Projected vectors of the whole vocabulary, every group and seed."""
+    return vectors.dense_vectors(vectors.ppmi_vectors(clean_docs(t)), vector_size=DIMENSIONS)
+
+
 @query
 def dense_vectors(t):
-    table = vectors.dense_vectors(vectors.ppmi_vectors(clean_docs(t), WORDS),
-                                  vector_size=DIMENSIONS)
-    return table.select("group", "seed", "word", "n",
-                        F.posexplode("vector").alias("i", "x")).withColumn("x", r6("x"))
+    """Each word's vector by its length and the sum of its coordinates times their places."""
+    squares = F.aggregate("vector", F.lit(0.0), lambda total, x: total + x * x)
+    places = F.aggregate(F.transform("vector", lambda x, i: x * (i + 1)), F.lit(0.0),
+                         lambda total, x: total + x)
+    return dense_table(t).select("group", "seed", "word", "n", r6(F.sqrt(squares)).alias("length"),
+                                 r6(places).alias("moment"))
 
 
 @query
@@ -410,13 +425,31 @@ def subword_ngrams(t):
 
 @query
 def subword_vectors(t):
-    table = materialize(vectors.dense_vectors(
-        vectors.ppmi_vectors(clean_docs(t), WORDS), fv.SEEDS[:1], DIMENSIONS), "vectors")
-    return (vectors.compose_subwords(table, vector_size=DIMENSIONS)
+    """The listed words smoothed by the grams of the whole vocabulary, every seed."""
+    table = materialize(dense_table(t), "vectors")
+    return (vectors.compose_subwords(table, WORDS, vector_size=DIMENSIONS)
             .select("group", "seed", "word", F.posexplode("vector").alias("i", "x"))
             .withColumn("x", r6("x")))
 
 
+@query
+def gram_ridge(t):
+    """How near words made of solved gram vectors come to the words, and those made of means."""
+    table = materialize(dense_table(t), "vectors")
+    solved = grams.reconstruction(grams.composed(grams.fit(table), table), table)
+    means = grams.reconstruction(
+        vectors.compose_subwords(table, vector_size=DIMENSIONS), table)
+    return rounded(solved.join(means.select("group", "seed", F.col("error").alias("mean_error")),
+                               ["group", "seed"]), "error", "mean_error")
+
+
+@query
+def nearest_words(t):
+    """The ten nearest words of every word of the vocabulary, every group and seed."""
+    return rounded(nearest.nearest_words(dense_table(t)), "similarity").withColumn(
+        "rank", F.col("rank").cast("bigint"))
+
+
 # Association tests
 
 LABEL_SPEC = {"labels": {"targets_a": ["0", "1", "2"], "targets_b": ["3", "4", "5"],
@@ -468,6 +501,21 @@ def weat_sampled(t):
         centroid_models(t), LABEL_SPEC, permutations=1000, force_sampled=True))
 
 
+@query
+def weat_blocks(t):
+    """Twenty thousand draws a model, in blocks over the tasks."""
+    return published_columns(weat.run_weat(
+        centroid_models(t), LABEL_SPEC, permutations=20_000, force_sampled=True))
+
+
+@query
+def weat_sequential(t):
+    """As many draws as it takes to know each p to half a hundredth."""
+    return rounded(weat.run_weat(centroid_models(t), LABEL_SPEC, permutations=1_000_000,
+                                 force_sampled=True, error=0.005),
+                   "effect_size", "test_statistic", "p_value", "p_error")
+
+
 def text_vectors(t: Tables, docs=clean_docs, words=tuple(WORDS)) -> vectors.WordVectors:
     return vectors.ppmi_vectors(docs(t), list(words)).saved()
 
@@ -499,6 +547,13 @@ def weat_seeds(t):
     return published_columns(seeded_results(t))
 
 
+@query
+def weat_trained(t):
+    """One result per group and seed, on vectors trained on the text's whole vocabulary."""
+    trained = training.train(clean_docs(t)).vectors.filter(F.col("word").isin(WORDS))
+    return published_columns(weat.run_weat(vectors.from_dense(trained).saved()))
+
+
 @query
 def weat_summary(t):
     return rounded(weat.weat_summary(seeded_results(t)), "effect_size_mean", "effect_size_std",
@@ -554,8 +609,7 @@ def lexicon_bias_synthetic(t):
 
 @query
 def lexicon_variants(t):
-    rows = counted(t).drop(dedup.EXACT, dedup.TEMPLATE).join(flags(t), "job_id")
-    return rounded(robustness.lexicon_variants(rows), "masculine_per_1000",
+    return rounded(robustness.lexicon_variants(flagged(counted(t))), "masculine_per_1000",
                    "feminine_per_1000", "bias_score")
 
 

@@ -139,3 +139,19 @@ def export_group_corpora(labeled: DataFrame, path: str, *, kept_only: bool,
     df = df.filter(F.col(group_col).isin(fv.GROUP_ORDER))
     return write_table(df, path, fmt, partition_by=[group_col])
 
+
+
+def save_vectors(vectors: DataFrame, name: str, path: str, buckets: int) -> str:
+    """A table of vectors (with a column word) bucketed and sorted by word, under ``name`` in the
+    session's catalogue and in the folder ``path``.
+
+    A join on word reads it as it lies: its side is neither exchanged nor sorted.
+    """
+    (vectors.repartition(buckets, "word").write.bucketBy(buckets, "word").sortBy("word")
+     .option("path", path).mode("overwrite").saveAsTable(name))
+    return name
+
+
+def lookup_vectors(spark: SparkSession, name: str, words: DataFrame) -> DataFrame:
+    """The stored rows of ``words`` (word and any other columns), in every model."""
+    return words.join(spark.table(name), "word")

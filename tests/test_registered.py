@@ -13,7 +13,9 @@ from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
 from lexitilt.plans.queries import QUERIES  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
-NAMES = list(QUERIES)
+#: Trained, searched or stopped by what is seen: tested against brute force elsewhere.
+NO_SQL = ["gram_ridge", "nearest_words", "weat_sequential", "weat_trained"]
+NAMES = [n for n in QUERIES if n not in NO_SQL]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
 
@@ -30,7 +32,7 @@ def test_query_matches_sql(spark, con, name):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) <= set(oracle_sql()) and set(QUERIES) <= set(queries())
+    assert set(NAMES) <= set(oracle_sql()) and set(QUERIES) <= set(queries())
 
 
 def test_entry(spark):
