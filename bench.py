@@ -19,7 +19,7 @@ HEADLINE = [
     "lexicon_bias", "lexicon_variants", "scope_decisions", "seniority_labels", "dedup_flags",
     "seniority_hybrid", "model_text", "capped_dedup", "vocabulary", "top_words", "join_coverage",
     "length_quantiles", "ppmi_vectors", "dense_vectors", "weat_exact", "weat_ppmi", "ppmi_neighbours",
-    "subword_vectors", "weat_seeds", "weat_summary", "weat_variant_compare", "weat_interpretation",
+    "weat_seeds", "weat_summary", "weat_variant_compare", "weat_interpretation",
 ]
 
 

@@ -693,7 +693,9 @@ SELECT seed, ctx, i, CASE WHEN {sign_bit()} = 1 THEN 1 ELSE -1 END AS sign
 FROM (SELECT DISTINCT ctx FROM sparse) CROSS JOIN seeds CROSS JOIN coordinates""", "projected": f"""
 SELECT "group", seed, word, i, sum(weight * sign) / sqrt({DIMENSIONS}) AS x
 FROM sparse JOIN signs USING (ctx) GROUP BY 1, 2, 3, 4"""}
-oracle("dense_vectors", f"""
+oracle("dense_vectors", f'SELECT "group", seed, word, n, i, {r6("x")} AS x FROM dense',
+       {**CORE_PAIRS, **dense_ctes()})
+oracle("dense_vocabulary", f"""
 SELECT "group", seed, word, n, {r6("sqrt(sum(x * x))")} AS length,
   {r6("sum(x * (i + 1))")} AS moment
 FROM dense GROUP BY 1, 2, 3, 4""", CORE_DENSE)
@@ -815,3 +817,6 @@ SELECT *, {_RATED} FROM (SELECT seniority AS "group", {_BIAS} FROM (
 oracle("scope_benchmark", """
 SELECT 'broad_tech_company_rows' AS metric, count(CASE WHEN is_broad_tech_company THEN 1 END) AS value FROM scoped
 UNION ALL SELECT 'digital_tech_rows', count(CASE WHEN scope_include THEN 1 END) FROM scoped""")
+
+#: Statements that hold every coordinate of a whole vocabulary at once: for small tables alone.
+SMALL_ORACLES = {name: ORACLES.pop(name) for name in ("dense_vocabulary", "subword_vectors")}

@@ -403,13 +403,21 @@ def ppmi_neighbours(t):
     return rounded(found, "similarity").withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@query
+def dense_vectors(t):
+    table = vectors.dense_vectors(vectors.ppmi_vectors(clean_docs(t), WORDS),
+                                  vector_size=DIMENSIONS)
+    return table.select("group", "seed", "word", "n",
+                        F.posexplode("vector").alias("i", "x")).withColumn("x", r6("x"))
+
+
 def dense_table(t: Tables) -> DataFrame:
     """Projected vectors of the whole vocabulary, every group and seed."""
     return vectors.dense_vectors(vectors.ppmi_vectors(clean_docs(t)), vector_size=DIMENSIONS)
 
 
 @query
-def dense_vectors(t):
+def dense_vocabulary(t):
     """Each word's vector by its length and the sum of its coordinates times their places."""
     squares = F.aggregate("vector", F.lit(0.0), lambda total, x: total + x * x)
     places = F.aggregate(F.transform("vector", lambda x, i: x * (i + 1)), F.lit(0.0),
@@ -432,21 +440,30 @@ def subword_vectors(t):
             .withColumn("x", r6("x")))
 
 
+#: Of the registered queries that fit or train: a floor under the counts, and sizes to go with it.
+FLOOR = 5
+TRAINED = training.Factorisation(vector_size=50, epochs=3)
+RIDGE = grams.Ridge(vector_size=50, steps=4)
+
+
 @query
 def gram_ridge(t):
     """How near words made of solved gram vectors come to the words, and those made of means."""
-    table = materialize(dense_table(t), "vectors")
-    solved = grams.reconstruction(grams.composed(grams.fit(table), table), table)
+    sparse = vectors.ppmi_vectors(clean_docs(t), min_count_col=F.lit(FLOOR))
+    table = materialize(vectors.dense_vectors(sparse, vector_size=RIDGE.vector_size), "vectors")
+    solved = grams.reconstruction(grams.composed(grams.fit(table, RIDGE), table), table)
     means = grams.reconstruction(
-        vectors.compose_subwords(table, vector_size=DIMENSIONS), table)
+        vectors.compose_subwords(table, vector_size=RIDGE.vector_size), table)
     return rounded(solved.join(means.select("group", "seed", F.col("error").alias("mean_error")),
                                ["group", "seed"]), "error", "mean_error")
 
 
 @query
 def nearest_words(t):
-    """The ten nearest words of every word of the vocabulary, every group and seed."""
-    return rounded(nearest.nearest_words(dense_table(t)), "similarity").withColumn(
+    """The ten nearest of every vector of the embeddings table within its model."""
+    table = vector_models(t).select("group", "seed", F.col("vec_id").cast("string").alias("word"),
+                                    F.col("embedding").alias("vector"))
+    return rounded(nearest.nearest_words(table), "similarity").withColumn(
         "rank", F.col("rank").cast("bigint"))
 
 
@@ -550,7 +567,8 @@ def weat_seeds(t):
 @query
 def weat_trained(t):
     """One result per group and seed, on vectors trained on the text's whole vocabulary."""
-    trained = training.train(clean_docs(t)).vectors.filter(F.col("word").isin(WORDS))
+    trained = training.train(clean_docs(t), config=TRAINED, min_count_col=F.lit(FLOOR)) \
+        .vectors.filter(F.col("word").isin(WORDS))
     return published_columns(weat.run_weat(vectors.from_dense(trained).saved()))
 
 
