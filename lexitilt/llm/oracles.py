@@ -55,8 +55,7 @@ base AS (SELECT w.rid, doc_id, lang, t, length(t) AS n, len(ws) AS n_words,
 sized AS (SELECT *, {sizes} FROM base),
 shares AS (SELECT rid, lang, n, unnest([{listed}]) AS p, unnest(range({len(shares)})) AS k FROM sized),
 known AS (SELECT lang FROM base WHERE lang IS NOT NULL AND n >= {r.min_chars} GROUP BY lang
-          HAVING count(*) >= {r.min_reference_documents}
-          ORDER BY count(*) DESC, lang LIMIT {r.max_languages}),
+          HAVING count(*) >= {r.min_reference_documents}),
 class_refs AS (SELECT lang AS ref, k, avg(p) AS q FROM shares
                WHERE n >= {r.min_chars} AND lang IN (SELECT lang FROM known) GROUP BY lang, k),
 counted AS (SELECT lang AS ref, lower(word) AS word, count(*) AS c FROM places
@@ -66,8 +65,7 @@ ranked AS (SELECT ref, word, c, sum(c) OVER (PARTITION BY ref) AS total,
 word_refs AS (SELECT ref, word, place, c::DOUBLE / total AS q FROM ranked
               WHERE place <= {r.common_words}),
 held AS (SELECT rid, n, n_words, known.lang AS ref FROM base, known
-         WHERE base.lang = known.lang OR base.lang IS NULL
-            OR base.lang NOT IN (SELECT lang FROM known)),
+         WHERE base.lang = known.lang OR base.lang IS NULL),
 class_each AS (SELECT rid, ref, {js('p', 'q')} AS distance FROM shares JOIN held USING (rid)
                JOIN class_refs USING (ref, k) WHERE held.n >= {r.min_chars} GROUP BY rid, ref),
 seen AS (SELECT rid, lower(word) AS word, count(*) AS c FROM places GROUP BY ALL),

@@ -32,7 +32,6 @@ class Rules:
     max_repeat_percent: int = 20
     common_words: int = 24
     min_reference_documents: int = 20
-    max_languages: int = 64  # of the SQL counterpart alone; here every language counts
     min_chars: int = 300
     min_words_seen: int = 40
     max_class_distance: float = 0.26
@@ -172,9 +171,9 @@ def with_divergence(df: DataFrame, refs: list[dict], rules: Rules, lang: str = "
                     text: str = "text") -> DataFrame:
     """``df`` with class_distance and word_distance to the reference of the language.
 
-    Needs the columns of ``with_base_metrics``. Where the language is null or has no
-    reference, the nearest reference counts. A distance is null where its length guard
-    holds or where there are no references.
+    Needs the columns of ``with_base_metrics``. Where the language is null, the nearest reference
+    counts; a document of a language whose reference is too thin to be one is held against none.
+    A distance is null where its length guard holds or where there is no reference.
     """
     df = class_shares(df, text, F.col("word_chars"))
     if not refs:
@@ -190,13 +189,12 @@ def with_divergence(df: DataFrame, refs: list[dict], rules: Rules, lang: str = "
         F.array(*[F.lit(x) for x in r["words"]]).cast("array<string>").alias("words"),
         F.array(*[F.lit(float(x)) for x in [*r["shares"], 1 - sum(r["shares"])]]).alias("shares"),
     ) for r in refs])
-    # one row a language, and one row of all for the rows that have none of their own
+    # one row a language, and one of all references for the rows without a language
     every = df.sparkSession.range(1).select(known.alias("every"))
-    own = every.select(F.explode("every").alias("own")) \
-        .select(F.col("own.lang").alias("own_lang"), "own")
-    df = df.join(F.broadcast(own), F.col(lang) == F.col("own_lang"), "left") \
-        .crossJoin(F.broadcast(every)) \
-        .withColumn("held", F.when(F.col("own").isNotNull(), F.array("own")).otherwise(F.col("every")))
+    own = every.select(F.explode("every").alias("r")).select(
+        F.col("r.lang").alias("own_lang"), F.array("r").alias("held")).unionByName(
+        every.select(F.lit(None).cast("string").alias("own_lang"), F.col("every").alias("held")))
+    df = df.join(F.broadcast(own), F.col(lang).eqNullSafe(F.col("own_lang")), "left")
     n = F.col("n_words")
 
     def times(word: Column) -> Column:
@@ -215,7 +213,7 @@ def with_divergence(df: DataFrame, refs: list[dict], rules: Rules, lang: str = "
             lambda r: js_distance(F.col("classes"), r["classes"]))),
         "word_distance": F.when(n >= rules.min_words_seen, nearest(
             lambda r: js_distance(word_shares(r), r["shares"]))),
-    }).drop("classes", "n_chars_seen", "spaced", "held", "own", "own_lang", "every")
+    }).drop("classes", "n_chars_seen", "spaced", "held", "own_lang")
 
 
 def apply_rules(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id",
@@ -224,7 +222,7 @@ def apply_rules(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id",
 
     Null and empty texts have no words, fail the base rules and are not kept. Repeated
     rows give repeated results. Rows without a language are held against the nearest
-    reference. An empty table gives no rows. Other columns of ``docs`` are not used.
+    reference, rows of a language with few long documents against none. An empty table gives no rows. Other columns of ``docs`` are not used.
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"),
                          F.col(lang).cast("string").alias("lang"))

@@ -6,7 +6,7 @@ words, each with the logarithm of one plus its count; an L1 penalty leaves weigh
 them. The result is the expected severity, the sum of P(grade >= k) over k.
 
 The model is fitted on a bounded sample of labelled rows (``sample_rows``, half of them toxic
-where there are as many), and its first threshold is moved back to the shares of all labelled
+where there are as many) and on the ``max_features`` of its features that tell toxic texts best, and its first threshold is moved back to the shares of all labelled
 rows. Where labels only say toxic or not, ``graded`` grades the toxic ones by how many words of
 the toxic vocabulary they hold.
 """
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexitilt.llm.common import bounded_sample
+from lexitilt.llm.common import bounded_sample, durable
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _CACHE = 300_000
@@ -59,17 +59,9 @@ def counts_of(text: str | None, prefix: int) -> Counter:
     return out
 
 
-def graded(toxic: np.ndarray, counts: list[Counter], settings: Settings) -> np.ndarray:
-    """Grade 0 where not toxic, else 1 and one more for each of ``words_of_grade`` reached
-    by the count of toxic vocabulary: features in at least ``min_documents`` toxic texts and
-    twenty times as frequent among toxic texts as among others."""
-    bad, good = Counter(), Counter()
-    for t, c in zip(toxic, counts):
-        (bad if t else good).update(c.keys())
-    n_bad, n_good = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    vocabulary = {f for f, n in bad.items() if n >= settings.min_documents
-                  and n / n_bad >= 20 * (good[f] + 0.5) / n_good}
-    hits = np.array([sum(n for f, n in c.items() if f in vocabulary) for c in counts])
+def graded(toxic: np.ndarray, hits: np.ndarray, settings: Settings) -> np.ndarray:
+    """Grade 0 where not toxic, else 1 and one more for each of ``words_of_grade`` reached by
+    ``hits``, the count of toxic vocabulary in the text."""
     return np.where(toxic, 1 + sum((hits >= w).astype(int) for w in settings.words_of_grade), 0)
 
 
@@ -107,20 +99,12 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(counts: list[Counter], grades: np.ndarray, settings: Settings) -> Ordinal:
-    """The penalised maximum-likelihood model, by proximal gradient steps with momentum."""
-    spread = Counter(f for c in counts for f in c)
-    by_class = Counter(f for c, g in zip(counts, grades) if g > 0 for f in c)
-    n_bad = max(1, int((grades > 0).sum()))
-    share = n_bad / len(grades)
-    # the features whose document counts among graded texts are furthest from chance
-    usual = {f: n for f, n in spread.items() if n >= settings.min_documents}
-    pull = {f: abs(by_class[f] - n * share) / np.sqrt(n) for f, n in usual.items()}
-    features = sorted(usual, key=lambda f: (-pull[f], f))[:settings.max_features]
-    place = {f: k for k, f in enumerate(features)}
-    rows = [(i, place[f], np.log1p(n)) for i, c in enumerate(counts)
-            for f, n in c.items() if f in place]
-    r, c, v = (np.array(x) for x in zip(*rows)) if rows else (np.zeros(0, int),) * 3
+def fit(features: list[int], r: np.ndarray, c: np.ndarray, v: np.ndarray, grades: np.ndarray,
+        settings: Settings) -> Ordinal:
+    """The penalised maximum-likelihood model, by proximal gradient steps with momentum.
+
+    Text ``r`` has the value ``v`` in feature ``c``, the place of a feature in ``features``.
+    """
     w, u = np.zeros(len(features)), np.zeros(len(features))
     at = np.array([(grades >= k).mean() for k in range(1, settings.grades + 1)])
     at = np.clip(at, 1e-4, 1 - 1e-4)
@@ -153,7 +137,9 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(),
           label: str = "toxic") -> Ordinal | None:
     """The model of a bounded sample of the labelled documents; None without both classes.
 
-    ``label`` is 0 for not toxic; where it is more than 1 anywhere it is the grade itself.
+    ``label`` is 0 for not toxic; where it is more than 1 anywhere it is the grade itself. Of
+    several texts of one id the least counts. Features are counted and chosen in Spark: the driver
+    holds the ``max_features`` chosen and their values in the sampled texts, however long those are.
     """
     known = labels.select(F.col(label_id).alias("doc_id"), F.col(label).alias("label")) \
         .where("doc_id is not null and label is not null") \
@@ -175,19 +161,40 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(),
                                 "counts": [list(c.values()) for c in counts]})
 
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
-    rows = narrow.where("text is not null").join(F.broadcast(sample), "doc_id") \
-        .select(F.col("doc_id").cast("string").alias("id"), "label", "text") \
-        .mapInPandas(run, "id string, label int, features array<long>, counts array<int>") \
-        .dropDuplicates(["id"]).orderBy("id").collect()
-    counts = [Counter(dict(zip(r["features"], r["counts"]))) for r in rows]
-    found = np.array([r["label"] for r in rows])
-    if not (found > 0).any() or not (found <= 0).any():
+    rows = durable(
+        narrow.where("text is not null").join(F.broadcast(sample), "doc_id")
+        .groupBy(F.col("doc_id").cast("string").alias("id"), "label").agg(F.min("text").alias("text"))
+        .mapInPandas(run, "id string, label int, features array<long>, counts array<int>"))
+    known_rows = rows.select("id", "label").orderBy("id").collect()  # sample_rows at most
+    ids, found = [r["id"] for r in known_rows], np.array([r["label"] for r in known_rows])
+    bad, good = int((found > 0).sum()), int((found <= 0).sum())
+    if not bad or not good:
         return None
-    grades = np.clip(found, 0, settings.grades) if shares["top"] > 1 \
-        else graded(found > 0, counts, settings)
-    model = fit(counts, grades, settings)
+    cells = rows.select("id", "label", F.explode(F.arrays_zip("features", "counts")).alias("c")) \
+        .select("id", "label", F.col("c.features").alias("f"), F.col("c.counts").alias("n"))
+    spread = durable(
+        cells.groupBy("f").agg(F.count("*").alias("texts"), F.count_if(F.col("label") > 0).alias("bad"))
+        .where(F.col("texts") >= settings.min_documents))
+    # the features whose document counts among graded texts are furthest from chance
+    pull = F.abs(F.col("bad") - F.col("texts") * F.lit(bad / len(ids))) / F.sqrt("texts")
+    features = [r["f"] for r in spread.orderBy(pull.desc(), "f").limit(settings.max_features)
+                .select("f").collect()]
+    places = docs.sparkSession.createDataFrame(list(zip(features, range(len(features)))), "f long, k int")
+    held = cells.join(F.broadcast(places), "f").select("id", "k", "n").toArrow()
+    if shares["top"] > 1:
+        grades = np.clip(found, 0, settings.grades)
+    else:
+        # features in some toxic texts and twenty times as frequent among those as among others
+        words = spread.where((F.col("bad") >= settings.min_documents) & (
+            F.col("bad") / bad >= 20 * (F.col("texts") - F.col("bad") + 0.5) / good)).select("f")
+        hits = {r["id"]: r["n"] for r in cells.where("label > 0").join(words, "f")
+                .groupBy("id").agg(F.sum("n").alias("n")).collect()}
+        grades = graded(found > 0, np.array([hits.get(i, 0) for i in ids]), settings)
+    at = pd.Categorical(held["id"].to_pandas(), categories=ids).codes.astype(np.int64)
+    model = fit(features, at, held["k"].to_numpy().astype(np.int64),
+                np.log1p(held["n"].to_numpy().astype(float)), grades, settings)
     # the sample holds more toxic rows than the labels do: move the odds back
-    sampled = (found > 0).sum() / (found <= 0).sum()
+    sampled = bad / good
     model.thresholds = model.thresholds + np.log(
         sampled * (shares["n"] - shares["bad"]) / shares["bad"])
     return model

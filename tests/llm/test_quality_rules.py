@@ -72,3 +72,19 @@ def test_every_language_has_a_reference_of_its_own(spark):
         qr.with_base_metrics(df := spark.createDataFrame(rows, SCHEMA)),
         qr.references(df, qr.Rules()), qr.Rules()).select("doc_id", "word_distance").collect()
     assert len(got) == len(rows) and all(r.word_distance < 0.9 for r in got)
+
+
+def test_a_thin_language_is_not_held_against_others(spark):
+    text = lambda words, k: " ".join(words[(k * 7 + j * (k % 5 + 1)) % len(words)] for j in range(90)) + "."
+    english = "the of and to in a is that it was for on are as with his they at be this house river".split()
+    russian = "дом река лес город день ночь свет вода земля небо друг книга слово время год человек".split()
+    rows = [(k, text(english, k), "en") for k in range(30)] + [
+        (100 + k, text(russian, k), "ru") for k in range(5)] + [(200, text(russian, 9), None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    rules = qr.Rules(max_repeat_percent=1000)
+    got = {r.doc_id: r for r in qr.apply_rules(df, rules).collect()}
+    assert len(got) == 36
+    for k in range(5):
+        assert got[100 + k].kept and got[100 + k].word_distance is None
+    assert not got[200].kept and got[200].word_distance > 0.9
+    assert got[3].word_distance is not None
