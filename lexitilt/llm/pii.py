@@ -246,24 +246,27 @@ def pseudonym(m: Column, key: str, *, undo: bool = False) -> Column:
     return bound(kind_of(m), made)
 
 
-def pseudonymised(docs: DataFrame, key: str, text: str = "text", *,
-                  undo: bool = False) -> DataFrame:
-    """``docs`` with ``text`` made pseudonymous and ``pii_kinds``, an array of the kinds
-    replaced, one entry a value. A null text stays null; texts without values stay as they
-    are. Other columns are kept."""
-    t = F.col(text)
+def pseudonymised(docs: DataFrame, key: str, text: str = "text", *, undo: bool = False,
+                  kinds_as: str | None = "pii_kinds") -> DataFrame:
+    """``docs`` with ``text`` made pseudonymous and, under the name ``kinds_as``, an array of the
+    kinds replaced, one entry a value; None: without it. A null text stays null; texts without
+    values stay as they are, very long ones are read whole. Other columns are kept, but for one
+    of the name ``kinds_as``, which gives way. Repeated rows give repeated results."""
+    t = F.col(f"row.`{text}`")
     has = t.rlike(r"\d[\d ./()-]*\d|@")
     found = F.when(has, F.regexp_extract_all(t, F.lit(ANY), F.lit(0)))
     made = F.transform(F.coalesce(found, F.array().cast("array<string>")),
                        lambda m: F.struct(m.alias("was"), pseudonym(m, key, undo=undo).alias("new")))
-    kept = [c for c in docs.columns if c != text]
-    held = docs.withColumn("_made", made)
-    pieces = F.zip_with(F.split(t, ANY, -1), F.col("_made"), lambda p, m: F.concat(
+    kept = [c for c in docs.columns if c not in (text, kinds_as)]
+    # the row in one column, so that no name of its columns can clash with one made here
+    held = docs.select(F.struct("*").alias("row")).withColumn("made", made)
+    pieces = F.zip_with(F.split(t, ANY, -1), F.col("made"), lambda p, m: F.concat(
         p, F.coalesce(m["new"]["text"], m["was"], F.lit(""))))
-    whole = F.when(F.exists("_made", lambda m: m["new"].isNotNull()), F.array_join(pieces, "")) \
+    whole = F.when(F.exists("made", lambda m: m["new"].isNotNull()), F.array_join(pieces, "")) \
         .otherwise(t)
-    kinds = F.filter(F.transform("_made", lambda m: m["new"]["kind"]), lambda k: k.isNotNull())
-    return held.select(*kept, whole.alias(text), kinds.alias("pii_kinds"))
+    kinds = F.filter(F.transform("made", lambda m: m["new"]["kind"]), lambda k: k.isNotNull())
+    return held.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], whole.alias(text),
+                       *([] if kinds_as is None else [kinds.alias(kinds_as)]))
 
 
 def mask(docs: DataFrame, key: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:

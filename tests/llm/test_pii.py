@@ -32,8 +32,7 @@ def test_round_trip_gives_the_texts_back(spark):
         "Mail ssm.19@mail7.example.com, A@b.co or +1 (408) 555-7800, 408-555-7800. Card "
         "4715744394561980 and 4715-7443-9456-1980; ip 41.225.16.185, born 1984-02-29 29.02.1984 "
         "02/29/1984 1984/02/29; id 123-45-6789."] * 2
-    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA).withColumn("_made", F.lit(1)) \
-        .withColumnRenamed("_made", "pii_kind")
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA).withColumn("pii_kind", F.lit(1))
     made = pii.pseudonymised(df, KEY)
     back = pii.pseudonymised(made.select("doc_id", "text"), KEY, undo=True)
     assert [r.text for r in back.orderBy("doc_id").collect()] == texts
@@ -93,3 +92,17 @@ def test_phone_numbers_outside_the_plan_are_replaced(spark):
     assert all(x[0] < "2" or x[3] < "2" for x in first)
     back = pii.pseudonymised(made.select("doc_id", "text"), KEY, undo=True)
     assert [r.text for r in back.orderBy("doc_id").collect()] == phones
+
+
+def test_columns_of_any_name_are_kept(spark):
+    text = "Mail ann.lee@example.org on 2024-03-05."
+    df = spark.createDataFrame([(1, text), (2, None), (2, "x " * 60_000 + text)], SCHEMA).withColumns(
+        {c: F.lit(c) for c in ("_made", "made", "row", "pii_kinds", "new", "was", "a.b")})
+    out = pii.pseudonymised(df, "k", kinds_as=None)
+    assert sorted(out.columns) == sorted(df.columns)
+    rows = out.collect()
+    assert all(r["pii_kinds"] == "pii_kinds" and r["made"] == "made" and r["a.b"] == "a.b" for r in rows)
+    assert all((r.text is None) == (k is None) for r, k in zip(rows, (text, None, text)))
+    assert "ann.lee" not in rows[0].text and "ann.lee" not in rows[2].text
+    shown = pii.pseudonymised(df, "k").first()
+    assert sorted(shown["pii_kinds"]) == ["date", "email"] and shown["_made"] == "_made"
