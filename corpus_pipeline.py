@@ -37,7 +37,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Puts pseudonyms for personal data; an address may change its length, so n_chars follows."""
-    made = pii.pseudonymised(docs, PSEUDONYM_KEY)
+    made = pii.pseudonymised(docs, PSEUDONYM_KEY, kinds_as=None)
     length = F.coalesce(F.length("text").cast("long"), F.col("n_chars"))
     return made.withColumn("n_chars", length).select(*docs.columns)
 
