@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,9 +82,13 @@ def released(df: DataFrame) -> DataFrame:
 
     Spark removes the shuffle files of steps that nothing can reach any more when the driver
     collects its garbage, which it may not do for long; an operator that has just written a step
-    can so give back the disk of those that led to it.
+    can so give back the disk of those that led to it. What Python let go of is told to the
+    driver's JVM by another thread, hence the pauses.
     """
-    df.sparkSession.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.3)
+        df.sparkSession.sparkContext._jvm.System.gc()
     return df
 
 

@@ -182,7 +182,9 @@ def _landmarks(rows: DataFrame, depth: int) -> DataFrame:
     return _texts(rows, depth).select("id_key", "text").mapInArrow(run, "id_key long, gram long")
 
 
-_RUN = [*_KEY, "first", "last", "at", "gram", "whole", "right", "left", "n"]
+#: The digits of halves only tell apart within a landmark's bucket; 32 bits of them do.
+_RUN = {**dict.fromkeys([*_KEY, "first", "last", "at", "gram", "whole"], np.int64),
+        "right": np.int32, "left": np.int32, "n": np.int32}
 
 
 def _runs(rows: DataFrame, depth: int) -> DataFrame:
@@ -212,9 +214,12 @@ def _runs(rows: DataFrame, depth: int) -> DataFrame:
                 columns = [np.concatenate(x) for x in zip(columns, more)]
             keys = [batch[c].to_numpy()[columns[0]] for c in _KEY]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x.astype(np.int64)) for x in (*keys, *columns[1:])], _RUN)
+                [pa.array(x.astype(kind)) for x, kind in zip((*keys, *columns[1:]), _RUN.values())],
+                list(_RUN))
 
-    return _texts(rows, depth).mapInArrow(run, ", ".join(f"{c} long" for c in _RUN))
+    kinds = {np.int64: "long", np.int32: "int"}
+    return _texts(rows, depth).mapInArrow(
+        run, ", ".join(f"{c} {kinds[kind]}" for c, kind in _RUN.items()))
 
 
 def _bit(salt: Column) -> Column:
