@@ -10,6 +10,7 @@ duckdb = pytest.importorskip("duckdb")
 import compare  # noqa: E402
 
 from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
+from lexitilt.plans.oracles import SMALL_ORACLES  # noqa: E402
 from lexitilt.plans.queries import QUERIES  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
@@ -27,7 +28,8 @@ def con():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_sql(spark, con, name):
-    verdict, _, _ = compare.compare(spark, con, FOLDER, name, queries()[name], {**SMALL_ORACLES, **oracle_sql()}[name])
+    sql = {**SMALL_ORACLES, **oracle_sql()}[name]
+    verdict, _, _ = compare.compare(spark, con, FOLDER, name, queries()[name], sql)
     assert verdict.startswith("ok ("), verdict
 
 
