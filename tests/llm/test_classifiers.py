@@ -1,9 +1,11 @@
 """Language ID, quality classifier and toxicity: held-out accuracy and odd rows."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from lexitilt.llm import language_id, quality_classifier, toxicity
@@ -45,6 +47,73 @@ def test_language_by_word_then_by_shrinking_pieces(spark):
     assert {r.lang_pred for r in language_id.identify(df.where("lang is null")).collect()} == {"und"}
 
 
+def by_hand(training, texts, orders=(4, 3, 2, 1)):
+    """The method on whole tables held as dictionaries; languages and scores of ``texts``."""
+    def cut(word, order):
+        marked = f"_{word}_" if order > 1 else word
+        return [marked[k:k + order] for k in range(len(marked) - order + 1)]
+
+    def logs(counts):
+        units = {u for u, _ in counts}
+        totals = [sum(n for (_, x), n in counts.items() if x == lang) for lang in langs]
+        return {u: np.array([np.log((counts.get((u, x), 0) + 0.5) / (t + 0.5 * len(units) + 1))
+                             for x, t in zip(langs, totals)]) for u in units}
+
+    langs = sorted({lang for _, lang in training})
+    words = Counter((w, lang) for t, lang in training for w in regex.findall(r"\p{L}+", t.lower()))
+    known = logs(words)
+    pieces = {}
+    for order in orders:
+        counts = Counter()
+        for (w, lang), n in words.items():
+            for g in cut(w, order):
+                counts[g, lang] += n
+        pieces[order] = logs(counts)
+
+    def row(word):
+        if word in known:
+            return known[word]
+        for order in orders:
+            if found := [pieces[order][g] for g in cut(word, order) if g in pieces[order]]:
+                return np.mean(found, axis=0)
+        return np.zeros(len(langs))
+
+    for text in texts:
+        found = regex.findall(r"\p{L}+", (text or "").lower())
+        if not found:
+            yield "und", 0.0
+            continue
+        total = np.round(sum(row(w) for w in found), 6)
+        best = int(total.argmax())
+        yield langs[best], 1 / np.exp(total - total[best]).sum()
+
+
+@pytest.mark.parametrize("frequent", [1, 40, 100_000])
+def test_language_equals_the_method_by_hand(spark, tables, frequent):
+    docs = tables["documents"].where("doc_id < 160").select("doc_id", "text", "lang") \
+        .unionByName(spark.createDataFrame(
+            [(9001, "½ ² Ⅷ ①", "en"), (9002, None, "de"), (9003, "x½y zzqj", None),
+             (9004, "", None), (9005, "漢字漢字", None)], "doc_id long, text string, lang string"))
+    rows = docs.collect()
+    training = [(r.text, r.lang) for r in rows if crc(r.doc_id) % 4 != 2 and r.lang and r.text]
+    want = dict(zip([r.doc_id for r in rows], by_hand(training, [r.text for r in rows])))
+    got = language_id.identify(docs, language_id.Settings(frequent=frequent)).collect()
+    assert len(got) == len(rows) and len({w for t, _ in training for w in t.split()}) > 40
+    assert {r.doc_id: r.lang_pred for r in got} == {k: v[0] for k, v in want.items()}
+    assert all(abs(r.score - want[r.doc_id][1]) < 1e-5 for r in got)
+    assert want[9001] == ("und", 0.0)
+
+
+def test_language_of_equal_sums_and_repeated_rows(spark):
+    rows = [(k, "same words", lang) for k, lang in enumerate(["b", "a"] * 8) if crc(k) % 4 != 2]
+    even = min(sum(x == "a" for *_, x in rows), sum(x == "b" for *_, x in rows))
+    rows = [r for x in "ab" for r in [r for r in rows if r[2] == x][:even]]
+    docs = spark.createDataFrame(rows + rows[:1] * 2, "doc_id long, text string, lang string")
+    once = language_id.identify(docs.dropDuplicates()).collect()
+    assert {(r.lang_pred, r.score) for r in once} == {("a", 0.5)}
+    assert language_id.identify(docs).count() == len(rows) + 2
+
+
 def test_language_labels_of_the_held_out_fold_are_not_learnt(spark):
     held = [k for k in range(200) if crc(k) % 4 == 2]
     rows = [(k, "alpha beta gamma", "xx" if k in held else "yy") for k in range(200)]
