@@ -1,10 +1,13 @@
 """Quality classifier: random-indexing word vectors, pooled, into a two-layer network.
 
 Random indexing (Kanerva, Kristofersson & Holst, 2000): every token has a fixed sparse random
-index vector; a token's word vector is the sum of the index vectors of its neighbours over all
-documents. Each task adds up its own tokens, Spark adds up the tasks. The vocabulary is the
-most frequent tokens of all documents; any other token stands for its shape (classes of
-characters and length), so symbols, capitals and odd words are told apart.
+index vector, drawn from a hash of the token; a token's word vector is the sum of the index
+vectors of its neighbours over all documents. There is no vocabulary: the sums are kept in
+``buckets`` rows, and a token adds its own to two of them and to that of its shape (classes of
+characters and length). Its vector is read from the same places: the two rows together, which
+hardly any other token shares both of, and the row of its shape, which tells what a token never
+met looks like. So every occurrence of every token counts, and the table has the same size for
+any corpus. Each task adds up its own tokens, Spark adds up the tasks.
 
 A document is the mean of its tokens' vectors, their spread, and the mean product of each with
 the next, which repeated words drive up. A network of one hidden layer, written in numpy, is
@@ -35,8 +38,7 @@ _CACHE = 300_000
 
 @dataclass(frozen=True)
 class Settings:
-    vocabulary: int = 4096
-    shapes: int = 64
+    buckets: int = 1 << 16
     size: int = 48
     nonzero: int = 4
     reach: int = 2
@@ -59,117 +61,150 @@ def shape_of(token: str) -> str:
     return f"{''.join(out)}{min(len(token), 15)}"
 
 
-class Tokens:
-    """Numbers of tokens: a vocabulary, then buckets of shapes."""
+def marks_of(token: str) -> tuple[int, int]:
+    """Hashes of a token and of its shape."""
+    return (xxhash.xxh64_intdigest(token, 0), xxhash.xxh64_intdigest(shape_of(token), 1))
 
-    def __init__(self, vocabulary: list[str], settings: Settings):
-        self.known = {w: k for k, w in enumerate(vocabulary)}
-        self.settings = settings
 
-    def __len__(self) -> int:
-        return len(self.known) + self.settings.shapes
+@dataclass
+class Chunk:
+    """Tokens of whole texts: ``ids`` count up the different ``marks``; ``starts`` of the texts."""
 
-    def shape(self, token: str) -> int:
-        return len(self.known) + xxhash.xxh64_intdigest(shape_of(token)) % self.settings.shapes
+    ids: np.ndarray
+    starts: np.ndarray
+    rows: list[int]
+    marks: np.ndarray
 
-    def chunks(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
-        """(token numbers, start of each text in them, which texts) in chunks of whole texts."""
+
+class Reader:
+    """Cuts texts into tokens; remembers the hashes of those it has met."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.marks: list[tuple[int, int]] = []
+
+    def chunks(self, texts: list[str | None]) -> Iterator[Chunk]:
         ids: list[int] = []
         starts: list[int] = []
         rows: list[int] = []
-        numbers = dict(self.known)  # and the numbers of other tokens as they come
         for k, text in enumerate(texts):
             tokens = _TOKEN.findall(text) if text else []
             if not tokens:
                 continue
             starts.append(len(ids))
             rows.append(k)
+            numbers = self.numbers
             for t in tokens:
                 if (x := numbers.get(t)) is None:
-                    x = numbers[t] = self.shape(t)
+                    x = numbers[t] = len(numbers)
+                    self.marks.append(marks_of(t))
                 ids.append(x)
-            if len(numbers) > _CACHE:
-                numbers = dict(self.known)
-            if len(ids) > _CHUNK:
-                yield np.array(ids), np.array(starts), rows
+            if len(ids) > _CHUNK or len(numbers) > _CACHE:
+                yield self._chunk(ids, starts, rows)
                 ids, starts, rows = [], [], []
+                if len(numbers) > _CACHE:
+                    self.numbers, self.marks = {}, []
         if rows:
-            yield np.array(ids), np.array(starts), rows
+            yield self._chunk(ids, starts, rows)
+
+    def _chunk(self, ids: list[int], starts: list[int], rows: list[int]) -> Chunk:
+        used, numbered = np.unique(np.array(ids), return_inverse=True)
+        marks = np.array([self.marks[x] for x in used.tolist()], np.uint64)
+        return Chunk(numbered, np.array(starts), rows, marks)
+
+
+def index_vectors(marks: np.ndarray, settings: Settings) -> np.ndarray:
+    """The index vector of each token: ``nonzero`` signs at places its hash draws."""
+    out = np.zeros((len(marks), settings.size), np.float32)
+    each, state = np.arange(len(marks)), marks[:, 0].copy()
+    for _ in range(settings.nonzero):
+        state = state * np.uint64(6364136223846793005) + np.uint64(1442695040888963407)
+        place = ((state >> np.uint64(33)) % np.uint64(settings.size)).astype(np.int64)
+        out[each, place] += np.where(state >> np.uint64(32) & np.uint64(1), 1, -1)
+    return out
 
 
-def index_vectors(n: int, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of the nonzero entries of each token's index vector."""
-    rng = np.random.default_rng(settings.seed)
-    places = rng.integers(0, settings.size, (n, settings.nonzero))
-    return places, rng.choice([-1, 1], (n, settings.nonzero))
+def places(marks: np.ndarray, settings: Settings) -> np.ndarray:
+    """Three rows of the table of sums for each token: two of its own, one of its shape."""
+    n = np.uint64(settings.buckets)
+    return np.stack([(marks[:, 0] >> np.uint64(32)) % n,
+                     (marks[:, 0] & np.uint64(0xFFFFFFFF)) % n, marks[:, 1] % n]).astype(np.int64)
 
 
-def neighbour_sums(ids: np.ndarray, starts: np.ndarray, index: tuple[np.ndarray, np.ndarray],
-                   settings: Settings) -> np.ndarray:
-    """For each token, the sum of the index vectors of its neighbours within one text."""
-    places, signs = index
-    owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
-    out = np.zeros(len(places) * settings.size)
-    for reach in range(1, settings.reach + 1):
-        same = owner[reach:] == owner[:-reach]
-        left, right = ids[:-reach][same], ids[reach:][same]
-        for a, b in ((left, right), (right, left)):
-            for s in range(settings.nonzero):
-                out += np.bincount(a * settings.size + places[b, s], signs[b, s], len(out))
-    return out.reshape(len(places), settings.size)
+def _summed(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different entries of ``at`` and the sums of their rows of ``values``."""
+    order = np.argsort(at, kind="stable")
+    ordered = at[order]
+    starts = np.concatenate(([0], np.nonzero(np.diff(ordered))[0] + 1))
+    return ordered[starts], np.add.reduceat(values[order], starts)
 
 
-def vocabulary(docs: DataFrame, settings: Settings) -> list[str]:
-    """The most frequent tokens over all documents, ties by code point."""
-    tokens = F.regexp_extract_all("text", F.lit(r"(?U)" + TOKEN), F.lit(0))
-    top = docs.select(F.explode(tokens).alias("token")).groupBy("token") \
-        .agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(settings.vocabulary)
-    return [r["token"] for r in top.collect()]
+def neighbour_sums(chunk: Chunk, settings: Settings) -> np.ndarray:
+    """For each different token, the sum of the index vectors of its neighbours within one text."""
+    own = index_vectors(chunk.marks, settings)[chunk.ids]
+    text = np.repeat(np.arange(len(chunk.starts)), np.diff(np.append(chunk.starts, len(chunk.ids))))
+    around = np.zeros_like(own)
+    for reach in range(1, settings.reach + 1):
+        same = (text[reach:] == text[:-reach])[:, None]
+        around[reach:] += own[:-reach] * same
+        around[:-reach] += own[reach:] * same
+    return _summed(chunk.ids, around)[1]
 
 
-def word_vectors(docs: DataFrame, tokens: Tokens, settings: Settings) -> np.ndarray:
-    """A unit vector a token, summed over all documents; bounded by the vocabulary."""
+def bucket_sums(docs: DataFrame, settings: Settings) -> np.ndarray:
+    """The table of sums over all documents, ``buckets`` rows."""
     columns = [f"c{k}" for k in range(settings.size)]
-    shared = docs.sparkSession.sparkContext.broadcast(tokens)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, total = shared.value, None
-        index = index_vectors(len(held), settings)
+        reader, total = Reader(), None
         for batch in batches:
-            for ids, starts, _ in held.chunks(batch["text"].tolist()):
-                sums = neighbour_sums(ids, starts, index, settings)
-                total = sums if total is None else total + sums
+            for chunk in reader.chunks(batch["text"].tolist()):
+                if total is None:
+                    total = np.zeros((settings.buckets, settings.size))
+                sums = neighbour_sums(chunk, settings)
+                for at in places(chunk.marks, settings):
+                    rows, more = _summed(at, sums)
+                    total[rows] += more
         if total is not None:
             seen = np.nonzero(np.abs(total).sum(axis=1))[0]
             out = pd.DataFrame(total[seen].astype(np.int64), columns=columns)
-            out.insert(0, "token", seen)
+            out.insert(0, "place", seen)
             yield out
 
-    parts = docs.select("text").mapInPandas(
-        run, ", ".join(["token long", *[f"{c} long" for c in columns]]))
-    rows = parts.groupBy("token").agg(*[F.sum(c).alias(c) for c in columns]).collect()
-    places, signs = index_vectors(len(tokens), settings)
-    out = np.zeros((len(tokens), settings.size), np.float32)
-    np.add.at(out, (np.arange(len(tokens))[:, None], places), signs)
-    for r in rows:
-        out[r["token"]] = r[1:]
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+    found = docs.select("text").mapInPandas(
+        run, ", ".join(["place long", *[f"{c} long" for c in columns]])) \
+        .groupBy("place").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()
+    out = np.zeros((settings.buckets, settings.size), np.float32)
+    if found.num_rows:
+        out[found["place"].to_numpy()] = np.stack([found[c].to_numpy() for c in columns], axis=1)
+    return out
 
 
-def pooled(texts: list[str | None], tokens: Tokens, vectors: np.ndarray) -> np.ndarray:
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+
+def token_vectors(marks: np.ndarray, sums: np.ndarray, settings: Settings) -> np.ndarray:
+    """What a token's own two rows say, and what its shape says, in equal parts."""
+    first, second, shape = places(marks, settings)
+    return (_unit(sums[first] + sums[second]) + _unit(sums[shape])) / 2
+
+
+def pooled(texts: list[str | None], reader: Reader, sums: np.ndarray,
+           settings: Settings) -> np.ndarray:
     """A row a text: mean, spread, mean product with the next token; NaN without tokens."""
-    size = vectors.shape[1]
-    out = np.full((len(texts), 3 * size), np.nan, np.float32)
-    for ids, starts, rows in tokens.chunks(texts):
-        x = vectors[ids]
-        n = np.diff(np.append(starts, len(ids)))[:, None]
+    out = np.full((len(texts), 3 * settings.size), np.nan, np.float32)
+    for chunk in reader.chunks(texts):
+        starts = chunk.starts
+        x = token_vectors(chunk.marks, sums, settings)[chunk.ids]
+        n = np.diff(np.append(starts, len(x)))[:, None]
         mean = np.add.reduceat(x, starts) / n
         square = np.add.reduceat(x * x, starts) / n
         following = np.zeros_like(x)
         following[:-1] = x[:-1] * x[1:]
         following[starts[1:] - 1] = 0  # the last token of a text is followed by none
         product = np.add.reduceat(following, starts) / np.maximum(n - 1, 1)
-        out[rows] = np.hstack([mean, np.sqrt(np.maximum(square - mean * mean, 0)), product])
+        out[chunk.rows] = np.hstack([mean, np.sqrt(np.maximum(square - mean * mean, 0)), product])
     return out
 
 
@@ -234,11 +269,11 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 class Classifier:
     """All that scoring needs; broadcast to the tasks. Its size is set by the settings."""
 
-    def __init__(self, tokens: Tokens, vectors: np.ndarray, network: Network | None):
-        self.tokens, self.vectors, self.network = tokens, vectors, network
+    def __init__(self, sums: np.ndarray, network: Network | None, settings: Settings):
+        self.sums, self.network, self.settings = sums, network, settings
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        x = pooled(texts, self.tokens, self.vectors)
+    def scores(self, texts: list[str | None], reader: Reader) -> np.ndarray:
+        x = pooled(texts, reader, self.sums, self.settings)
         has = ~np.isnan(x[:, 0])
         out = np.zeros(len(texts))
         out[has] = self.network.probability(x[has]) if self.network is not None else 0.5
@@ -249,22 +284,21 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(),
           id_col: str = "doc_id", text: str = "text", label_id: str = "doc_id",
           label: str = "quality") -> Classifier:
     """Vectors from all of ``docs``, the network from a sample of rows outside the held-out
-    fold. Without labelled rows there is no network and every text with a token scores 0.5."""
+    fold. Without labelled rows there is no network and every text with a token scores 0.5.
+    A labelled id with several texts counts once, by the least of their pooled rows."""
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
-    told = narrow.where("text is not null").select("text")
-    tokens = Tokens(vocabulary(told, settings), settings)
-    vectors = word_vectors(told, tokens, settings)
+    sums = bucket_sums(narrow.where("text is not null"), settings)
     known = labels.select(F.col(label_id).alias("doc_id"), F.col(label).alias("label")) \
         .where(F.col("label").isNotNull()
                & (fold_of(F.col("doc_id"), settings.folds) != settings.held_out_fold)) \
         .groupBy("doc_id").agg(F.avg("label").alias("label"))
     sample = bounded_sample(known, "doc_id", settings.sample_rows, settings.seed)
-    shared = docs.sparkSession.sparkContext.broadcast(Classifier(tokens, vectors, None))
+    shared = docs.sparkSession.sparkContext.broadcast(sums)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = Reader()
         for batch in batches:
-            held = shared.value
-            x = pooled(batch["text"].tolist(), held.tokens, held.vectors)
+            x = pooled(batch["text"].tolist(), reader, shared.value, settings)
             yield pd.DataFrame({"id": batch["id"], "label": batch["label"], "x": list(x)})[
                 ~np.isnan(x[:, 0])]
 
@@ -272,12 +306,13 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(),
     rows = narrow.join(F.broadcast(sample), "doc_id") \
         .select(F.col("doc_id").cast("string").alias("id"), "label", "text") \
         .mapInPandas(run, "id string, label double, x array<float>") \
-        .dropDuplicates(["id"]).orderBy("id").collect()
-    if not rows:
-        return Classifier(tokens, vectors, None)
-    x = np.array([r["x"] for r in rows], float)
-    y = np.array([r["label"] >= 0.5 for r in rows], float)
-    return Classifier(tokens, vectors, Network(x, y, settings))
+        .groupBy("id").agg(F.min("label").alias("label"), F.min("x").alias("x")) \
+        .orderBy("id").toArrow()
+    if not rows.num_rows:
+        return Classifier(sums, None, settings)
+    x = np.stack(rows["x"].to_numpy()).astype(float)
+    y = (rows["label"].to_numpy() >= 0.5).astype(float)
+    return Classifier(sums, Network(x, y, settings), settings)
 
 
 def score(docs: DataFrame, classifier: Classifier, settings: Settings = Settings(),
@@ -285,15 +320,16 @@ def score(docs: DataFrame, classifier: Classifier, settings: Settings = Settings
     """doc_id, held_out, score, predicted; one row a document.
 
     A null or empty text, or one without a token, scores 0 and is predicted 0. A null id is
-    not held out. Repeated rows give repeated results; an empty table gives no rows; other
-    columns are not used.
+    not held out. Repeated rows give repeated results; an empty table gives no rows; texts of
+    any length are read whole; other columns are not used.
     """
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = Reader()
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"],
-                                "score": shared.value.scores(batch["text"].tolist())})
+                                "score": shared.value.scores(batch["text"].tolist(), reader)})
 
     kind = docs.schema[id_col].dataType
     found = docs.select(F.col(id_col).cast("string").alias("doc_id"),
@@ -307,13 +343,17 @@ def score(docs: DataFrame, classifier: Classifier, settings: Settings = Settings
 
 def keep_good(docs: DataFrame, classifier: Classifier, settings: Settings = Settings(),
               text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, that score at or above the threshold."""
+    """The rows of ``docs``, all columns as they are, that score at or above the threshold.
+
+    A null or empty text scores 0 and goes. Equal rows fare alike; columns may have any name.
+    """
     at = docs.columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader()
         for batch in batches:
-            good = shared.value.scores(batch.column(at).to_pylist()) >= settings.threshold
+            good = shared.value.scores(batch.column(at).to_pylist(), reader) >= settings.threshold
             yield batch.filter(pa.array(good))
 
     return docs.mapInArrow(run, docs.schema)

@@ -149,20 +149,73 @@ def test_quality_of_odd_rows(spark, tables):
     assert quality_classifier.score(docs.limit(0), model, settings).collect() == []
 
 
-def test_neighbour_sums_equal_counting_one_by_one():
-    settings = quality_classifier.Settings(size=6, nonzero=2)
-    rng = np.random.default_rng(0)
-    ids, starts = rng.integers(0, 9, 60), np.array([0, 1, 30])
-    index = quality_classifier.index_vectors(9, settings)
-    vectors = np.zeros((9, 6))
-    np.add.at(vectors, (np.arange(9)[:, None], index[0]), index[1])
-    want = np.zeros((9, 6))
-    for a, b in zip(starts, [*starts[1:], 60]):
-        for i in range(a, b):
-            for j in range(max(a, i - 2), min(b, i + 3)):
-                if i != j:
-                    want[ids[i]] += vectors[ids[j]]
-    assert np.allclose(quality_classifier.neighbour_sums(ids, starts, index, settings), want)
+def pooled_by_hand(texts, settings):
+    """Bucket sums over ``texts`` and each text's pooled row, a token and a coordinate at a time."""
+    def index(token):
+        return quality_classifier.index_vectors(
+            np.array([quality_classifier.marks_of(token)], np.uint64), settings)[0]
+
+    def at(token):
+        own, shape = quality_classifier.marks_of(token)
+        return [(own >> 32) % settings.buckets, own % 2 ** 32 % settings.buckets,
+                shape % settings.buckets]
+
+    def unit(x):
+        return x / max(np.linalg.norm(x), 1e-9)
+
+    cut = [regex.findall(quality_classifier.TOKEN, t or "") for t in texts]
+    sums = np.zeros((settings.buckets, settings.size))
+    for tokens in cut:
+        for i, t in enumerate(tokens):
+            near = [j for j in range(max(0, i - settings.reach), i + settings.reach + 1)
+                    if j != i and j < len(tokens)]
+            for place in at(t):
+                sums[place] += sum((index(tokens[j]) for j in near), np.zeros(settings.size))
+    out = []
+    for tokens in cut:
+        if not tokens:
+            out.append(None)
+            continue
+        x = np.array([(unit(sums[p] + sums[q]) + unit(sums[r])) / 2 for p, q, r in map(at, tokens)])
+        follow = [a * b for a, b in zip(x, x[1:])]
+        out.append(np.concatenate([x.mean(axis=0), x.std(axis=0),
+                                   np.mean(follow, axis=0) if follow else np.zeros(settings.size)]))
+    return sums, out
+
+
+@pytest.mark.parametrize("buckets", [7, 1 << 16])
+def test_pooled_vectors_equal_the_method_by_hand(spark, buckets):
+    settings = quality_classifier.Settings(buckets=buckets, size=6, nonzero=2)
+    texts = ["the cat, the dog!", "the bird", "", None, "one", "漢字 the dog dog dog 12-34",
+             "Ω " * 50 + "end", "the cat, the dog!"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want, rows = pooled_by_hand(texts, settings)
+    sums = quality_classifier.bucket_sums(docs.where("text is not null"), settings)
+    assert np.array_equal(sums, want)
+    got = quality_classifier.pooled(texts, quality_classifier.Reader(), sums, settings)
+    for x, y in zip(got, rows):
+        assert np.isnan(x).all() if y is None else np.allclose(x, y, atol=1e-3)
+
+
+def test_every_token_has_a_vector_of_its_own():
+    settings = quality_classifier.Settings()
+    marks = np.array([quality_classifier.marks_of(f"w{k}") for k in range(400_000)], np.uint64)
+    first, second, _ = quality_classifier.places(marks, settings)
+    pairs = np.unique(first * settings.buckets + second)
+    assert len(marks) > settings.buckets and len(pairs) > 0.9999 * len(marks)
+    drawn = quality_classifier.index_vectors(marks, settings)
+    assert abs(drawn.mean()) < 1e-3 and np.all(np.abs(drawn).sum(axis=1) <= settings.nonzero)
+
+
+def test_chunks_forget_no_text(monkeypatch):
+    texts = [f"a{k} b{k} a{k % 3}" if k % 4 else None for k in range(100)]
+    settings = quality_classifier.Settings(size=6)
+    sums = np.random.default_rng(0).normal(size=(settings.buckets, 6))
+    whole = quality_classifier.pooled(texts, quality_classifier.Reader(), sums, settings)
+    monkeypatch.setattr(quality_classifier, "_CHUNK", 10)
+    monkeypatch.setattr(quality_classifier, "_CACHE", 25)
+    parts = quality_classifier.pooled(texts, quality_classifier.Reader(), sums, settings)
+    assert np.allclose(whole, parts, atol=1e-5, equal_nan=True)
 
 
 def test_toxic_documents_stand_out(spark):
