@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -53,6 +54,8 @@ class Settings:
 
 def shape_of(token: str) -> str:
     """Classes of a token's characters, runs as one, and its length up to 15."""
+    if token.isalpha() and token.islower():  # most tokens; the loop would say the same
+        return f"x{min(len(token), 15)}"
     out: list[str] = []
     for c in token[:64]:
         kind = "X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c
@@ -66,22 +69,31 @@ def marks_of(token: str) -> tuple[int, int]:
     return (xxhash.xxh64_intdigest(token, 0), xxhash.xxh64_intdigest(shape_of(token), 1))
 
 
+class _Numbers(dict):
+    """Counts up the different tokens that are looked up."""
+
+    def __missing__(self, token: str) -> int:
+        self[token] = number = len(self)
+        return number
+
+
 @dataclass
 class Chunk:
-    """Tokens of whole texts: ``ids`` count up the different ``marks``; ``starts`` of the texts."""
+    """Tokens of whole texts by number; ``starts`` of the texts in them. ``fresh`` are the marks of
+    the tokens first met here; where ``first`` is set, numbers start anew with this chunk."""
 
     ids: np.ndarray
     starts: np.ndarray
     rows: list[int]
-    marks: np.ndarray
+    fresh: np.ndarray
+    first: bool
 
 
 class Reader:
-    """Cuts texts into tokens; remembers the hashes of those it has met."""
+    """Cuts texts into numbered tokens; forgets the numbers when there are too many."""
 
     def __init__(self) -> None:
-        self.numbers: dict[str, int] = {}
-        self.marks: list[tuple[int, int]] = []
+        self.numbers, self.told = _Numbers(), 0
 
     def chunks(self, texts: list[str | None]) -> Iterator[Chunk]:
         ids: list[int] = []
@@ -93,29 +105,44 @@ class Reader:
                 continue
             starts.append(len(ids))
             rows.append(k)
-            numbers = self.numbers
-            for t in tokens:
-                if (x := numbers.get(t)) is None:
-                    x = numbers[t] = len(numbers)
-                    self.marks.append(marks_of(t))
-                ids.append(x)
-            if len(ids) > _CHUNK or len(numbers) > _CACHE:
+            ids.extend(map(self.numbers.__getitem__, tokens))
+            if len(ids) > _CHUNK or len(self.numbers) > _CACHE:
                 yield self._chunk(ids, starts, rows)
                 ids, starts, rows = [], [], []
-                if len(numbers) > _CACHE:
-                    self.numbers, self.marks = {}, []
+                if len(self.numbers) > _CACHE:
+                    self.numbers, self.told = _Numbers(), 0
         if rows:
             yield self._chunk(ids, starts, rows)
 
     def _chunk(self, ids: list[int], starts: list[int], rows: list[int]) -> Chunk:
-        used, numbered = np.unique(np.array(ids), return_inverse=True)
-        marks = np.array([self.marks[x] for x in used.tolist()], np.uint64)
-        return Chunk(numbered, np.array(starts), rows, marks)
+        fresh = [marks_of(t) for t in islice(self.numbers, self.told, None)]
+        first, self.told = not self.told, len(self.numbers)
+        return Chunk(np.array(ids), np.array(starts), rows,
+                     np.array(fresh, np.uint64).reshape(-1, 2), first)
+
+
+class Grown:
+    """A row for each numbered token of a reader, worked out when the token is first met."""
+
+    def __init__(self, size: int, kind: type):
+        self.held, self.n = np.zeros((1024, size), kind), 0
+
+    def add(self, chunk: Chunk, rows: np.ndarray) -> np.ndarray:
+        if chunk.first:
+            self.n = 0
+        end = self.n + len(rows)
+        if end > len(self.held):
+            more = np.zeros((max(end, 2 * len(self.held)), self.held.shape[1]), self.held.dtype)
+            more[:self.n] = self.held[:self.n]
+            self.held = more
+        self.held[self.n:end] = rows
+        self.n = end
+        return self.held[:end]
 
 
 def index_vectors(marks: np.ndarray, settings: Settings) -> np.ndarray:
     """The index vector of each token: ``nonzero`` signs at places its hash draws."""
-    out = np.zeros((len(marks), settings.size), np.float32)
+    out = np.zeros((len(marks), settings.size), np.int8)
     each, state = np.arange(len(marks)), marks[:, 0].copy()
     for _ in range(settings.nonzero):
         state = state * np.uint64(6364136223846793005) + np.uint64(1442695040888963407)
@@ -139,37 +166,61 @@ def _summed(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return ordered[starts], np.add.reduceat(values[order], starts)
 
 
-def neighbour_sums(chunk: Chunk, settings: Settings) -> np.ndarray:
-    """For each different token, the sum of the index vectors of its neighbours within one text."""
-    own = index_vectors(chunk.marks, settings)[chunk.ids]
-    text = np.repeat(np.arange(len(chunk.starts)), np.diff(np.append(chunk.starts, len(chunk.ids))))
-    around = np.zeros_like(own)
-    for reach in range(1, settings.reach + 1):
-        same = (text[reach:] == text[:-reach])[:, None]
-        around[reach:] += own[:-reach] * same
-        around[:-reach] += own[reach:] * same
-    return _summed(chunk.ids, around)[1]
+def neighbour_sums(chunk: Chunk, index: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Different tokens, and for each the sum of ``index`` over its neighbours within one text.
+
+    Texts stand with ``reach`` empty places between them, so no neighbour is of another text.
+    """
+    texts = np.repeat(np.arange(len(chunk.starts)),
+                      np.diff(np.append(chunk.starts, len(chunk.ids))))
+    at = np.arange(len(chunk.ids)) + (texts + 1) * reach
+    wide = np.zeros((len(at) + (len(chunk.starts) + 1) * reach, index.shape[1]), index.dtype)
+    wide[at] = index[chunk.ids]
+    around = np.zeros_like(wide)
+    for k in range(1, reach + 1):
+        around[k:] += wide[:-k]
+        around[:-k] += wide[k:]
+    order = np.argsort(chunk.ids, kind="stable")
+    ordered = chunk.ids[order]
+    starts = np.concatenate(([0], np.nonzero(np.diff(ordered))[0] + 1))
+    return ordered[starts], np.add.reduceat(around[at[order]].astype(np.float32), starts)
+
+
+def task_sums(batches: Iterator[list[str | None]], settings: Settings) -> np.ndarray:
+    """The table of sums over some texts, ``buckets`` rows."""
+    reader, total = Reader(), np.zeros((settings.buckets, settings.size))
+    marks, index = Grown(2, np.uint64), Grown(settings.size, np.int8)
+    sums = Grown(settings.size, np.float64)
+
+    def settle() -> None:
+        if sums.n:
+            for place in places(marks.held[:marks.n], settings):
+                rows, more = _summed(place, sums.held[:sums.n])
+                total[rows] += more
+
+    for texts in batches:
+        for chunk in reader.chunks(texts):
+            if chunk.first:
+                settle()
+            marks.add(chunk, chunk.fresh)
+            known = index.add(chunk, index_vectors(chunk.fresh, settings))
+            held = sums.add(chunk, np.zeros((len(chunk.fresh), settings.size)))
+            tokens, more = neighbour_sums(chunk, known, settings.reach)
+            held[tokens] += more
+    settle()
+    return total
 
 
 def bucket_sums(docs: DataFrame, settings: Settings) -> np.ndarray:
-    """The table of sums over all documents, ``buckets`` rows."""
+    """The table of sums over all documents, each task's own added up by Spark."""
     columns = [f"c{k}" for k in range(settings.size)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader, total = Reader(), None
-        for batch in batches:
-            for chunk in reader.chunks(batch["text"].tolist()):
-                if total is None:
-                    total = np.zeros((settings.buckets, settings.size))
-                sums = neighbour_sums(chunk, settings)
-                for at in places(chunk.marks, settings):
-                    rows, more = _summed(at, sums)
-                    total[rows] += more
-        if total is not None:
-            seen = np.nonzero(np.abs(total).sum(axis=1))[0]
-            out = pd.DataFrame(total[seen].astype(np.int64), columns=columns)
-            out.insert(0, "place", seen)
-            yield out
+        total = task_sums((batch["text"].tolist() for batch in batches), settings)
+        seen = np.nonzero(np.abs(total).sum(axis=1))[0]
+        out = pd.DataFrame(total[seen].astype(np.int64), columns=columns)
+        out.insert(0, "place", seen)
+        yield out
 
     found = docs.select("text").mapInPandas(
         run, ", ".join(["place long", *[f"{c} long" for c in columns]])) \
@@ -190,13 +241,13 @@ def token_vectors(marks: np.ndarray, sums: np.ndarray, settings: Settings) -> np
     return (_unit(sums[first] + sums[second]) + _unit(sums[shape])) / 2
 
 
-def pooled(texts: list[str | None], reader: Reader, sums: np.ndarray,
+def pooled(texts: list[str | None], reader: Reader, vectors: Grown, sums: np.ndarray,
            settings: Settings) -> np.ndarray:
     """A row a text: mean, spread, mean product with the next token; NaN without tokens."""
     out = np.full((len(texts), 3 * settings.size), np.nan, np.float32)
     for chunk in reader.chunks(texts):
         starts = chunk.starts
-        x = token_vectors(chunk.marks, sums, settings)[chunk.ids]
+        x = vectors.add(chunk, token_vectors(chunk.fresh, sums, settings))[chunk.ids]
         n = np.diff(np.append(starts, len(x)))[:, None]
         mean = np.add.reduceat(x, starts) / n
         square = np.add.reduceat(x * x, starts) / n
@@ -272,8 +323,8 @@ class Classifier:
     def __init__(self, sums: np.ndarray, network: Network | None, settings: Settings):
         self.sums, self.network, self.settings = sums, network, settings
 
-    def scores(self, texts: list[str | None], reader: Reader) -> np.ndarray:
-        x = pooled(texts, reader, self.sums, self.settings)
+    def scores(self, texts: list[str | None], reader: Reader, vectors: Grown) -> np.ndarray:
+        x = pooled(texts, reader, vectors, self.sums, self.settings)
         has = ~np.isnan(x[:, 0])
         out = np.zeros(len(texts))
         out[has] = self.network.probability(x[has]) if self.network is not None else 0.5
@@ -296,9 +347,9 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(),
     shared = docs.sparkSession.sparkContext.broadcast(sums)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader()
+        reader, vectors = Reader(), Grown(settings.size, np.float32)
         for batch in batches:
-            x = pooled(batch["text"].tolist(), reader, shared.value, settings)
+            x = pooled(batch["text"].tolist(), reader, vectors, shared.value, settings)
             yield pd.DataFrame({"id": batch["id"], "label": batch["label"], "x": list(x)})[
                 ~np.isnan(x[:, 0])]
 
@@ -326,10 +377,10 @@ def score(docs: DataFrame, classifier: Classifier, settings: Settings = Settings
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader()
+        reader, vectors = Reader(), Grown(settings.size, np.float32)
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"],
-                                "score": shared.value.scores(batch["text"].tolist(), reader)})
+                                "score": shared.value.scores(batch["text"].tolist(), reader, vectors)})
 
     kind = docs.schema[id_col].dataType
     found = docs.select(F.col(id_col).cast("string").alias("doc_id"),
@@ -351,9 +402,10 @@ def keep_good(docs: DataFrame, classifier: Classifier, settings: Settings = Sett
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader()
+        reader, vectors = Reader(), Grown(settings.size, np.float32)
         for batch in batches:
-            good = shared.value.scores(batch.column(at).to_pylist(), reader) >= settings.threshold
+            good = shared.value.scores(batch.column(at).to_pylist(), reader, vectors) \
+                >= settings.threshold
             yield batch.filter(pa.array(good))
 
     return docs.mapInArrow(run, docs.schema)

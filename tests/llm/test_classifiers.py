@@ -149,6 +149,12 @@ def test_quality_of_odd_rows(spark, tables):
     assert quality_classifier.score(docs.limit(0), model, settings).collect() == []
 
 
+def pooled(texts, sums, settings):
+    return quality_classifier.pooled(
+        texts, quality_classifier.Reader(),
+        quality_classifier.Grown(settings.size, np.float32), sums, settings)
+
+
 def pooled_by_hand(texts, settings):
     """Bucket sums over ``texts`` and each text's pooled row, a token and a coordinate at a time."""
     def index(token):
@@ -192,7 +198,7 @@ def test_pooled_vectors_equal_the_method_by_hand(spark, buckets):
     want, rows = pooled_by_hand(texts, settings)
     sums = quality_classifier.bucket_sums(docs.where("text is not null"), settings)
     assert np.array_equal(sums, want)
-    got = quality_classifier.pooled(texts, quality_classifier.Reader(), sums, settings)
+    got = pooled(texts, sums, settings)
     for x, y in zip(got, rows):
         assert np.isnan(x).all() if y is None else np.allclose(x, y, atol=1e-3)
 
@@ -211,11 +217,14 @@ def test_chunks_forget_no_text(monkeypatch):
     texts = [f"a{k} b{k} a{k % 3}" if k % 4 else None for k in range(100)]
     settings = quality_classifier.Settings(size=6)
     sums = np.random.default_rng(0).normal(size=(settings.buckets, 6))
-    whole = quality_classifier.pooled(texts, quality_classifier.Reader(), sums, settings)
+    whole = pooled(texts, sums, settings)
+    learnt = quality_classifier.task_sums(iter([texts[:30], texts[30:]]), settings)
     monkeypatch.setattr(quality_classifier, "_CHUNK", 10)
     monkeypatch.setattr(quality_classifier, "_CACHE", 25)
-    parts = quality_classifier.pooled(texts, quality_classifier.Reader(), sums, settings)
+    parts = pooled(texts, sums, settings)
     assert np.allclose(whole, parts, atol=1e-5, equal_nan=True)
+    assert learnt.any() and np.array_equal(
+        learnt, quality_classifier.task_sums(iter([texts]), settings))
 
 
 def test_toxic_documents_stand_out(spark):
