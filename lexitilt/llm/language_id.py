@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexitilt.llm.common import durable, fold_of
+from lexitilt.llm.common import durable, fold_of, released
 
 UNKNOWN = "und"
 _WORDLIKE = re.compile(r"[^\W\d_]+")
@@ -201,7 +201,7 @@ def identify(docs: DataFrame, settings: Settings = Settings(), id_col: str = "do
                     .withColumn("number", F.monotonically_increasing_id()))
     rest = parts.select("number", F.explode(F.arrays_zip("words", "counts")).alias("of")) \
         .select("number", F.col("of.words").alias("unit"), F.col("of.counts").alias("n"))
-    rows = durable(model.rows_of(rest.select("unit").distinct()))
+    rows = released(durable(model.rows_of(rest.select("unit").distinct())))
     some = range(len(model.languages))
     crossed = rest.join(rows, "unit").select(
         "number", F.lit(None).cast("string").alias("doc_id"),
