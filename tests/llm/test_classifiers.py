@@ -255,6 +255,21 @@ def test_severity_grows_with_grades(spark):
     assert got[1001].expected_severity == got[1002].expected_severity
 
 
+def test_grades_with_few_texts_do_not_drive_the_fit_away():
+    grades = np.repeat([0, 1, 2, 3], [4000, 40, 590, 1530])
+    n, rng = len(grades), np.random.default_rng(1)
+    common = rng.poisson(3, (n, 60))
+    bad = np.stack([(grades > 0) * rng.poisson(1 + 2 * grades) for _ in range(3)], axis=1)
+    counts = np.hstack([common, bad])
+    r, c = np.nonzero(counts)
+    settings = toxicity.Settings()
+    model = toxicity.fit(list(range(63)), r, c, np.log1p(counts[r, c].astype(float)), grades, settings)
+    weights = np.array([model.weights.get(f, 0.0) for f in range(63)])
+    up = model.at_least(np.log1p(counts) @ weights)
+    assert np.abs(model.thresholds).max() < 100
+    assert (up[grades > 0, 0] >= 0.5).mean() > 0.9 and (up[grades == 0, 0] >= 0.5).mean() < 0.05
+
+
 def test_toxicity_without_both_classes(spark):
     docs = spark.createDataFrame(ODD, "doc_id long, text string")
     for rows in ([], [(1002, 0)], [(1003, 1)], [(None, 1), (1003, None)]):
