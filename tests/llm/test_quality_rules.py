@@ -88,3 +88,21 @@ def test_a_thin_language_is_not_held_against_others(spark):
         assert got[100 + k].kept and got[100 + k].word_distance is None
     assert not got[200].kept and got[200].word_distance > 0.9
     assert got[3].word_distance is not None
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 5, 6, 7])
+def test_windows_of_any_width(spark, width):
+    texts = ["a b c a b c a b", "x " * 9, "p q r s t u v p q r s t u w", "one"]
+    words = [t.split() for t in texts]
+    df = spark.createDataFrame([(w,) for w in words], "words array<string>")
+    got = [r[0] for r in df.select(qr.repeated_window_words(F.col("words"), width)).collect()]
+    for ws, n in zip(words, got):
+        windows = [tuple(ws[k:k + width]) for k in range(len(ws) - width + 1)]
+        often = Counter(windows)
+        assert n == len({k + j for k, w in enumerate(windows) if often[w] > 1 for j in range(width)})
+
+
+def test_a_word_is_hashed_once_and_symbols_are_sought_in_the_swept_text(spark):
+    df = spark.createDataFrame([(1, "É é # ß $x", "en")], SCHEMA)
+    row = qr.with_base_metrics(df).first()
+    assert row.left_0 == "É#$" and row.joined == "É é # ß $x" and row.n_symbols == 2
