@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lexitilt.functions import fixed_values as fv
 from lexitilt.functions.vector_math import sum_of_vectors
 from lexitilt.operators.corpus import min_count
-from lexitilt.sources.staging import materialize
+from lexitilt.sources.staging import materialize, released
 
 
 @dataclass(frozen=True)
@@ -82,15 +82,51 @@ def cooccurrence_counts(docs: DataFrame, words: Sequence[str] | None = None,
     )
 
 
+def halved_counts(docs: DataFrame, window: int = 5) -> DataFrame:
+    """``cooccurrence_counts`` of all words with each pair once, the lesser word as ``word``.
+
+    Two words are in each other's company equally often, so a place looks at the places after it
+    only and half the rows cross the shuffle; ``both_ways`` gives the other half back.
+    """
+    before = F.least(F.col("pos"), F.lit(window))
+    after = F.least(F.size("tokens") - 1 - F.col("pos"), F.lit(window))
+    contexts = F.concat(F.array(F.lit(None).cast("string")), F.slice("tokens", F.col("pos") + 2, after))
+    alone = F.col("ctx").isNull()
+    return (
+        docs.select("group", "tokens", F.posexplode("tokens").alias("pos", "word"))
+        .select("group", "word", (F.col("pos") == 0).alias("start"),
+                (before + after).alias("near"), F.explode(contexts).alias("ctx"))
+        .select("group", "start", "near", F.least("word", "ctx").alias("word"),
+                F.when(~alone, F.greatest("word", "ctx")).alias("ctx"))
+        .groupBy("group", "word", "ctx")
+        .agg(F.count("*").alias("n"),
+             F.count_if(alone & F.col("start")).alias("starts"),
+             F.coalesce(F.sum(F.when(alone, F.col("near"))), F.lit(0)).alias("near"))
+    )
+
+
+def both_ways(halved: DataFrame) -> DataFrame:
+    """(group, word, ctx, n) of the pairs in ``halved_counts``; a word beside itself counts twice."""
+    pair = F.struct("word", "ctx", "n")
+    turned = F.struct(F.col("ctx").alias("word"), F.col("word").alias("ctx"), "n")
+    twice = F.struct("word", "ctx", (2 * F.col("n")).alias("n"))
+    return (halved.filter(F.col("ctx").isNotNull())
+            .select("group", F.explode(F.when(F.col("word") == F.col("ctx"), F.array(twice))
+                                       .otherwise(F.array(pair, turned))).alias("p"))
+            .select("group", "p.word", "p.ctx", "p.n"))
+
+
 def associated_pairs(docs: DataFrame, words: Sequence[str] | None = None, *, window: int = 5,
                      min_count_col: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(vocabulary, pairs): the words and the pairs of words that reach the group's minimum count.
 
     vocabulary: group, word, n, near, total - all words, whatever ``words``; pairs: group, word,
     ctx, n, near, ctx_near, total with word in ``words``. ``near`` counts the places around a
-    word, ``total`` those around all words of the group.
+    word, ``total`` those around all words of the group. Contexts are joined first, so that the
+    pairs lie by word where sums over a word's contexts follow.
     """
-    counts = materialize(cooccurrence_counts(docs, words, window), "pairs")
+    counts = (released(materialize(halved_counts(docs, window), "pairs")) if words is None
+              else materialize(cooccurrence_counts(docs, words, window), "pairs"))
     singles = counts.filter(F.col("ctx").isNull())
     floor = min_count(F.col("docs")) if min_count_col is None else min_count_col
     groups = (singles.groupBy("group")
@@ -104,10 +140,10 @@ def associated_pairs(docs: DataFrame, words: Sequence[str] | None = None, *, win
     of_word = _listed(vocabulary, words).select("group", "word", "near", "total")
     of_ctx = vocabulary.select("group", F.col("word").alias("ctx"),
                                F.col("near").alias("ctx_near"))
-    pairs = (counts.filter(F.col("ctx").isNotNull())
-             .select("group", "word", "ctx", F.col("n").cast("double").alias("n"))
-             .join(of_word, ["group", "word"])
-             .join(of_ctx, ["group", "ctx"]))
+    seen = both_ways(counts) if words is None else counts.filter(F.col("ctx").isNotNull())
+    pairs = (seen.select("group", "word", "ctx", F.col("n").cast("double").alias("n"))
+             .join(of_ctx, ["group", "ctx"])
+             .join(of_word, ["group", "word"]))
     return vocabulary, pairs
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,3 +32,13 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = f"{staging_dir(df.sparkSession).rstrip('/')}/lexitilt/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def released(df: DataFrame) -> DataFrame:
+    """``df``, after a collection of the driver's garbage, which lets Spark remove the shuffle files
+    of steps already written. The driver's JVM hears of what Python let go of a moment later."""
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.3)
+        df.sparkSession.sparkContext._jvm.System.gc()
+    return df

@@ -142,3 +142,30 @@ def test_cosine(spark):
                                "a ARRAY<DOUBLE>, b ARRAY<DOUBLE>, e DOUBLE")
     for r in df.select(cosine(F.col("a"), F.col("b")).alias("c"), "e").collect():
         assert r.c == pytest.approx(r.e)
+
+
+def test_each_pair_crosses_the_shuffle_once(spark):
+    docs = spark.createDataFrame(
+        [("a", "x y x x z".split()), ("a", ["y"]), ("b", "q x q w w w v u q".split()), ("b", [])],
+        "group string, tokens array<string>")
+    whole = vectors.cooccurrence_counts(docs, window=2)
+    halved = vectors.halved_counts(docs, window=2)
+    assert halved.filter("ctx < word").count() == 0
+    assert {tuple(r) for r in vectors.both_ways(halved).collect()} == {
+        tuple(r) for r in whole.filter("ctx is not null").select("group", "word", "ctx", "n").collect()}
+    assert {tuple(r) for r in halved.filter("ctx is null").collect()} == {
+        tuple(r) for r in whole.filter("ctx is null").collect()}
+
+
+def test_sums_over_contexts_need_no_exchange_of_sums(spark):
+    docs = spark.createDataFrame([("a", "x y x x z".split())], "group string, tokens array<string>")
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sparse = vectors.ppmi_vectors(docs, min_count_col=F.lit(1))
+        sums = sparse.cells.groupBy("group", "word").agg(F.sum("weight"))
+        sums.collect()
+        plan = sums._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    assert "SortMergeJoin" in plan and "Exchange" not in plan.split("SortMergeJoin")[0]
