@@ -15,12 +15,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexitilt.functions.vector_math import sum_of_vectors
+from lexitilt.operators.company import by_unit
 from lexitilt.operators.vectors import TrainingConfig, subwords
-from lexitilt.sources.staging import materialize
+from lexitilt.sources.staging import emptied, materialize
 
 _MODEL = ["group", "seed"]
 
@@ -67,52 +69,51 @@ def _in_blocks(links: DataFrame, size: int, *, buckets: DataFrame | None = None,
                words: DataFrame | None = None, to_words: bool = False) -> DataFrame:
     """M' Q by bucket (partial sums: group, seed, bucket, vector), or Q by word (group, seed, id,
     vector), where Q is M times the vectors of ``buckets`` or the vectors of ``words``."""
-    name = "id" if to_words else "bucket"
-
-    def result(key: tuple, ids: np.ndarray, rows: np.ndarray, held: list) -> pa.RecordBatch:
+    name, from_words = "id" if to_words else "bucket", buckets is None
+
+    def in_rows(column: pa.ChunkedArray) -> np.ndarray:
+        return pc.list_flatten(column).to_numpy().reshape(-1, size)
+
+    def result(key: tuple, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of a block: its links as three columns side by side, summed by word and by bucket."""
+        whole = pa.Table.from_batches(parts)
+        linked = whole.filter(pc.is_valid(whole["ids"]))
+        if not len(linked):
+            return
+        sizes = pc.list_value_length(linked["ids"]).to_numpy()
+        ids, at = np.unique(pc.list_flatten(linked["ids"]).to_numpy(), return_inverse=True)
+        weights = pc.list_flatten(linked["shares"]).to_numpy()[:, None]
+        if not from_words:
+            order = np.argsort(at, kind="stable")
+            met = in_rows(linked["vector"])[np.repeat(np.arange(len(sizes)), sizes)[order]]
+            rows = np.add.reduceat(met * weights[order], np.searchsorted(at[order], np.arange(len(ids))), axis=0)
+        else:
+            known = whole.filter(pc.is_null(whole["ids"]))  # a word and its vector
+            known = known.filter(pc.is_in(known["number"], pa.array(ids)))
+            rows = np.zeros((len(ids), size))
+            rows[np.searchsorted(ids, known["number"].to_numpy())] = in_rows(known["vector"])
         if to_words:
             names, out = ids, rows
         else:
-            names = np.array([b for b, _, _ in held], np.int64)
-            out = np.array([w @ rows[at] for _, at, w in held])
+            names = linked["number"].to_numpy()
+            out = np.add.reduceat(rows[at] * weights, np.cumsum(sizes) - sizes, axis=0)
         n = len(names)
         lists = pa.ListArray.from_arrays(
             pa.array(np.arange(0, n * size + 1, size, dtype=np.int32)), pa.array(out.ravel()))
-        return pa.RecordBatch.from_arrays(
+        yield pa.RecordBatch.from_arrays(
             [pa.array([key[0]] * n), pa.array([key[1]] * n, pa.int32()), pa.array(names), lists],
             ["group", "seed", name, "vector"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, place, rows, held = None, {}, [], []
-
-        def done() -> pa.RecordBatch:
-            return result(key, np.fromiter(place, np.int64, len(place)), np.array(rows), held)
-
-        for batch in batches:
-            columns = [batch[c].to_pylist() for c in ("group", "seed", "block", "number")]
-            vectors, ids, shares = batch["vector"], batch["ids"], batch["shares"]
-            for k, (group, seed, block, number) in enumerate(zip(*columns)):
-                if (group, seed, block) != key:
-                    if key is not None and (held or to_words):
-                        yield done()
-                    key, place, rows, held = (group, seed, block), {}, [], []
-                vector = vectors[k].values.to_numpy() if vectors[k].is_valid else None
-                if not ids[k].is_valid:  # a word and its vector
-                    place[number] = len(rows)
-                    rows.append(vector)
-                    continue
-                weights, at = shares[k].values.to_numpy(), []
-                for i in ids[k].values.to_pylist():
-                    if i not in place:
-                        place[i] = len(rows)
-                        rows.append(np.zeros(size))
-                    at.append(place[i])
-                if vector is not None:
-                    for i, w in zip(at, weights):
-                        rows[i] = rows[i] + w * vector
-                held.append((number, at, weights))
-        if key is not None and (held or to_words):
-            yield done()
+        key, held = None, []
+        for at, part in by_unit(batches, ("group", "seed", "block")):
+            if at != key and held:
+                yield from result(key, held)
+                held = []
+            key = at
+            held.append(part)
+        if held:
+            yield from result(key, held)
 
     columns = ["group", "seed", "block", "kind", "number", "vector", "ids", "shares"]
     kind = F.lit(1).alias("kind")
@@ -152,8 +153,7 @@ def fit(table: DataFrame, config: Ridge = Ridge()) -> GramVectors:
     """
     size = config.vector_size
     spark = table.sparkSession
-    table = materialize(table.select(*_MODEL, "word", F.col("vector").cast("array<double>")
-                                     .alias("vector")), "targets")
+    table = table.select(*_MODEL, "word", F.col("vector").cast("array<double>").alias("vector"))
     vocabulary = table.select("group", "word").distinct()
     links = materialize(gram_links(vocabulary, config), "links")
     places = links.select("group", "block", F.explode("ids").alias("id")).distinct()
@@ -165,7 +165,7 @@ def fit(table: DataFrame, config: Ridge = Ridge()) -> GramVectors:
     state = materialize(sums(start).select(
         *_MODEL, "bucket", zero.alias("z"), F.col("vector").alias("r"), F.col("vector").alias("p")),
         "state")
-    residuals, first = [], {}
+    residuals, first, before = [], {}, state
     for step in range(config.steps):
         moved = sums(_in_blocks(links, size, buckets=state.select(
             *_MODEL, "bucket", F.col("p").alias("vector"))))
@@ -187,6 +187,8 @@ def fit(table: DataFrame, config: Ridge = Ridge()) -> GramVectors:
             factors.append((*key, alpha.tolist(), (-alpha).tolist(), beta.tolist()))
         if not factors:
             break
+        emptied(before)  # the step before, now that this one is written
+        before = joined
         scalars = spark.createDataFrame(factors, "group string, seed int, a array<double>, "
                                                  "minus array<double>, b array<double>")
         state = (joined.join(F.broadcast(scalars), _MODEL)  # a row a model

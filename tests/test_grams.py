@@ -69,3 +69,19 @@ def test_buckets_may_be_shared(spark):
 def test_empty_table(spark):
     fitted = grams.fit(word_table(spark).limit(0), grams.Ridge(vector_size=5, steps=1))
     assert fitted.vectors.collect() == [] and fitted.residuals.collect() == []
+
+
+def test_steps_give_back_the_state_before_them(spark, monkeypatch):
+    written = []
+    write = grams.materialize
+
+    def noted(df, name="stage"):
+        out = write(df, name)
+        if name == "state":
+            written.append(out.inputFiles()[0].rsplit("/", 1)[0])
+        return out
+
+    monkeypatch.setattr(grams, "materialize", noted)
+    fitted = grams.fit(word_table(spark), grams.Ridge(vector_size=5, steps=3))
+    assert [spark.read.parquet(p).count() > 0 for p in written] == [False, False, False, True]
+    assert fitted.vectors.count() > 0
