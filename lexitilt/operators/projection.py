@@ -20,6 +20,8 @@ from lexitilt.functions import fixed_values as fv
 from lexitilt.operators.company import Company, by_unit, unpack
 from lexitilt.operators.vectors import SIGN_BITS, TrainingConfig, sign_bits
 
+#: Contexts whose signs are doubles at a time.
+_MET = 512
 _SENT = "group string, part int, source int, signs binary"
 
 
@@ -57,16 +59,23 @@ class _Part:
         self.signs[:, self.filled:self.filled + signs.shape[1]] = signs
         self.filled += signs.shape[1]
 
-    def vectors(self, bits: np.ndarray, size: int) -> np.ndarray:
-        """All words' vectors, ``bits`` being a seed's planes."""
-        signs = np.empty((bits.shape[1], size))
-        for j in range(size):
-            signs[:, j] = 2 * (bits[j // SIGN_BITS] >> j % SIGN_BITS & 1) - 1
-        out = np.zeros((len(self.starts) - 1, size))
+    def vectors(self, size: int) -> np.ndarray:
+        """All words' vectors, those of the seeds side by side. Signs are kept as bytes, a row a
+        context, and become doubles only beside the weights that they meet."""
+        blocks = math.ceil(size / SIGN_BITS)
+        seeds = len(self.signs) // blocks
+        signs = np.empty((seeds * size, self.signs.shape[1]), np.int8)
+        for j in range(len(signs)):
+            bits = self.signs[j // size * blocks + j % size // SIGN_BITS]
+            signs[j] = 2 * (bits >> j % size % SIGN_BITS & 1) - 1
+        signs = np.ascontiguousarray(signs.T)
+        out = np.zeros((len(self.starts) - 1, seeds * size))
         for word in range(len(out)):
-            pairs = slice(self.starts[word], self.starts[word + 1])
-            out[word] = self.weight[pairs] @ signs.take(self.at[pairs], axis=0)
-        return out / math.sqrt(size)
+            for first in range(self.starts[word], self.starts[word + 1], _MET):
+                pairs = slice(first, min(first + _MET, self.starts[word + 1]))
+                out[word] += self.weight[pairs] @ signs.take(self.at[pairs], axis=0).astype(np.float64)
+        out /= math.sqrt(size)
+        return out
 
 
 def dense_vectors(near: Company, seeds: Sequence[int] = tuple(fv.SEEDS),
@@ -85,8 +94,9 @@ def dense_vectors(near: Company, seeds: Sequence[int] = tuple(fv.SEEDS),
         named.select(*unit, "signs"), unit), planes)
 
     def result(key: tuple, part: _Part) -> Iterator[pa.RecordBatch]:
+        whole = part.vectors(vector_size)
         for k, seed in enumerate(seeds):
-            made = part.vectors(part.signs[k * blocks:(k + 1) * blocks], vector_size)
+            made = whole[:, k * vector_size:(k + 1) * vector_size]
             lists = pa.ListArray.from_arrays(
                 pa.array(np.arange(0, made.size + 1, vector_size, dtype=np.int32)), pa.array(made.ravel()))
             yield pa.RecordBatch.from_arrays(
