@@ -9,9 +9,11 @@ with seeded random signs, one set of vectors per seed.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -265,18 +267,21 @@ def compose_subwords(table: DataFrame, targets: Sequence[str] | None = None, *,
     Coverage does not change: words outside the vocabulary get no vector.
     """
     keys = ["group", "seed"]
-    grams = table.select(*keys, "word", "n", "vector",
-                         F.explode(subwords(F.col("word"), min_n, max_n)).alias("gram"))
-    wanted = table if targets is None else table.filter(F.col("word").isin(list(targets)))
+    if targets is None:
+        wanted = table
+        totals = (table.select(*keys, "word", "n", "vector",
+                               F.explode(subwords(F.col("word"), min_n, max_n)).alias("gram"))
+                  .groupBy(*keys, "gram")
+                  .agg(sum_of_vectors(F.col("vector"), vector_size, F.col("n")).alias("total"),
+                       F.sum("n").alias("n")))
+    else:
+        sums = materialize(_sums_of_grams(table, targets, vector_size, min_n, max_n), "grams")
+        wanted = sums.filter(F.col("gram").isNull()).select(*keys, "word", "vector")
+        totals = (sums.filter(F.col("gram").isNotNull()).groupBy(*keys, "gram")
+                  .agg(sum_of_vectors(F.col("vector"), vector_size).alias("total"), F.sum("n").alias("n")))
     links = wanted.select(*keys, "word", F.explode(
         subwords(F.col("word"), min_n, max_n)).alias("gram"))
-    if targets is not None:
-        grams = grams.join(links.select(*keys, "gram").distinct(), [*keys, "gram"], "left_semi")
-    gram_vectors = (
-        grams.groupBy(*keys, "gram")
-        .agg(sum_of_vectors(F.col("vector"), vector_size, F.col("n")).alias("total"),
-             F.sum("n").alias("n"))
-        .select(*keys, "gram", F.transform("total", lambda x: x / F.col("n")).alias("vector")))
+    gram_vectors = totals.select(*keys, "gram", F.transform("total", lambda x: x / F.col("n")).alias("vector"))
     parts = (links.join(gram_vectors, [*keys, "gram"]).select(*keys, "word", "vector")
              .unionByName(wanted.select(*keys, "word", "vector")))
     return (parts.groupBy(*keys, "word")
@@ -286,6 +291,60 @@ def compose_subwords(table: DataFrame, targets: Sequence[str] | None = None, *,
                     F.transform("total", lambda x: x / F.col("parts")).alias("vector")))
 
 
+#: Bytes of gram sums that a task holds.
+_SUM_BYTES = 1 << 27
+
+
+def _sums_of_grams(table: DataFrame, targets: Sequence[str], vector_size: int, min_n: int, max_n: int) -> DataFrame:
+    """In one reading of ``table``: the rows of the listed words (gram NULL), and of each of their grams
+    the vectors of the words that hold it, summed by frequency, and their frequency (word NULL), a row a
+    task. So no vector goes with each of its word's grams."""
+    spark = table.sparkSession
+    listed = spark.createDataFrame([(w,) for w in sorted(set(targets))], "word string")
+    names = sorted({r["gram"] for r in listed.select(
+        F.explode(subwords(F.col("word"), min_n, max_n)).alias("gram")).collect()})  # of the given words
+    number, wanted = {g: i for i, g in enumerate(names)}, set(targets)
+    columns = ["group", "seed", "word", "gram", "n", "vector"]
+
+    def rows(key: tuple, words: list, grams: list, n: np.ndarray, vectors: np.ndarray) -> pa.RecordBatch:
+        lists = pa.ListArray.from_arrays(
+            pa.array(np.arange(0, vectors.size + 1, vector_size, dtype=np.int32)), pa.array(vectors.ravel()))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([key[0]] * len(n), pa.string()), pa.array([key[1]] * len(n), pa.int32()),
+             pa.array(words, pa.string()), pa.array(grams, pa.string()), pa.array(n, pa.int64()), lists], columns)
+
+    def result(key: tuple, total: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        seen = np.flatnonzero(n)
+        if len(seen):
+            yield rows(key, [None] * len(seen), [names[g] for g in seen], n[seen], total[seen])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            vectors = batch["vector"].flatten().to_numpy().reshape(-1, vector_size)
+            keys = zip(batch["group"].to_pylist(), batch["seed"].to_pylist())
+            for k, (key, word, n) in enumerate(zip(keys, batch["word"].to_pylist(), batch["n"].to_pylist())):
+                marked = f"<{word}>"
+                own = list({g for size in range(min_n, max_n + 1) for i in range(len(marked) - size + 1)
+                            if (g := number.get(marked[i:i + size])) is not None})
+                if own:
+                    if key not in held:
+                        if (len(held) + 1) * len(names) * vector_size * 8 > _SUM_BYTES:
+                            for other in list(held):
+                                yield from result(other, *held.pop(other))
+                        held[key] = np.zeros((len(names), vector_size)), np.zeros(len(names), np.int64)
+                    held[key][0][own] += n * vectors[k]
+                    held[key][1][own] += n
+                if word in wanted:
+                    yield rows(key, [word], [None], np.array([n]), vectors[k:k + 1])
+        for key, sums in held.items():
+            yield from result(key, *sums)
+
+    table = table.filter(F.col("word").isNotNull()).select(
+        "group", "seed", "word", F.col("n").cast("long").alias("n"), F.col("vector").cast("array<double>").alias("vector"))
+    return table.mapInArrow(run, "group string, seed int, word string, gram string, n long, vector array<double>")
+
+
 # Neighbours
 
 def neighbours(vectors: WordVectors, queries: Sequence[str] = tuple(fv.NEIGHBOUR_WORDS),

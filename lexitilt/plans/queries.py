@@ -435,8 +435,7 @@ def subword_ngrams(t):
 @query
 def subword_vectors(t):
     """The listed words smoothed by the grams of the whole vocabulary, every seed."""
-    table = materialize(dense_table(t), "vectors")
-    return (vectors.compose_subwords(table, WORDS, vector_size=DIMENSIONS)
+    return (vectors.compose_subwords(dense_table(t), WORDS, vector_size=DIMENSIONS)
             .select("group", "seed", "word", F.posexplode("vector").alias("i", "x"))
             .withColumn("x", r6("x")))
 

@@ -34,3 +34,29 @@ def test_dense_table_makes_no_rows_of_pairs(spark, monkeypatch):
     for r in found:
         other = expected[r["group"], r.seed, r.word]
         assert r.n == other.n and r.vector == pytest.approx(other.vector, abs=1e-9)
+
+
+def test_listed_words_take_one_reading_of_the_vectors(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(g, s, w, 2 + k, [rng.random() for _ in range(4)]) for g in ("mid", "senior") for s in (7, 17)
+            for k, w in enumerate(["lead", "leader", "leading", "mislead", "a", "über", "überall", "x"])]
+    rows.append(rows[0])  # a repeated row counts again
+    table = spark.createDataFrame(rows, "group STRING, seed INT, word STRING, n BIGINT, vector ARRAY<DOUBLE>")
+    whole = {(r["group"], r.seed, r.word): r.vector for r in vectors.compose_subwords(table, vector_size=4).collect()}
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    seen = table.mapInArrow(counted, table.schema)
+    some = vectors.compose_subwords(seen, ["lead", "über", "a", "none"], vector_size=4).collect()
+    assert {(r["group"], r.seed, r.word) for r in some} == {k for k in whole if k[2] in ("lead", "über", "a")}
+    for r in some:
+        assert r.vector == pytest.approx(whole[r["group"], r.seed, r.word], abs=1e-12)
+    assert read.value == len(rows)
+    monkeypatch.setattr(vectors, "_SUM_BYTES", 1)  # sums handed on at every change of model
+    again = vectors.compose_subwords(table, ["lead"], vector_size=4).collect()
+    assert [r.vector for r in again] and all(
+        r.vector == pytest.approx(whole[r["group"], r.seed, r.word], abs=1e-12) for r in again)
