@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from lexitilt.functions import fixed_values as fv
 from lexitilt.functions import text as tx
 from lexitilt.operators import (
-    audit, company, corpus, dedup, grams, nearest, projection, robustness, scope, seniority, training,
-    vectors, weat,
+    audit, company, corpus, dedup, grams, nearest, neighbours, projection, robustness, scope, seniority,
+    training, vectors, weat,
 )
 from lexitilt.sources.derived import Tables
 from lexitilt.sources.staging import materialize
@@ -400,7 +400,7 @@ def ppmi_vectors(t):
 
 @query
 def ppmi_neighbours(t):
-    found = vectors.neighbours(vectors.ppmi_vectors(clean_docs(t)).saved())
+    found = neighbours.neighbours(company.company(clean_docs(t)))
     return rounded(found, "similarity").withColumn("rank", F.col("rank").cast("bigint"))
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from lexitilt.functions import fixed_values as fv
-from lexitilt.operators import vectors
+from lexitilt.operators import company, neighbours, vectors
 from lexitilt.plans import queries
 
 SCHEMA = "group STRING, tokens ARRAY<STRING>"
@@ -60,3 +60,26 @@ def test_listed_words_take_one_reading_of_the_vectors(spark, monkeypatch):
     again = vectors.compose_subwords(table, ["lead"], vector_size=4).collect()
     assert [r.vector for r in again] and all(
         r.vector == pytest.approx(whole[r["group"], r.seed, r.word], abs=1e-12) for r in again)
+
+
+@pytest.mark.parametrize("cut", [False, True])
+def test_neighbours_by_parts_are_those_of_all_cells(spark, monkeypatch, cut):
+    docs, asked = corpus(spark), ["lead", "man", "alone", "absent"]
+    expected = vectors.neighbours(vectors.ppmi_vectors(docs), asked, 4).collect()
+    if cut:
+        monkeypatch.setattr(company, "PART_WORDS", 9)
+        monkeypatch.setattr(company, "CHUNK_TOKENS", 60)
+    near = company.company(docs)
+    assert (near.units > 3) == cut
+    found = neighbours.neighbours(near, asked, 4).collect()
+    key = lambda r: (r["group"], r["query"], r["rank"])
+    assert len(found) == len(expected) >= 8
+    for a, b in zip(sorted(found, key=key), sorted(expected, key=key)):
+        assert key(a) == key(b) and a.word == b.word and a.similarity == pytest.approx(b.similarity, abs=1e-8)
+
+
+def test_neighbours_query_makes_no_rows_of_pairs(spark, monkeypatch):
+    docs = corpus(spark)
+    monkeypatch.setattr(vectors, "associated_pairs", refused)
+    monkeypatch.setattr(queries, "clean_docs", lambda t: docs)
+    assert queries.ppmi_neighbours(None).count() > 0
