@@ -11,7 +11,7 @@ arithmetic on columns; the driver sees four numbers a coordinate and model.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexitilt.functions.vector_math import sum_of_vectors
+from lexitilt.operators import slices
 from lexitilt.operators.company import by_unit
 from lexitilt.operators.vectors import TrainingConfig, subwords
 from lexitilt.sources.staging import emptied, materialize
@@ -146,11 +147,14 @@ def _times(a: str, b: str) -> Column:
     return F.zip_with(a, b, lambda x, y: x * y)
 
 
-def fit(table: DataFrame, config: Ridge = Ridge()) -> GramVectors:
+def fit(table: DataFrame | slices.Cut, config: Ridge = Ridge()) -> GramVectors | slices.Cut:
     """Gram vectors of every model in ``table`` (group, seed, word, vector), whole vocabularies.
 
-    Each step's state is written, so a lost executor costs a part of a step.
+    Each step's state is written, so a lost executor costs a part of a step; of a table cut into
+    slices, a slice takes all steps in its task.
     """
+    if isinstance(table, slices.Cut):
+        return replace(table, config=config).then("solved")
     size = config.vector_size
     spark = table.sparkSession
     table = table.select(*_MODEL, "word", F.col("vector").cast("array<double>").alias("vector"))
@@ -201,19 +205,23 @@ def fit(table: DataFrame, config: Ridge = Ridge()) -> GramVectors:
         residuals, "group string, seed int, step int, residual double"), config)
 
 
-def composed(grams: GramVectors, words: DataFrame) -> DataFrame:
+def composed(grams: GramVectors | slices.Cut, words: DataFrame | slices.Cut) -> DataFrame | slices.Cut:
     """group, seed, word, vector: the words of the vocabulary as the means of their grams.
 
     ``words``: group, word. Words outside the vocabulary that the grams were fitted to get none.
     """
+    if isinstance(grams, slices.Cut):
+        return grams.then("composed")
     made = _in_blocks(grams.links, grams.config.vector_size, buckets=grams.vectors, to_words=True)
     named = words.select("group", "word").distinct().withColumn("id", F.xxhash64("word"))
     return made.join(named, ["group", "id"]).select(*_MODEL, "word", "vector")
 
 
-def reconstruction(made: DataFrame, table: DataFrame) -> DataFrame:
+def reconstruction(made: DataFrame | slices.Cut, table: DataFrame | slices.Cut) -> DataFrame:
     """group, seed, words, error: how far ``made`` is from ``table`` (both group, seed, word,
     vector), as a share of the table's squared length."""
+    if isinstance(made, slices.Cut):
+        return slices.reconstruction(made)
     own = made.select(*_MODEL, "word", F.col("vector").alias("made"))
     square = lambda c: F.aggregate(c, F.lit(0.0), lambda total, x: total + x * x)
     gap = F.zip_with("made", "vector", lambda x, y: x - y)

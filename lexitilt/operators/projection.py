@@ -48,9 +48,14 @@ class _Part:
     def __init__(self, row: dict, planes: int):
         near, ctx_near = np.frombuffer(row["near"]), np.frombuffer(row["ctx_near"])
         keys, n = unpack(row["pairs"])
-        place, self.at = keys >> 32, (keys & 0xFFFFFFFF).astype(np.int32)
-        self.weight = np.log(n * row["total"] / (near[place] * ctx_near[self.at]))
-        self.starts = np.searchsorted(place, np.arange(len(near) + 1))
+        self.at = (keys & 0xFFFFFFFF).astype(np.int32)
+        keys >>= 32  # now the place; in place, for the memory of what lies between
+        self.starts = np.searchsorted(keys, np.arange(len(near) + 1))
+        both = near[keys]
+        both *= ctx_near[self.at]
+        self.weight = n * row["total"]
+        self.weight /= both
+        np.log(self.weight, out=self.weight)
         self.words, self.n = pa.array(row["words"], pa.string()), pa.array(row["n"], pa.int64())
         self.signs, self.filled = np.zeros((planes, len(ctx_near)), np.int64), 0
 

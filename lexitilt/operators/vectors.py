@@ -264,8 +264,11 @@ def compose_subwords(table: DataFrame, targets: Sequence[str] | None = None, *,
     A gram's vector is the mean of the vectors of the words that hold it, weighted
     by frequency; a word's new vector is the mean of its own and its grams'.
     With ``targets`` only those words are built, and only their grams are summed.
-    Coverage does not change: words outside the vocabulary get no vector.
+    Coverage does not change: words outside the vocabulary get no vector. A table cut into slices
+    (see ``slices``) has its own links, and all its words are built.
     """
+    if not isinstance(table, DataFrame):
+        return table.then("means")
     keys = ["group", "seed"]
     if targets is None:
         wanted = table

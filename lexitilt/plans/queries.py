@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from lexitilt.functions import fixed_values as fv
 from lexitilt.functions import text as tx
 from lexitilt.operators import (
     audit, company, corpus, dedup, grams, nearest, neighbours, projection, robustness, scope, seniority,
-    training, vectors, weat,
+    slices, training, vectors, weat,
 )
 from lexitilt.sources.derived import Tables
 from lexitilt.sources.staging import materialize
@@ -450,12 +451,16 @@ RIDGE = grams.Ridge(vector_size=50, steps=4)
 def gram_ridge(t):
     """How near words made of solved gram vectors come to the words, and those made of means."""
     near = company.company(clean_docs(t), min_count_col=F.lit(FLOOR))
-    table = materialize(projection.dense_vectors(near, vector_size=RIDGE.vector_size), "vectors")
-    solved = grams.reconstruction(grams.composed(grams.fit(table, RIDGE), table), table)
-    means = grams.reconstruction(
-        vectors.compose_subwords(table, vector_size=RIDGE.vector_size), table)
-    return rounded(solved.join(means.select("group", "seed", F.col("error").alias("mean_error")),
-                               ["group", "seed"]), "error", "mean_error")
+    links = materialize(slices.gram_links(near.vocabulary, RIDGE), "links")
+    found = []
+    for seed in fv.SEEDS:  # a seed's vectors are given back before the next
+        table = slices.cut(projection.dense_vectors(near, [seed], RIDGE.vector_size), links, RIDGE)
+        solved = grams.reconstruction(grams.composed(grams.fit(table, RIDGE), table), table)
+        means = grams.reconstruction(
+            vectors.compose_subwords(table, vector_size=RIDGE.vector_size), table)
+        found.append(solved.join(means.select("group", "seed", F.col("error").alias("mean_error")),
+                                 ["group", "seed"]))
+    return rounded(functools.reduce(DataFrame.unionByName, found), "error", "mean_error")
 
 
 @query
