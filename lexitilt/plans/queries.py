@@ -444,13 +444,14 @@ def subword_vectors(t):
 #: Of the registered queries that fit or train: a floor under the counts, and sizes to go with it.
 FLOOR = 5
 TRAINED = training.Factorisation(vector_size=50, epochs=3)
-RIDGE = grams.Ridge(vector_size=50, steps=4)
+#: Gram vectors are fitted in the steps and coordinates that the job takes, to words of each group's own floor.
+RIDGE = grams.Ridge()
 
 
 @query
 def gram_ridge(t):
     """How near words made of solved gram vectors come to the words, and those made of means."""
-    near = company.company(clean_docs(t), min_count_col=F.lit(FLOOR))
+    near = company.company(clean_docs(t))
     links = materialize(slices.gram_links(near.vocabulary, RIDGE), "links")
     found = []
     for seed in fv.SEEDS:  # a seed's vectors are given back before the next

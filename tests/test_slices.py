@@ -1,8 +1,11 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexitilt.operators import grams, slices, vectors
+from lexitilt.plans import queries
 
 WORDS = ["lead", "leader", "leading", "leaders", "manage", "manager", "managing", "team", "teams",
          "teamwork", "work", "worker", "working", "care", "caring", "caregiver", "a", "of", "", "über"]
@@ -50,3 +53,16 @@ def test_no_words(spark):
     table, config = word_table(spark).limit(0), grams.Ridge(vector_size=5)
     links = slices.gram_links(table.select("group", "word", "n"), config)
     assert errors(slices.cut(table, links, config), config) == {}
+
+
+def test_gram_ridge_does_the_whole_job(spark, monkeypatch):
+    """All steps, all coordinates and seeds, and words by their group's own floor."""
+    assert queries.RIDGE == grams.Ridge() and queries.RIDGE.steps == 12
+    rng = random.Random(3)
+    rows = [("mid", rng.choices([*WORDS, "once"], k=20)) for _ in range(20)] + [("mid", ["rare"])]
+    docs = spark.createDataFrame(rows, "group STRING, tokens ARRAY<STRING>")
+    monkeypatch.setattr(queries, "clean_docs", lambda t: docs)
+    found = queries.gram_ridge(None).collect()
+    assert sorted(r.seed for r in found) == [7, 17, 29]
+    assert {r.words for r in found} == {len({w for _, tokens in rows for w in tokens})}
+    assert all(r.error < r.mean_error for r in found)
