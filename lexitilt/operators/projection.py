@@ -22,6 +22,8 @@ from lexitilt.operators.vectors import SIGN_BITS, TrainingConfig, sign_bits
 
 #: Contexts whose signs are doubles at a time.
 _MET = 512
+#: Words whose vectors are given on together.
+_GIVEN = 2048
 _SENT = "group string, part int, source int, signs binary"
 
 
@@ -101,12 +103,14 @@ def dense_vectors(near: Company, seeds: Sequence[int] = tuple(fv.SEEDS),
     def result(key: tuple, part: _Part) -> Iterator[pa.RecordBatch]:
         whole = part.vectors(vector_size)
         for k, seed in enumerate(seeds):
-            made = whole[:, k * vector_size:(k + 1) * vector_size]
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.arange(0, made.size + 1, vector_size, dtype=np.int32)), pa.array(made.ravel()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([key[0]] * len(made)), pa.array([seed] * len(made), pa.int32()), part.words, part.n,
-                 lists], ["group", "seed", "word", "n", "vector"])
+            for first in range(0, len(whole), _GIVEN):
+                made = whole[first:first + _GIVEN, k * vector_size:(k + 1) * vector_size]
+                lists = pa.ListArray.from_arrays(
+                    pa.array(np.arange(0, made.size + 1, vector_size, dtype=np.int32)), pa.array(made.ravel()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([key[0]] * len(made)), pa.array([seed] * len(made), pa.int32()),
+                     part.words.slice(first, len(made)), part.n.slice(first, len(made)), lists],
+                    ["group", "seed", "word", "n", "vector"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, part = None, None

@@ -29,6 +29,8 @@ if TYPE_CHECKING:
 
 SLICE_BYTES = 1 << 23
 LANES = 8
+#: Words whose slices are sent together.
+_PIECE = 2048
 #: Sums worked out side by side, and terms above which a sum is worked out alone.
 _SIDE = 512
 _DEEP = 48
@@ -188,7 +190,8 @@ def cut(table: DataFrame, links: DataFrame, config: Ridge) -> Cut:
     lanes = min(LANES, slices)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (group, seed), rows in by_unit(batches, ("group", "seed")):
+        for (group, seed), rows in ((at, part.slice(k, _PIECE)) for at, part in by_unit(batches, ("group", "seed"))
+                                    for k in range(0, len(part), _PIECE)):
             ids = rows["id"].to_numpy().tobytes()
             x = rows["vector"].flatten().to_numpy().reshape(-1, size)
             yield pa.RecordBatch.from_arrays(
